@@ -1,0 +1 @@
+"""Empty on purpose: the workload is a batch program, so there is no streaming operator to provide."""
