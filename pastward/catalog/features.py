@@ -10,7 +10,6 @@ from pastward.catalog.base import (
     ewm_sql,
     feature_sql,
     fold_sql,
-    frame_sql,
     full_window_sql,
     hourly_all,
     hourly_by_type,
@@ -31,25 +30,20 @@ from pastward.functions.calendar import (
     season,
 )
 from pastward.functions.errors import absolute_error, smape_term
-from pastward.operators.ewm import CHUNK, ewm_columns, join_carries
+from pastward.operators.ewm import ewm_columns, join_carries
 from pastward.operators.features import (
-    demand_columns,
     feature_table,
     lag_columns,
     named,
-    past_features,
     previous_change,
     rolling_columns,
 )
 from pastward.operators.ordering import (
-    BLOCK,
-    ROW,
-    cutoff_times,
-    history_window,
+    first_rows,
     keep_last,
+    last_rows,
     number_rows,
     over_history,
-    own_block,
     with_history,
 )
 from pastward.operators.scoring import lag_of_model, long_predictions, persistence_names, with_persistence
@@ -460,7 +454,7 @@ def _ordinal_sql(where: str, order: str) -> str:
 
 @query("o5_last_two_weeks", _ordinal_sql("position <= 336", "DESC"))
 def o5(spark, folder):
-    return last_rows(hourly_by_type(spark, folder).select(*KEYS, S.TARGET), 14 * 24)
+    return last_rows(hourly_by_type(spark, folder).select(*KEYS, S.TARGET), HOURLY, 14 * 24)
 
 
 @query(
@@ -470,14 +464,5 @@ def o5(spark, folder):
 )
 def o6(spark, folder):
     split = chronological_split(hourly_by_type(spark, folder).select(*KEYS, S.TARGET))
-    return first_rows(split.where("split = 'train'").drop("split"), 2000)
+    return first_rows(split.where("split = 'train'").drop("split"), HOURLY, 2000)
 
-
-def last_rows(df, rows):
-    first = cutoff_times(df, HOURLY, lambda n: {"_from": F.greatest(n - rows, F.lit(0))})
-    return df.join(first, "series_id").where(F.col("timestamp") >= F.col("_from")).drop("_from")
-
-
-def first_rows(df, rows):
-    end = cutoff_times(df, HOURLY, lambda n: {"_last": F.least(n, F.lit(rows)) - 1})
-    return df.join(end, "series_id").where(F.col("timestamp") <= F.col("_last")).drop("_last")

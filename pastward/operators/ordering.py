@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pastward.functions.calendar import epoch_seconds
+from pastward.session import staged
 from pastward.spec import SeriesSpec
 
 ROW = "_row"  # position in the series, from 0
@@ -131,3 +132,15 @@ def cutoff_times(df: DataFrame, spec: SeriesSpec, positions: Callable[[Column],
     return found.groupBy(spec.key).agg(
         *(F.max(F.when(F.col("label") == label, F.col(spec.time))).alias(label) for label in labels)
     )
+
+
+def last_rows(df: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
+    """The last ``rows`` rows of every series."""
+    start = cutoff_times(df, spec, lambda n: {"_from": F.greatest(n - rows, F.lit(0))})
+    return df.join(staged(start), spec.key).where(F.col(spec.time) >= F.col("_from")).select(*df.columns)
+
+
+def first_rows(df: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
+    """The first ``rows`` rows of every series."""
+    end = cutoff_times(df, spec, lambda n: {"_last": F.least(n, F.lit(rows)) - 1})
+    return df.join(staged(end), spec.key).where(F.col(spec.time) <= F.col("_last")).select(*df.columns)
