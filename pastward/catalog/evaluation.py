@@ -33,7 +33,7 @@ from pastward.operators.audits import (
     replay_metrics,
 )
 from pastward.operators.crossval import nested_persistence, persistence_folds
-from pastward.operators.features import feature_table, lag_columns, rolling_columns
+from pastward.operators.features import lag_columns, persistence_table, rolling_columns
 from pastward.operators.forecast import fixed_origin_forecast
 from pastward.operators.ordering import over_history
 from pastward.operators.scoring import (
@@ -59,18 +59,20 @@ KEYS = ["series_id", "timestamp"]
 
 
 def split_features(series):
-    """The target and its persistence lags with their split, cut down to what scoring reads."""
-    lags = [f"consumption_lag_{k}" for k in S.PERSISTENCE_LAGS]
-    return chronological_split(feature_table(series).select(*KEYS, S.TARGET, *lags))
+    """The target and its persistence lags with their split. The lags are staged: finding the cut-offs reads them too."""
+    return chronological_split(staged(persistence_table(series)))
 
 
 def persistence_predictions(rows, *keys):
     return long_predictions(with_persistence(rows), [*keys, *KEYS], persistence_names())
 
 
+def validation_rows(series):
+    return split_features(series).where("split = 'validation'")
+
+
 def validation_scores(spark, folder):
-    rows = split_features(hourly_all(spark, folder)).where("split = 'validation'")
-    return score(persistence_predictions(rows))
+    return score(persistence_predictions(validation_rows(hourly_all(spark, folder))))
 
 
 def _scored_sql(source: str = "hourly_all", where: str = "split = 'validation'", keys: str = "series_id, timestamp") -> str:
@@ -84,7 +86,7 @@ METRIC_LIST = rs("mae", "rmse", "r2", "smape_pct")
 
 @query("r1_persistence_forecasts", _scored_sql("hourly_by_type") + "SELECT * FROM predictions")
 def r1(spark, folder):
-    rows = split_features(hourly_by_type(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_by_type(spark, folder))
     return persistence_predictions(rows)
 
 
@@ -99,7 +101,7 @@ def a5(spark, folder):
     + f"SELECT series_id, model, {METRIC_LIST} FROM (SELECT series_id, model, {METRICS_SQL} FROM predictions GROUP BY 1, 2)",
 )
 def a5_series(spark, folder):
-    rows = split_features(hourly_by_type(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_by_type(spark, folder))
     return rounded(score(persistence_predictions(rows), "series_id"))
 
 
@@ -124,8 +126,12 @@ FOLDED = with_series(
 FOLD_METRICS = f"(SELECT model, fold, {METRICS_SQL} FROM predictions GROUP BY 1, 2)"
 
 
+def development_rows(spark, folder):
+    return staged(development(split_features(hourly_all(spark, folder))).drop("split"))
+
+
 def fold_scores(spark, folder, folds=5):
-    return persistence_folds(development(split_features(hourly_all(spark, folder))).drop("split"), HOURLY, folds)
+    return persistence_folds(development_rows(spark, folder), HOURLY, folds)
 
 
 @query("e1_cross_validation", FOLDED + f"SELECT model, fold, {METRIC_LIST} FROM {FOLD_METRICS}")
@@ -264,7 +270,7 @@ def f3(spark, folder):
               GROUP BY 1, 2) WHERE r2 IS NULL""",
 )
 def f4(spark, folder):
-    rows = split_features(hourly_by_type(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_by_type(spark, folder))
     flat = persistence_predictions(rows).withColumn(
         "actual", F.when(F.col("series_id") == "click", 1.0).otherwise(F.col("actual"))
     )
@@ -338,7 +344,7 @@ _holdout("b23_holdout_90_10", 0.9)
           FROM predictions JOIN (SELECT model, {METRICS_SQL} FROM predictions GROUP BY 1) USING (model) GROUP BY 1""",
 )
 def b24(spark, folder):
-    rows = split_features(hourly_all(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_all(spark, folder))
     scores = score_extended(persistence_predictions(rows))
     return rounded(scores.withColumn("mse", F.round("mse", 5)))
 
@@ -351,7 +357,7 @@ def b24(spark, folder):
           FROM predictions ORDER BY abs(actual - prediction) DESC, timestamp, model LIMIT 20""",
 )
 def b25(spark, folder):
-    rows = split_features(hourly_by_type(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_by_type(spark, folder))
     return rounded(worst_rows(persistence_predictions(rows), "timestamp"))
 
 
@@ -360,8 +366,7 @@ def b25(spark, folder):
     FOLDED + "SELECT series_id, timestamp, fold, model, actual, prediction FROM predictions",
 )
 def b26(spark, folder):
-    dev = development(split_features(hourly_all(spark, folder))).drop("split")
-    return persistence_predictions(expanding_folds(dev).where("fold > 0"), "fold")
+    return persistence_predictions(expanding_folds(development_rows(spark, folder)).where("fold > 0"), "fold")
 
 
 NESTED = with_series(
@@ -391,8 +396,7 @@ NESTED = with_series(
           FROM winners JOIN (SELECT outer_fold, model, {METRICS_SQL} FROM outer_predictions GROUP BY 1, 2) USING (outer_fold, model)""",
 )
 def b27(spark, folder):
-    lags = [f"consumption_lag_{k}" for k in S.PERSISTENCE_LAGS]
-    rows = feature_table(hourly_by_type(spark, folder)).select(*KEYS, S.TARGET, *lags)
+    rows = staged(persistence_table(hourly_by_type(spark, folder)))
     return rounded(nested_persistence(rows, HOURLY, outer_folds=5, inner_folds=3))
 
 
@@ -426,7 +430,7 @@ def b28(spark, folder):
     + """SELECT model, model <> 'naive_lag_24' AS agrees FROM (SELECT DISTINCT model FROM predictions)""",
 )
 def b29(spark, folder):
-    rows = split_features(hourly_all(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_all(spark, folder))
     predictions = staged(persistence_predictions(rows))
     # one stored value is tampered with and must be found
     tampered = F.when(F.col("model") == "naive_lag_24", F.col("mae") + 0.001).otherwise(F.col("mae"))
@@ -453,7 +457,7 @@ def b29(spark, folder):
          UNION ALL SELECT 'actual_differs', count(*) FILTER (scored AND known AND (least <> Consumption OR most <> Consumption)) FROM facts""",
 )
 def b30(spark, folder):
-    rows = staged(split_features(hourly_by_type(spark, folder)).where("split = 'validation'"))
+    rows = staged(validation_rows(hourly_by_type(spark, folder)))
     good = persistence_predictions(rows)
     hour = F.hour("timestamp")
     changed = good.where(hour != 5).withColumn("actual", F.when(hour == 3, F.col("actual") + 1).otherwise(F.col("actual")))
@@ -479,6 +483,6 @@ def b30_folds(spark, folder):
           FROM (SELECT model, count(*) AS rows, {METRICS_SQL} FROM predictions GROUP BY 1)""",
 )
 def b33(spark, folder):
-    rows = split_features(hourly_all(spark, folder)).where("split = 'validation'")
+    rows = validation_rows(hourly_all(spark, folder))
     scores = score_extended(persistence_predictions(rows))
     return rounded(scores.select("model", adjusted_r2(F.col("r2"), F.col("rows"), F.lit(1)).alias("adjusted_r2")))

@@ -35,6 +35,7 @@ from pastward.operators.features import (
     feature_table,
     lag_columns,
     named,
+    persistence_table,
     previous_change,
     rolling_columns,
 )
@@ -48,6 +49,7 @@ from pastward.operators.ordering import (
 )
 from pastward.operators.scoring import lag_of_model, long_predictions, persistence_names, with_persistence
 from pastward.operators.splits import chronological_split, expanding_folds, fold_bounds, part_summary, split_summary
+from pastward.session import staged
 from pastward.spec import HOURLY
 
 KEYS = ["series_id", "timestamp"]
@@ -370,7 +372,7 @@ def w9(spark, folder):
     + "SELECT series_id, timestamp, split FROM split_rows",
 )
 def w10(spark, folder):
-    return chronological_split(feature_table(hourly_by_type(spark, folder)).select(*KEYS))
+    return chronological_split(staged(persistence_table(hourly_by_type(spark, folder)).select(*KEYS)))
 
 
 @query(
@@ -392,7 +394,7 @@ def w10(spark, folder):
     + " FROM split_rows GROUP BY 1",
 )
 def w11(spark, folder):
-    return split_summary(chronological_split(feature_table(hourly_all(spark, folder)).select(*KEYS)))
+    return split_summary(chronological_split(staged(persistence_table(hourly_all(spark, folder)).select(*KEYS))))
 
 
 @query(

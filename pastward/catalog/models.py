@@ -1 +1,182 @@
+"""Fitted models, their cross-validation, search and importances.
 
+Tree ensembles run at quick-run sizes here. They have no SQL: their results depend on the library that grows the trees.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from pastward import schema as S
+from pastward.catalog.base import (
+    NAIVE,
+    feature_sql,
+    hourly_all,
+    hourly_by_type,
+    query,
+    r,
+    rounded,
+    split_sql,
+    with_series,
+)
+from pastward.catalog.evaluation import split_features
+from pastward.operators import models as M
+from pastward.operators.crossval import model_folds
+from pastward.operators.features import feature_table
+from pastward.operators.preprocess import FeaturePreprocessor
+from pastward.operators.scoring import (
+    append_metrics,
+    choose_final,
+    final_table,
+    fold_summary,
+    leaderboard,
+    long_predictions,
+    persistence_names,
+    score,
+    with_persistence,
+)
+from pastward.operators.selection import importances, permutation_importance, select_top, stability_ranking
+from pastward.operators.splits import chronological_split, development, expanding_folds
+from pastward.operators.tuning import SMOKE_SPACE, best_trial, search, trial_sizes
+from pastward.session import staged
+
+KEYS = ["series_id", "timestamp"]
+
+
+def split_rows(spark, folder, series=hourly_all):
+    return staged(chronological_split(staged(feature_table(series(spark, folder)))))
+
+
+def parts(rows):
+    return rows.where("split = 'train'"), rows.where("split = 'validation'")
+
+
+def validation_predictions(spark, folder, names, sizes=M.SMOKE):
+    train, validation = parts(split_rows(spark, folder))
+    fitted = M.fit_many([M.model_spec(name, sizes) for name in names], train)
+    return M.predict_many(fitted, validation).select(*KEYS, F.col(S.TARGET).alias("actual"), *names)
+
+
+def _predictions(spark, folder, model):
+    return rounded(validation_predictions(spark, folder, [model]), 6)
+
+
+for _id, _model in (
+    ("r2_ridge", M.RIDGE),
+    ("r3_random_forest", M.FOREST),
+    ("r4_bagged_trees", M.BAGGING),
+    ("r5_histogram_boosting", M.HISTOGRAM),
+    ("r6_gradient_boosting", M.BOOSTING),
+):
+    query(_id)(partial(_predictions, model=_model))
+
+
+@query(
+    "r7_weighted_vote",
+    with_series("hourly_by_type", then=feature_sql("hourly_by_type") + "," + split_sql("feature_rows"))
+    + f"""SELECT series_id, timestamp, {r('(consumption_lag_1 + consumption_lag_24 + 2 * consumption_lag_168) / 4')} AS voting_regressor
+          FROM split_rows WHERE split = 'validation'""",
+)
+def r7(spark, folder):
+    rows = with_persistence(split_features(hourly_by_type(spark, folder)).where("split = 'validation'"))
+    weights = tuple(zip(NAIVE, (1.0, 1.0, 2.0)))
+    return rounded(rows.select(*KEYS, M.vote(weights).alias(M.VOTING)))
+
+
+@query("r7_voting_ensemble")
+def r7_models(spark, folder):
+    names = [name for name, _ in M.VOTES]
+    predicted = staged(validation_predictions(spark, folder, names).withColumn(M.VOTING, M.vote()))
+    return leaderboard(score(long_predictions(predicted, KEYS, [*names, M.VOTING], actual="actual")))
+
+
+def _search(rows):
+    return search(development(rows).drop("split"), space=SMOKE_SPACE, trials=2, folds=2)
+
+
+@query("e2_random_search")
+def e2(spark, folder):
+    return _search(split_rows(spark, folder))
+
+
+@query("r8_tuned_boosting")
+def r8(spark, folder):
+    rows = split_rows(spark, folder)
+    train, validation = parts(rows)
+    sizes = trial_sizes(best_trial(_search(rows)), M.SMOKE)
+    fitted = M.fit_many([M.model_spec(M.TUNED, sizes)], train)
+    return M.predict_many(fitted, validation).select(*KEYS, F.col(S.TARGET).alias("actual"), M.TUNED)
+
+
+@query("e1_cross_validated_models")
+def e1_models(spark, folder):
+    dev = development(split_rows(spark, folder)).drop("split")
+    specs = [M.model_spec(name, M.SMOKE) for name in (M.FOREST, M.BAGGING)]
+    return fold_summary(staged(model_folds(dev, specs, folds=3)))
+
+
+@query("e4_locked_test_models")
+def e4_models(spark, folder):
+    rows = split_rows(spark, folder)
+    train, validation = parts(rows)
+    names = [M.RIDGE, M.FOREST]
+    fitted = M.fit_many([M.model_spec(name, M.SMOKE) for name in names], train)
+    scored = staged(M.predict_many(fitted, with_persistence(validation)).select(*KEYS, S.TARGET, *persistence_names(), *names))
+    table = score(long_predictions(scored, KEYS, [*persistence_names(), *names]))
+    chosen = choose_final(append_metrics(table)).first()["model"]
+    final_models = M.fit_selected(chosen, development(rows), M.SMOKE)
+    predicted = M.predict_selected(chosen, final_models, rows.where("split = 'test'"))
+    scores = score(long_predictions(predicted, KEYS, list(dict.fromkeys([*persistence_names(), chosen]))))
+    return final_table(scores, chosen)
+
+
+@query("b32_traditional_models")
+def b32(spark, folder):
+    train, validation = parts(split_rows(spark, folder))
+    preprocessing = FeaturePreprocessor(scale=False).fit(train)
+    prepared = staged(preprocessing.transform(train).select(S.TARGET, "features"))
+    makers = {
+        "linear_regression": M.linear(),
+        "lasso": M.linear(elasticNetParam=1.0, regParam=0.1),
+        "decision_tree": M.decision_tree(),
+        "gradient_boosting": M.boosting(M.SMOKE),
+    }
+    fitted = [
+        M.fit_prepared(M.ModelSpec(name, False, lambda _, e=estimator: e), preprocessing, prepared)
+        for name, estimator in makers.items()
+    ]
+    predicted = M.predict_many(fitted, validation)
+    return leaderboard(score(long_predictions(predicted, KEYS, list(makers))))
+
+
+def _fold_importances(spark, folder, with_permutation):
+    """Importances of a forest fitted on the rows before each fold of the training part, and its errors on that fold."""
+    train, _ = parts(split_rows(spark, folder))
+    folded = staged(expanding_folds(train.drop("split"), folds=3))
+    tables = None
+    for fold in (1, 2, 3):
+        before = folded.where(F.col("fold") < fold)
+        preprocessing = FeaturePreprocessor(scale=False).fit(before)
+        names = list(preprocessing.encoded())
+        prepared = staged(preprocessing.transform(before).select(S.TARGET, "features"))
+        model = M.forest(M.SMOKE).fit(prepared)
+        if with_permutation:
+            later = preprocessing.transform(folded.where(F.col("fold") == fold))
+            found = permutation_importance(model, later, names, repeats=2).withColumnRenamed("importance", "score")
+        else:
+            found = spark.createDataFrame(importances(model, names), "feature string, score double")
+        found = found.withColumn("fold", F.lit(fold))
+        tables = found if tables is None else tables.unionByName(found)
+    return tables
+
+
+@query("b20_model_importance")
+def b20(spark, folder):
+    return _fold_importances(spark, folder, with_permutation=False)
+
+
+@query("b21_permutation_importance")
+def b21(spark, folder):
+    return select_top(stability_ranking(staged(_fold_importances(spark, folder, with_permutation=True))))

@@ -1 +1,101 @@
+"""Scans, samples, fingerprints and sinks (S)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pastward.catalog.base import hourly_all, hourly_by_type, query, table, with_series
+from pastward.operators.ordering import keep_last
+from pastward.schema import HOURLY_CSV
+from pastward.session import work_folder
+from pastward.sources.fingerprint import file_hashes, list_files, provenance, table_fingerprint
+from pastward.sources.series import read_hourly_csv, tail_rows, with_timestamp
+from pastward.sources.sinks import read_json, write_csv, write_json
+from pastward.spec import HOURLY
+
+CSV_COLUMNS = ("Date", "Time", "Consumption", "Temperature", "Rain", "Sun")
+
+
+def _csv_lines(spark, folder):
+    series = hourly_all(spark, folder)
+    return series.select(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("Date"),
+        F.concat(F.hour("timestamp").cast("string"), F.lit(":00")).alias("Time"),
+        *CSV_COLUMNS[2:],
+    )
+
+
+LINES_SQL = """SELECT strftime(timestamp, '%Y-%m-%d') AS Date, concat(hour(timestamp), ':00') AS Time,
+                      Consumption, Temperature, Rain, Sun, timestamp FROM hourly_all"""
+
+
+@query("s1_csv_scan", with_series("hourly_all") + LINES_SQL)
+def s1(spark, folder):
+    path = work_folder(spark)
+    write_csv(_csv_lines(spark, folder), path)
+    return with_timestamp(read_hourly_csv(spark, path)).drop("file_order")
+
+
+@query(
+    "s2_tail_sample",
+    "SELECT event_id, ts, value FROM events ORDER BY event_id DESC LIMIT 6000",
+)
+def s2(spark, folder):
+    return tail_rows(table(spark, folder, "events").select("event_id", "ts", "value"), 6000, "event_id")
+
+
+@query("s4_text_fingerprint", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def s4(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("s4_file_hashes")
+def s4_files(spark, folder):
+    return file_hashes(spark, f"{folder}/*.parquet")
+
+
+@query("s4_table_fingerprint")
+def s4_table(spark, folder):
+    return table_fingerprint(table(spark, folder, "lineitem"))
+
+
+@query("s3_file_listing")
+def s3(spark, folder):
+    return list_files(spark, folder).select("name", "bytes")
+
+
+@query("s5_provenance")
+def s5(spark, folder):
+    hashes = file_hashes(spark, f"{folder}/*.parquet")
+    return provenance(hashes, "generated tables", True, {"canonical": "events.parquet", "raw": "orders.parquet"})
+
+
+@query("s6_csv_roundtrip", with_series("hourly_by_type") + "SELECT series_id, timestamp, Consumption, Rain FROM hourly_by_type")
+def s6(spark, folder):
+    path = work_folder(spark)
+    write_csv(hourly_by_type(spark, folder).select("series_id", "timestamp", "Consumption", "Rain"), path)
+    schema = "series_id string, timestamp timestamp_ntz, Consumption double, Rain double"
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
+
+
+@query("s7_json_roundtrip", with_series("hourly_by_type") + "SELECT series_id, timestamp, Consumption, Rain FROM hourly_by_type")
+def s7(spark, folder):
+    path = work_folder(spark)
+    write_json(hourly_by_type(spark, folder).select("series_id", "timestamp", "Consumption", "Rain"), path)
+    return read_json(spark, path, "series_id string, timestamp timestamp_ntz, Consumption double, Rain double")
+
+
+@query(
+    "s1_scan_and_keep_last",
+    with_series("hourly_all")
+    + f"""SELECT * EXCLUDE (timestamp), timestamp FROM ({LINES_SQL})""",
+)
+def s1_last(spark, folder):
+    path = work_folder(spark)
+    lines = _csv_lines(spark, folder)
+    # every hour is written twice, the valid line after the outdated one
+    outdated = lines.withColumns({"Consumption": F.lit(-1.0), "_turn": F.lit(0)})
+    both = outdated.unionByName(lines.withColumn("_turn", F.lit(1)))
+    write_csv(both.repartitionByRange(4, "Date", "Time", "_turn").sortWithinPartitions("Date", "Time", "_turn").drop("_turn"), path)
+    parsed = with_timestamp(read_hourly_csv(spark, path)).withColumn("series_id", F.lit("all"))
+    return keep_last(parsed, HOURLY, "file_order").select(*HOURLY_CSV.names, "timestamp")

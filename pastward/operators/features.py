@@ -14,6 +14,7 @@ from pastward.operators.ordering import (
     ROW,
     history_window,
     number_rows,
+    over_history,
     own_block,
     with_history,
 )
@@ -107,5 +108,21 @@ def drop_warm_up(features: DataFrame) -> DataFrame:
     return features.dropna(subset=list(S.WARM_UP))
 
 
+def persistence_table(series: DataFrame, spec: SeriesSpec = HOURLY) -> DataFrame:
+    """The rows of the feature table with only the target's own lags: all that the persistence models read."""
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        week = max(S.PERSISTENCE_LAGS)
+        return {
+            **lag_columns(S.TARGET, S.PERSISTENCE_LAGS, w, "consumption"),
+            **rolling_columns(S.TARGET, (week,), w, "consumption", ("mean", "std")),
+        }
+
+    target = series.select(spec.key, spec.time, F.col(S.TARGET).cast("double").alias(S.TARGET))
+    lags = [f"consumption_lag_{k}" for k in S.PERSISTENCE_LAGS]
+    past = drop_warm_up(over_history(target, spec, max(S.PERSISTENCE_LAGS), build))
+    return past.select(spec.key, spec.time, S.TARGET, *lags)
+
+
 def feature_table(series: DataFrame, spec: SeriesSpec = HOURLY) -> DataFrame:
     return drop_warm_up(past_features(series, spec))
