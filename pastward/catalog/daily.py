@@ -36,6 +36,7 @@ from pastward.spec import DAILY
 SOURCE = "daily_orders_by_priority"
 W = "(PARTITION BY series_id ORDER BY Date)"
 DIGITS = 4  # sums of prices are large
+DAILY_SPANS = (14, 30)  # a span of 7 halves and quarters cents: values that end in 5 right where they are rounded
 
 
 def _window_sql(columns: dict[str, str], digits: int = DIGITS) -> str:
@@ -77,12 +78,12 @@ def b10(spark, folder):
 
 @query(
     "b11_daily_ewm",
-    _window_sql({f"demand_ewm_{span}": ewm_sql("Consumption", span, "Date") for span in (7, 30)}),
+    _window_sql({f"demand_ewm_{span}": ewm_sql("Consumption", span, "Date") for span in DAILY_SPANS}),
 )
 def b11(spark, folder):
     numbered = number_rows(daily_orders_by_priority(spark, folder), DAILY)
-    blocks = join_carries(with_history(numbered, DAILY, 0), numbered, DAILY, "Consumption", (7, 30))
-    columns = ewm_columns(DAILY, "Consumption", (7, 30), "demand_ewm")
+    blocks = join_carries(with_history(numbered, DAILY, 0), numbered, DAILY, "Consumption", DAILY_SPANS)
+    columns = ewm_columns(DAILY, "Consumption", DAILY_SPANS, "demand_ewm")
     return rounded(blocks.select("series_id", "Date", *named(columns)), DIGITS)
 
 

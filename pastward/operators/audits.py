@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.errors import is_finite
@@ -22,6 +22,7 @@ def causality_violations(
     spec: SeriesSpec = HOURLY,
     share: float = 0.5,
     value: str = TARGET,
+    tolerance: float = 1e-9,
 ) -> DataFrame:
     """Change the target from one row of each series on, and count the features that notice up to that row.
 
@@ -37,8 +38,17 @@ def causality_violations(
 
     both = values(series, "a_").join(values(perturbed, "b_"), [spec.key, spec.time]).join(turn, spec.key)
     upto = both.where(F.col(spec.time) <= F.col("_turn"))
-    differs = {f: ~F.equal_null(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in features}
-    counts = upto.agg(F.count("*").alias("rows"), *(F.count_if(differs[f]).alias(f) for f in features))
+    kinds = dict(both.dtypes)
+
+    def differs(feature: str) -> Column:
+        a, b = F.col(f"a_{feature}"), F.col(f"b_{feature}")
+        if kinds[f"a_{feature}"] != "double":
+            return ~F.equal_null(a, b)
+        # sums of the same numbers may differ in their last digits
+        close = F.abs(a - b) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+        return ~(F.equal_null(a, b) | F.coalesce(close, F.lit(False)))
+
+    counts = upto.agg(F.count("*").alias("rows"), *(F.count_if(differs(f)).alias(f) for f in features))
     return counts.unpivot(["rows"], list(features), "feature", "mismatches")
 
 
@@ -59,7 +69,7 @@ def require_finite(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn(first, checked)
 
 
-def _all_finite():
+def _all_finite() -> Column:
     ok = F.lit(True)
     for name in METRICS:
         ok = ok & is_finite(F.col(name))

@@ -24,11 +24,15 @@ BUCKET = "_bucket"
 START = "_start"
 
 
-def time_bucket(spec: SeriesSpec) -> Column:
-    """The span of time a row falls into, ``block_rows`` grid steps wide. Missing keys and times are an error."""
+def checked(spec: SeriesSpec, column: Column) -> Column:
+    """The column, or an error in rows without key or time: they have no place in any series."""
     missing = F.col(spec.key).isNull() | F.col(spec.time).isNull()
-    bucket = F.floor(epoch_seconds(F.col(spec.time)) / F.lit(spec.step_seconds * spec.block_rows))
-    return F.when(missing, F.raise_error(F.lit(f"{spec.key} or {spec.time} is missing"))).otherwise(bucket)
+    return F.when(missing, F.raise_error(F.lit(f"{spec.key} or {spec.time} is missing"))).otherwise(column)
+
+
+def time_bucket(spec: SeriesSpec) -> Column:
+    """The span of time a row falls into, ``block_rows`` grid steps wide."""
+    return checked(spec, F.floor(epoch_seconds(F.col(spec.time)) / F.lit(spec.step_seconds * spec.block_rows)))
 
 
 def keep_last(df: DataFrame, spec: SeriesSpec, ordinal: str) -> DataFrame:
@@ -66,7 +70,7 @@ def number_rows(df: DataFrame, spec: SeriesSpec, *tie_break: str) -> DataFrame:
     return (
         df.withColumn(BUCKET, time_bucket(spec))
         .withColumn(ROW, F.row_number().over(inside).cast("long") - 1)
-        .join(starts, [spec.key, BUCKET])
+        .join(starts, [spec.key, BUCKET], "left")  # an inner join would quietly drop rows without a key
         .select(*df.columns, (F.col(ROW) + F.col(START)).alias(ROW), ROWS)
     )
 

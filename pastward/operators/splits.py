@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.calendar import iso_text
-from pastward.operators.ordering import cutoff_times
+from pastward.operators.ordering import checked, cutoff_times
 from pastward.session import staged
 from pastward.spec import HOURLY, SeriesSpec
 
@@ -36,7 +36,7 @@ def chronological_split(
     split = F.lit(names[0])
     for name in starts:
         split = F.when(F.col(spec.time) >= F.col(f"_{name}_from"), name).otherwise(split)
-    return marked.select(*df.columns, split.alias("split"))
+    return marked.select(*df.columns, checked(spec, split).alias("split"))
 
 
 def holdout(df: DataFrame, spec: SeriesSpec = HOURLY, share: float = 0.80) -> DataFrame:
@@ -92,7 +92,7 @@ def expanding_folds(df: DataFrame, spec: SeriesSpec = HOURLY, folds: int = 5) ->
     starts = [f"_fold_{i}" for i in range(1, folds + 1)]
     marked = df.join(staged(cutoff_times(df, spec, positions)), spec.key, "left")
     reached = [F.coalesce((F.col(spec.time) >= F.col(start)).cast("int"), F.lit(0)) for start in starts]
-    return marked.select(*df.columns, sum(reached[1:], reached[0]).alias("fold"))
+    return marked.select(*df.columns, checked(spec, sum(reached[1:], reached[0])).alias("fold"))
 
 
 def fold_bounds(folded: DataFrame, spec: SeriesSpec = HOURLY) -> DataFrame:
