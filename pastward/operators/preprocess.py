@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -20,10 +21,14 @@ from pastward.functions.bands import ordinal_rank
 from pastward.functions.yeo_johnson import log_jacobian, yeo_johnson
 from pastward.operators.quantiles import exact_quantiles, present_values
 
-# The first search interval for a power, its grid, and how often it is narrowed around the best point.
+# The first search interval for a power, its grid, and the distance of points at which the search ends.
 POWER_RANGE = (-3.0, 5.0)
 POWER_POINTS = 33
-POWER_ROUNDS = 2
+FINEST_STEP = 0.002
+LARGEST_POWER = 50.0
+# Rows that are enough to find out where to look, and the grid that decides on all rows.
+SAMPLE_ROWS = 100_000
+CHECK_POINTS = 9
 MAX_LEVELS = 1000  # a nominal column with more levels than this is not one
 
 
@@ -82,67 +87,98 @@ def robust_statistics(train: DataFrame, columns: Sequence[str]) -> dict[str, tup
     return {c: (q[0.5], q[0.75] - q[0.25] if q[0.75] - q[0.25] > tiny else 1.0) for c, q in found.items()}
 
 
-def fit_powers(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+def fit_powers(train: DataFrame, columns: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
     """The maximum-likelihood power of each column; constant columns keep 1, the identity.
 
-    Every round evaluates a grid of powers for all columns in one aggregate and narrows it around the best point;
-    a best point on the edge moves the grid instead. A parabola through the last three points ends the search.
+    Likelihoods of a grid of powers come from one aggregate for all columns. A grid is narrowed around its best point, or
+    moved when that is on its edge, and a parabola through the best three points ends the search. On large tables a
+    sample only finds out where to look: the grids that decide are evaluated on all rows.
     """
-    values = present_values(train, columns)
-    grids = {c: _grid(*POWER_RANGE) for c in columns}
+    rows = train.count()
+    share = min(1.0, sample_rows / rows) if rows else 1.0
+    part = (train.sample(share, seed=1) if share < 1.0 else train).select(*columns).persist()
+    grids = {c: _Grid(*POWER_RANGE, POWER_POINTS) for c in columns}
+    powers, spacing = _search_powers(part, grids)
+    part.unpersist()
+    if share < 1.0:
+        # a few points around the sample's answer, far enough apart to hold the answer of all rows
+        grids = {c: _Grid(powers[c] - 2 * spacing[c], powers[c] + 2 * spacing[c], CHECK_POINTS) for c in columns}
+        powers, _ = _search_powers(train, grids)
+    return powers
+
+
+@dataclass(frozen=True)
+class _Grid:
+    low: float
+    high: float
+    points: int
+
+    @property
+    def step(self) -> float:
+        return (self.high - self.low) / (self.points - 1)
+
+
+def _search_powers(train: DataFrame, grids: dict[str, _Grid]) -> tuple[dict[str, float], dict[str, float]]:
+    """Best power per column, and a distance within which the best power of a larger table is to be expected."""
+    grids = dict(grids)
+    values = present_values(train, list(grids))
     powers: dict[str, float] = {}
-    narrowed = dict.fromkeys(columns, 0)
+    spacing: dict[str, float] = {}
     while grids:
-        # first point and step of each column's grid, as literals
-        starts = F.create_map(
-            *(x for c, grid in grids.items() for x in (F.lit(c), F.struct(F.lit(grid[0]).alias("at"), F.lit(grid[1] - grid[0]).alias("step"))))
-        )
-        grid_of = F.element_at(starts, F.col("column"))
-        places = F.sequence(F.lit(0), F.lit(POWER_POINTS - 1))
-        points = F.transform(places, lambda i: grid_of["at"] + grid_of["step"] * i)
-        rows = (
-            values.where(F.col("column").isin(*grids))
-            .select("column", "value", F.explode(points).alias("power"))
-            .groupBy("column", "power")
-            .agg(
-                F.count("*").alias("n"),
-                F.var_pop(yeo_johnson(F.col("value"), F.col("power"))).alias("spread"),
-                # the same spread without the constant that swamps small differences; right where no value is negative
-                F.var_pop(F.try_divide(F.pow(F.col("value") + 1.0, F.col("power")), F.col("power"))).alias("sharp_spread"),
-                F.sum(log_jacobian(F.col("value"))).alias("jacobian"),
-                F.min("value").alias("least"),
-                F.max("value").alias("most"),
-            )
-            .collect()
-        )
-        by_column: dict[str, list] = {}
-        for row in rows:
-            by_column.setdefault(row["column"], []).append(row)
-        for column in list(grids):
-            found = sorted(by_column.get(column, []), key=lambda row: row["power"])
-            if not found or found[0]["least"] == found[0]["most"]:
-                powers[column] = 1.0
+        likelihoods = _likelihoods(values, grids)
+        for column, grid in list(grids.items()):
+            at, fits = likelihoods.get(column, ([], []))
+            if not fits:
+                powers[column], spacing[column] = 1.0, 0.01
                 del grids[column]
                 continue
-            fits = [_log_likelihood(row) for row in found]
             best = max(range(len(fits)), key=fits.__getitem__)
-            at = [row["power"] for row in found]
-            step = at[1] - at[0]
-            if best in (0, len(at) - 1) and abs(at[best]) < 50:
-                reach = 2 * (at[-1] - at[0])
-                low, high = (-reach, step) if best == 0 else (-step, reach)
-                grids[column] = _grid(at[best] + low, at[best] + high)
-            elif narrowed[column] == POWER_ROUNDS or best in (0, len(at) - 1):
-                powers[column] = _vertex(at, fits, best)
-                del grids[column]
+            on_edge = best in (0, len(at) - 1)
+            if on_edge and abs(at[best]) < LARGEST_POWER:
+                reach = 2 * (grid.high - grid.low)
+                low, high = (-reach, grid.step) if best == 0 else (-grid.step, reach)
+                grids[column] = _Grid(at[best] + low, at[best] + high, grid.points)
+            elif grid.step > FINEST_STEP and not on_edge:
+                grids[column] = _Grid(at[best] - grid.step, at[best] + grid.step, grid.points)
             else:
-                narrowed[column] += 1
-                grids[column] = _grid(at[best] - step, at[best] + step)
-    return powers
+                powers[column], spacing[column] = _vertex(at, fits, best)
+                del grids[column]
+    return powers, spacing
 
 
-def _grid(low: float, high: float) -> list[float]:
-    return [low + (high - low) * i / (POWER_POINTS - 1) for i in range(POWER_POINTS)]
+def _likelihoods(values: DataFrame, grids: dict[str, _Grid]) -> dict[str, tuple[list[float], list[float]]]:
+    """Log-likelihood of each grid point; nothing for columns without two different values."""
+    # the grids are literals: two numbers per column
+    bounds = F.from_json(
+        F.lit(json.dumps({c: {"low": g.low, "step": g.step} for c, g in grids.items()})),
+        "map<string, struct<low: double, step: double>>",
+    )
+    points = next(iter(grids.values())).points
+    grid = F.element_at(bounds, F.col("column"))
+    powers = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: grid["low"] + grid["step"] * i)
+    x, power = F.col("value"), F.col("power")
+    rows = (
+        values.where(F.col("column").isin(*grids))
+        .select("column", "value", F.explode(powers).alias("power"))
+        .groupBy("column", "power")
+        .agg(
+            F.count("*").alias("n"),
+            F.var_pop(yeo_johnson(x, power)).alias("spread"),
+            # the same spread without the constant that swamps small differences; right where no value is negative
+            F.var_pop(F.try_divide(F.pow(x + 1.0, power), power)).alias("sharp_spread"),
+            F.sum(log_jacobian(x)).alias("jacobian"),
+            F.min(x).alias("least"),
+            F.max(x).alias("most"),
+        )
+        .collect()
+    )
+    found: dict[str, tuple[list[float], list[float]]] = {}
+    for row in sorted(rows, key=lambda row: row["power"]):
+        if row["least"] < row["most"]:
+            at, fits = found.setdefault(row["column"], ([], []))
+            at.append(row["power"])
+            fits.append(_log_likelihood(row))
+    return found
 
 
 def _log_likelihood(row) -> float:
@@ -153,14 +189,16 @@ def _log_likelihood(row) -> float:
     return -row["n"] / 2.0 * math.log(spread) + (row["power"] - 1.0) * row["jacobian"]
 
 
-def _vertex(at: list[float], fits: list[float], best: int) -> float:
+def _vertex(at: list[float], fits: list[float], best: int) -> tuple[float, float]:
+    """Top of the parabola through the best point and its neighbours, and two standard errors from its bend."""
     if best in (0, len(at) - 1):
-        return at[best]
+        return at[best], 0.01
+    step = at[best + 1] - at[best]
     left, mid, right = fits[best - 1 : best + 2]
     bend = left - 2 * mid + right
     if not math.isfinite(bend) or bend >= 0:
-        return at[best]
-    return at[best] + (at[1] - at[0]) * 0.5 * (left - right) / bend
+        return at[best], step
+    return at[best] + step * 0.5 * (left - right) / bend, max(2 * step / math.sqrt(-bend), 1e-6)
 
 
 def target_statistics(train: DataFrame, target: str = S.TARGET) -> tuple[float, float]:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pastward.session import staged
 
 SKETCH_ACCURACY = 10_000  # the sketch's rank error is at most one row in this many
+WHOLE_ROWS = 100_000  # tables of at most this many rows are small enough for the built-in percentile
 
 
 def present_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -24,11 +25,22 @@ def present_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = SKETCH_ACCURACY
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = SKETCH_ACCURACY,
+    whole_rows: int = WHOLE_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row ``by…, column, p, value`` per group, column and probability."""
     values = present_values(df, columns, by)
     group = [*by, "column"]
+    if df.select(F.lit(1)).limit(whole_rows + 1).count() <= whole_rows:
+        wanted = F.array(*(F.lit(float(p)) for p in probs))
+        found = values.groupBy(*group).agg(F.percentile("value", wanted).alias("found"))
+        return found.select(*group, F.explode(F.arrays_zip(wanted.alias("p"), F.col("found").alias("value"))).alias("q")).select(
+            *group, "q.p", "q.value"
+        )
     margin = 2.0 / accuracy
     edges = [F.lit(edge) for p in probs for edge in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = values.groupBy(*group).agg(
