@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from pastward import schema as S
 from pastward.functions.bands import ordinal_rank
-from pastward.functions.yeo_johnson import log_jacobian, yeo_johnson
-from pastward.operators.quantiles import exact_quantiles, present_values
+from pastward.functions.yeo_johnson import log_jacobian, yeo_johnson, yeo_johnson_from_power
+from pastward.operators.quantiles import exact_quantiles
 
 # The first search interval for a power, its grid, and the distance of points at which the search ends.
 POWER_RANGE = (-3.0, 5.0)
@@ -96,7 +96,8 @@ def fit_powers(train: DataFrame, columns: Sequence[str], sample_rows: int = SAMP
     """
     rows = train.count()
     share = min(1.0, sample_rows / rows) if rows else 1.0
-    part = (train.sample(share, seed=1) if share < 1.0 else train).select(*columns).persist()
+    part = (train.sample(share, seed=1) if share < 1.0 else train).select(*columns)
+    part = part.repartition(train.sparkSession.sparkContext.defaultParallelism).persist()
     grids = {c: _Grid(*POWER_RANGE, POWER_POINTS) for c in columns}
     powers, spacing = _search_powers(part, grids)
     part.unpersist()
@@ -121,11 +122,10 @@ class _Grid:
 def _search_powers(train: DataFrame, grids: dict[str, _Grid]) -> tuple[dict[str, float], dict[str, float]]:
     """Best power per column, and a distance within which the best power of a larger table is to be expected."""
     grids = dict(grids)
-    values = present_values(train, list(grids))
     powers: dict[str, float] = {}
     spacing: dict[str, float] = {}
     while grids:
-        likelihoods = _likelihoods(values, grids)
+        likelihoods = _likelihoods(train, grids)
         for column, grid in list(grids.items()):
             at, fits = likelihoods.get(column, ([], []))
             if not fits:
@@ -146,47 +146,56 @@ def _search_powers(train: DataFrame, grids: dict[str, _Grid]) -> tuple[dict[str,
     return powers, spacing
 
 
-def _likelihoods(values: DataFrame, grids: dict[str, _Grid]) -> dict[str, tuple[list[float], list[float]]]:
+def _likelihoods(train: DataFrame, grids: dict[str, _Grid]) -> dict[str, tuple[list[float], list[float]]]:
     """Log-likelihood of each grid point; nothing for columns without two different values."""
-    # the grids are literals: two numbers per column
-    bounds = F.from_json(
-        F.lit(json.dumps({c: {"low": g.low, "step": g.step} for c, g in grids.items()})),
-        "map<string, struct<low: double, step: double>>",
+    # the grids are literals: two numbers next to each column's value
+    entries = F.array(
+        *(
+            F.struct(
+                F.lit(c).alias("column"), F.col(c).cast("double").alias("value"), F.lit(g.low).alias("low"), F.lit(g.step).alias("step")
+            )
+            for c, g in grids.items()
+        )
     )
-    points = next(iter(grids.values())).points
-    grid = F.element_at(bounds, F.col("column"))
-    powers = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: grid["low"] + grid["step"] * i)
-    x, power = F.col("value"), F.col("power")
+    places = F.sequence(F.lit(0), F.lit(next(iter(grids.values())).points - 1))
+    x, power, first = F.col("value"), F.col("power"), F.col("place") == 0
+    # one power function per point: the transform and its spread without the constant both follow from it
+    raised = F.when(x >= 0, F.pow(x + 1.0, power)).otherwise(F.pow(1.0 - x, 2.0 - power))
     rows = (
-        values.where(F.col("column").isin(*grids))
-        .select("column", "value", F.explode(powers).alias("power"))
-        .groupBy("column", "power")
+        train.select(F.explode(entries).alias("entry"))
+        .select("entry.*")
+        .where("value IS NOT NULL AND NOT isnan(value)")
+        .select("column", "value", "low", "step", F.explode(places).alias("place"))
+        .select("column", "value", "place", (F.col("low") + F.col("step") * F.col("place")).alias("power"))
+        .select("*", raised.alias("raised"))
+        .groupBy("column", "place", "power")
         .agg(
             F.count("*").alias("n"),
-            F.var_pop(yeo_johnson(x, power)).alias("spread"),
+            F.var_pop(yeo_johnson_from_power(x, power, F.col("raised"))).alias("spread"),
             # the same spread without the constant that swamps small differences; right where no value is negative
-            F.var_pop(F.try_divide(F.pow(x + 1.0, power), power)).alias("sharp_spread"),
-            F.sum(log_jacobian(x)).alias("jacobian"),
+            F.var_pop(F.try_divide(F.col("raised"), power)).alias("sharp_spread"),
+            F.sum(F.when(first, log_jacobian(x))).alias("jacobian"),
             F.min(x).alias("least"),
             F.max(x).alias("most"),
         )
         .collect()
     )
+    jacobians = {row["column"]: row["jacobian"] for row in rows if row["place"] == 0}
     found: dict[str, tuple[list[float], list[float]]] = {}
     for row in sorted(rows, key=lambda row: row["power"]):
         if row["least"] < row["most"]:
             at, fits = found.setdefault(row["column"], ([], []))
             at.append(row["power"])
-            fits.append(_log_likelihood(row))
+            fits.append(_log_likelihood(row, jacobians[row["column"]]))
     return found
 
 
-def _log_likelihood(row) -> float:
+def _log_likelihood(row, jacobian: float) -> float:
     sharp = row["least"] >= 0 and row["sharp_spread"] is not None
     spread = row["sharp_spread"] if sharp else row["spread"]
     if not spread or not math.isfinite(spread):
         return -math.inf
-    return -row["n"] / 2.0 * math.log(spread) + (row["power"] - 1.0) * row["jacobian"]
+    return -row["n"] / 2.0 * math.log(spread) + (row["power"] - 1.0) * jacobian
 
 
 def _vertex(at: list[float], fits: list[float], best: int) -> tuple[float, float]:
