@@ -38,6 +38,7 @@ from pastward.operators.features import (
     persistence_table,
     previous_change,
     rolling_columns,
+    rolling_levels,
 )
 from pastward.operators.ordering import (
     first_rows,
@@ -317,7 +318,7 @@ def _rolling(name: str, stat: str, aggregate: str):
             folder,
             [S.TARGET],
             168,
-            lambda w: rolling_columns(S.TARGET, S.DEMAND_WINDOWS, w, "consumption", (stat,)),
+            lambda w: rolling_levels(S.TARGET, S.DEMAND_WINDOWS, w, "consumption", (stat,)),
         )
 
 

@@ -90,22 +90,27 @@ def history_window(spec: SeriesSpec, *before_row: str) -> WindowSpec:
     return W.partitionBy(spec.key, BLOCK).orderBy(*before_row, ROW)
 
 
-def over_history(
-    df: DataFrame, spec: SeriesSpec, depth: int, build: Callable[[WindowSpec], dict[str, Column]], *tie_break: str
-) -> DataFrame:
-    """Add window columns that look back at most ``depth`` rows, on a frame that is not numbered yet."""
+Build = Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]]
+
+
+def over_history(df: DataFrame, spec: SeriesSpec, depth: int, build: Build, *tie_break: str) -> DataFrame:
+    """Add window columns that look back at most ``depth`` rows, on a frame that is not numbered yet.
+
+    ``build`` makes the columns from the window; a list of them is added step by step, each step reading the ones
+    before. Columns whose name starts with ``_`` are helpers and do not stay.
+    """
     return over_numbered(number_rows(df, spec, *tie_break), spec, depth, build).drop(ROW, ROWS)
 
 
-def over_numbered(
-    numbered: DataFrame, spec: SeriesSpec, depth: int, build: Callable[[WindowSpec], dict[str, Column]]
-) -> DataFrame:
+def over_numbered(numbered: DataFrame, spec: SeriesSpec, depth: int, build: Build) -> DataFrame:
     """The same for a numbered frame; positions are kept."""
-    columns = build(history_window(spec))
-    wide = with_history(numbered, spec, depth).select(
-        "*", *(column.alias(name) for name, column in columns.items())
-    )
-    return wide.where(F.col(BLOCK) == own_block(spec)).drop(BLOCK)
+    steps = build(history_window(spec))
+    wide = with_history(numbered, spec, depth)
+    helpers = [BLOCK]
+    for columns in [steps] if isinstance(steps, dict) else steps:
+        wide = wide.select("*", *(column.alias(name) for name, column in columns.items()))
+        helpers += [name for name in columns if name.startswith("_")]
+    return wide.where(F.col(BLOCK) == own_block(spec)).drop(*helpers)
 
 
 def cutoff_times(df: DataFrame, spec: SeriesSpec, positions: Callable[[Column], dict[str, Column]]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pastward.operators.ordering import over_history
 from pastward.operators.quantiles import exact_quantiles
+from pastward.session import staged
 from pastward.spec import DAILY, HOURLY, SeriesSpec
 
 # The fence factor and the least number of daily observations to model on.
@@ -120,7 +121,7 @@ def tukey_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def flag_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """All rows with a flag; nothing is removed."""
-    fences = tukey_fences(df, value, by).drop("q1", "q3")
+    fences = staged(tukey_fences(df, value, by).drop("q1", "q3"))  # when small, no row moves for the join
     outside = ~F.col(value).between(F.col("lower_fence"), F.col("upper_fence"))
     return df.join(fences, list(by), "left").select(*df.columns, outside.alias("outside_fences"))
 

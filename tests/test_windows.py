@@ -20,6 +20,7 @@ from pastward.operators.features import (
     persistence_table,
     previous_change,
     rolling_columns,
+    rolling_levels,
 )
 from pastward.operators.ordering import ROW, ROWS, first_rows, keep_last, last_rows, number_rows, over_history, with_history
 from pastward.operators.splits import chronological_split, expanding_folds
@@ -116,6 +117,24 @@ def test_exponential_mean_over_chunks(hourly, spans):
             np.testing.assert_allclose(part[f"e_{span}"].astype(float), expected, rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("windows", [(168,), (24, 168), (37, 50), (3, 96)])
+def test_long_windows_are_put_together_from_short_ones(hourly, windows):
+    rng = np.random.default_rng(8)
+    values = [5.1] * 200 + list(rng.normal(1e5, 3, 300)) + [None] + list(rng.normal(0, 1e-3, 200))
+    build = lambda w: rolling_levels("Consumption", windows, w, "y")
+    wide = over_history(hourly({"a": values, "b": values[:60]}), SMALL, 168, build)
+    assert not [c for c in wide.columns if c.startswith("_")]
+    for part in per_series(wide).values():
+        before = part["Consumption"].shift(1)
+        for n in windows:
+            exact = before.rolling(n, min_periods=n)
+            for stat, fn in (("mean", np.mean), ("min", np.min), ("max", np.max), ("std", lambda x: np.std(x, ddof=1))):
+                expected = exact.apply(fn, raw=True)
+                np.testing.assert_allclose(part[f"y_roll_{stat}_{n}"].astype(float), expected, rtol=1e-9, atol=1e-12)
+        if len(part) > 200 and 168 in windows:
+            assert (part["y_roll_std_168"][168:200] == 0).all()
+
+
 def test_exponential_mean_refuses_missing_values(hourly):
     series = hourly({"a": [1, None, 3]}, Temperature=lambda p: 0.0, Rain=lambda p: 0.0, Sun=lambda p: 0.0)
     with pytest.raises(PySparkException, match="Consumption is missing"):
