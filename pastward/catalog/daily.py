@@ -8,7 +8,6 @@ from pastward import schema as S
 from pastward.catalog.base import (
     daily_orders_by_priority,
     ewm_sql,
-    feature_sql,
     full_window_sql,
     hourly_by_type,
     query,

@@ -90,6 +90,17 @@ def r1(spark, folder):
     return persistence_predictions(rows)
 
 
+@query(
+    "j2_aligned_predictions",
+    _scored_sql("hourly_by_type")
+    + """SELECT series_id, timestamp, Consumption AS actual, consumption_lag_1 AS naive_lag_1, consumption_lag_24 AS naive_lag_24,
+                consumption_lag_168 AS naive_lag_168 FROM split_rows WHERE split = 'validation'""",
+)
+def j2(spark, folder):
+    rows = with_persistence(validation_rows(hourly_by_type(spark, folder)))
+    return rows.select(*KEYS, F.col(S.TARGET).alias("actual"), *persistence_names())
+
+
 @query("a5_regression_metrics", _scored_sql() + f"SELECT model, {METRIC_LIST} FROM (SELECT model, {METRICS_SQL} FROM predictions GROUP BY 1)")
 def a5(spark, folder):
     return rounded(validation_scores(spark, folder))

@@ -48,7 +48,7 @@ from pastward.operators.ordering import (
     over_history,
     with_history,
 )
-from pastward.operators.scoring import lag_of_model, long_predictions, persistence_names, with_persistence
+from pastward.operators.scoring import lag_of_model, long_predictions, persistence_names
 from pastward.operators.splits import chronological_split, expanding_folds, fold_bounds, part_summary, split_summary
 from pastward.session import staged
 from pastward.spec import HOURLY

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pastward.catalog.base import (
-    daily_orders,
     daily_orders_by_priority,
     daily_shipments,
     hourly_all,

@@ -8,9 +8,9 @@ from pastward.catalog.base import hourly_all, hourly_by_type, query, table, with
 from pastward.operators.ordering import keep_last
 from pastward.schema import HOURLY_CSV
 from pastward.session import work_folder
-from pastward.sources.fingerprint import file_hashes, list_files, provenance, table_fingerprint
+from pastward.sources.fingerprint import file_hashes, list_files, provenance, row_hash, table_fingerprint
 from pastward.sources.series import read_hourly_csv, tail_rows, with_timestamp
-from pastward.sources.sinks import read_json, write_csv, write_json
+from pastward.sources.sinks import read_csv, read_json, write_csv, write_json
 from pastward.spec import HOURLY
 
 CSV_COLUMNS = ("Date", "Time", "Consumption", "Temperature", "Rain", "Sun")
@@ -49,6 +49,16 @@ def s4(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+@query(
+    "s4_row_hashes",
+    """SELECT o_orderkey, sha256(concat_ws(chr(31), '=' || o_orderkey, '=' || o_orderstatus, '=' || o_orderpriority)) AS sha256
+       FROM orders""",
+)
+def s4_rows(spark, folder):
+    mark = row_hash(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))
+    return table(spark, folder, "orders").select("o_orderkey", mark.alias("sha256"))
+
+
 @query("s4_file_hashes")
 def s4_files(spark, folder):
     return file_hashes(spark, f"{folder}/*.parquet")
@@ -75,7 +85,7 @@ def s6(spark, folder):
     path = work_folder(spark)
     write_csv(hourly_by_type(spark, folder).select("series_id", "timestamp", "Consumption", "Rain"), path)
     schema = "series_id string, timestamp timestamp_ntz, Consumption double, Rain double"
-    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
+    return read_csv(spark, path, schema)
 
 
 @query("s7_json_roundtrip", with_series("hourly_by_type") + "SELECT series_id, timestamp, Consumption, Rain FROM hourly_by_type")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pastward.operators.ordering import BLOCK, ROW, ROWS, own_block
+from pastward.operators.ordering import BLOCK, ROW, ROWS
 from pastward.spec import SeriesSpec
 
 CHUNK = "_chunk"

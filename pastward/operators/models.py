@@ -8,7 +8,7 @@ shares; they are members of the same families, not the same algorithms.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -164,7 +164,7 @@ class ModelSpec:
 
     name: str
     scale: bool
-    make: callable = field(repr=False)
+    make: Callable[[DataFrame], Estimator] = field(repr=False)
 
 
 def model_spec(name: str, sizes: Sizes = FULL) -> ModelSpec:
