@@ -28,7 +28,9 @@ def decay(span: float) -> float:
 
 def chunk_rows(spec: SeriesSpec, spans: tuple[float, ...]) -> int:
     """Rows per chunk: a power of two that divides a block and keeps the inverse weights of every span in range."""
-    fastest = min(decay(span) for span in spans if span > 1)
+    if min(spans) <= 1:
+        raise ValueError("spans must be above 1")
+    fastest = min(decay(span) for span in spans)
     limit = math.log(LARGEST_WEIGHT) / -math.log(fastest)
     return min(spec.block_rows, 2 ** int(math.log2(max(limit, 1.0))))
 

@@ -75,7 +75,7 @@ def run_files(spark: SparkSession, folder: str, canonical: str, raw: str, out: s
     guard_results(spark, f"{out}/{METRICS_PATH}", overwrite, smoke)
     require_files(spark, folder, [canonical, raw])
     plan = SMOKE_PLAN if smoke else FULL_PLAN
-    hashes = file_hashes(spark, f"{folder}/*").where(F.col("name").isin(canonical, raw))
+    hashes = file_hashes(spark, [f"{folder}/{canonical}", f"{folder}/{raw}"])
     write_json(provenance(hashes, folder, False, {"canonical": canonical, "raw": raw}), f"{out}/provenance", overwrite)
     lines = read_series(spark, f"{folder}/{canonical}", plan.tail)
     series = keep_last(lines, HOURLY, "file_order").drop("file_order")

@@ -28,8 +28,8 @@ def require_files(spark: SparkSession, folder: str, required: Sequence[str]) ->
     return present
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's content."""
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SHA-256 of the content of each file that the paths name; every file is read whole."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
 

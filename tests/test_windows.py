@@ -135,6 +135,12 @@ def test_long_windows_are_put_together_from_short_ones(hourly, windows):
             assert (part["y_roll_std_168"][168:200] == 0).all()
 
 
+def test_span_of_one_is_refused(hourly):
+    numbered = number_rows(hourly({"a": [1, 2]}), SMALL)
+    with pytest.raises(ValueError, match="above 1"):
+        join_carries(with_history(numbered, SMALL, 0), numbered, SMALL, "Consumption", (1,))
+
+
 def test_exponential_mean_refuses_missing_values(hourly):
     series = hourly({"a": [1, None, 3]}, Temperature=lambda p: 0.0, Rain=lambda p: 0.0, Sun=lambda p: 0.0)
     with pytest.raises(PySparkException, match="Consumption is missing"):
