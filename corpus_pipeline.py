@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pastward.llm import substring_dedup
+from pastward.llm import bpe, decontamination, language, near_dedup, substring_dedup
 from pastward.llm.work import Work, table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PERCENT = 85
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without a letter go."""
+    return language.recognised(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    return near_dedup.one_of_each(docs, PERCENT)
+
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words or more that repeat are taken out of the texts."""
-    return substring_dedup.without_repeated_passages(docs)
+    out = substring_dedup.without_repeated_passages(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are dropped of which windows of benchmark items cover a twentieth or more."""
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes that they decode to."""
+    return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-STAGES = [("substring dedup", repeated_passages)]
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("byte-level BPE", tokens),
+]
 
 ORACLE_SQL = None
 

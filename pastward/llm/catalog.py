@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pastward.llm import chat, decontamination, license_scan, quality_classifier, quality_rules
+from pastward.llm.bpe import token_digests
+from pastward.llm.language import predict
+from pastward.llm.near_dedup import near_duplicates
+from pastward.llm.sharding import placed
 from pastward.llm.substring_dedup import repeated_passages
 from pastward.llm.work import table
 
@@ -26,3 +33,52 @@ def query(sql: str | None = None):
 @query()
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
+
+
+@query()
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), percent=85).drop("mark")
+
+
+@query()
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return predict(table(spark, folder, "documents"))
+
+
+@query()
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return placed(table(spark, folder, "documents"))
+
+
+@query(decontamination.SQL)
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("mark")
+
+
+@query(chat.SQL)
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digests(chat.rows_to_turns(chat.with_sample(table(spark, folder, "conversations"))))
+
+
+@query(quality_rules.SQL)
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(table(spark, folder, "documents"))
+
+
+@query()
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    docs = table(spark, folder, "documents")
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    found = license_scan.scan(docs.select(path.alias("path"), "text")).drop("mark")
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "*")
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))

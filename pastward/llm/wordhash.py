@@ -140,8 +140,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets.astype(np.int64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Arrow batches cut into runs of rows with about ``most`` bytes of text: (rows, bytes, offsets). A long text is a run of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, most_rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Arrow batches cut into runs of rows with about ``most`` bytes of text, ``most_rows`` rows at most: (rows, bytes, offsets). A long text is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -149,6 +149,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-            stop = min(stop, batch.num_rows)
+            stop = min(stop, at + most_rows, batch.num_rows)
             yield batch.slice(at, stop - at), data, offsets[at : stop + 1]
             at = stop
