@@ -6,7 +6,6 @@ import random
 
 import public_tokenizers
 import pytest
-import regex
 import tiktoken
 
 from pastward.llm import bpe as op
@@ -26,7 +25,7 @@ def library():
 
 
 def ids(encoder, text):
-    return [i for run in op.text_ids(op._Memory(encoder), regex.compile(public_tokenizers.PATTERN), text) for i in run]
+    return [i for run in op.text_ids(op._Memory(encoder), op.Cutter(public_tokenizers.PATTERN), text) for i in run]
 
 
 def odd_texts(seed, n):
