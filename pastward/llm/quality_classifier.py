@@ -72,7 +72,7 @@ def _sample(work: Work, docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = _drawn(ids.join(known, "doc_id"), LABELLED, 1)
     pool = _drawn(ids.join(known, "doc_id", "left_anti"), POOL, 2).withColumn("label", F.lit(None).cast("double"))
     drawn = F.broadcast(work.put(labelled.unionByName(pool)))  # LABELLED + POOL rows at most
-    rows = docs.join(drawn, "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text", "lang", "source").join(drawn, "doc_id").dropDuplicates(["doc_id"])
     aside = F.col("label").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0)
     return work.put(_views(rows.withColumn("aside", aside), "doc_id", "label", "aside"))
 
