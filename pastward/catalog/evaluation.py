@@ -365,7 +365,7 @@ def b24(spark, folder):
     _scored_sql("hourly_by_type")
     + f"""SELECT series_id, timestamp, model, actual, prediction, {r('actual - prediction')} AS residual,
                  {r('abs(actual - prediction)')} AS absolute_error
-          FROM predictions ORDER BY abs(actual - prediction) DESC, timestamp, model LIMIT 20""",
+          FROM predictions ORDER BY abs(actual - prediction) DESC, timestamp, series_id, model LIMIT 20""",
 )
 def b25(spark, folder):
     rows = validation_rows(hourly_by_type(spark, folder))

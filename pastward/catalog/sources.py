@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pastward.catalog.base import hourly_all, hourly_by_type, query, table, with_series
+from pastward.operators.audits import missing_names
 from pastward.operators.ordering import keep_last
 from pastward.schema import HOURLY_CSV
 from pastward.session import work_folder
 from pastward.sources.fingerprint import file_hashes, list_files, provenance, row_hash, table_fingerprint
 from pastward.sources.series import read_hourly_csv, tail_rows, with_timestamp
-from pastward.sources.sinks import read_csv, read_json, write_csv, write_json
+from pastward.sources.sinks import guard_results, read_csv, read_json, write_csv, write_json
 from pastward.spec import HOURLY
 
 CSV_COLUMNS = ("Date", "Time", "Consumption", "Temperature", "Rain", "Sun")
@@ -49,11 +50,26 @@ def s4(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query(
-    "s4_row_hashes",
-    """SELECT o_orderkey, sha256(concat_ws(chr(31), '=' || o_orderkey, '=' || o_orderstatus, '=' || o_orderpriority)) AS sha256
-       FROM orders""",
-)
+def _part(name: str) -> str:
+    return f"coalesce(length({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+def _hash_sql(*names: str) -> str:
+    return f"sha256({' || '.join(map(_part, names))})"
+
+
+def _fingerprint_sql(source: str, *names: str) -> str:
+    def total(first: int) -> str:
+        return f"sum(CAST(('0x' || substr(mark, {first}, 15))::BIGINT AS DECIMAL(38, 0)))"
+
+    return f"SELECT count(*) AS rows, {total(1)} AS low, {total(16)} AS high FROM (SELECT {_hash_sql(*names)} AS mark FROM {source})"
+
+
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+EVENTS = ("event_id", "ts", "user_id", "event_type", "props")
+
+
+@query("s4_row_hashes", f"SELECT o_orderkey, {_hash_sql('o_orderkey', 'o_orderstatus', 'o_orderpriority')} AS sha256 FROM orders")
 def s4_rows(spark, folder):
     mark = row_hash(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))
     return table(spark, folder, "orders").select("o_orderkey", mark.alias("sha256"))
@@ -64,9 +80,19 @@ def s4_files(spark, folder):
     return file_hashes(spark, f"{folder}/*.parquet")
 
 
-@query("s4_table_fingerprint")
+# half of the status values are taken away, so that missing values are part of the check
+GAPS = "CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END"
+
+
+@query(
+    "s4_table_fingerprint",
+    f"""WITH gaps AS (SELECT * REPLACE ({GAPS} AS o_orderstatus) FROM orders)
+        SELECT rows, CAST(low AS VARCHAR) AS low, CAST(high AS VARCHAR) AS high FROM ({_fingerprint_sql("gaps", *ORDERS)})""",
+)
 def s4_table(spark, folder):
-    return table_fingerprint(table(spark, folder, "lineitem"))
+    orders = table(spark, folder, "orders").withColumn("o_orderstatus", F.expr(GAPS))
+    found = table_fingerprint(orders.select(*ORDERS))
+    return found.select("rows", F.col("low").cast("string"), F.col("high").cast("string"))
 
 
 @query("s3_file_listing")
@@ -74,10 +100,75 @@ def s3(spark, folder):
     return list_files(spark, folder).select("name", "bytes")
 
 
-@query("s5_provenance")
+# customers stand for required inputs, those with orders for present ones
+@query(
+    "s3_required_inputs",
+    "SELECT DISTINCT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+)
+def s3_required(spark, folder):
+    required = table(spark, folder, "customer").select(F.col("c_custkey").alias("name"))
+    present = table(spark, folder, "orders").select(F.col("o_custkey").alias("name"))
+    return missing_names(required, present, "name")
+
+
+def _identity(fingerprint, name):
+    """Name and one hash of a table's fingerprint."""
+    mark = F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("low").cast("string"), F.col("high").cast("string")), 256)
+    return fingerprint.select(F.lit(name).alias("name"), mark.alias("sha256"))
+
+
+@query(
+    "s5_provenance",
+    f"""WITH e AS ({_fingerprint_sql("events", *EVENTS)}), o AS ({_fingerprint_sql("orders", *ORDERS)})
+        SELECT 'generated tables' AS source, true AS synthetic_data, 'events' AS canonical_file, 'orders' AS raw_file,
+               sha256(e.rows || ':' || e.low || ':' || e.high) AS canonical_sha256,
+               sha256(o.rows || ':' || o.low || ':' || o.high) AS raw_sha256 FROM e, o""",
+)
 def s5(spark, folder):
-    hashes = file_hashes(spark, f"{folder}/*.parquet")
-    return provenance(hashes, "generated tables", True, {"canonical": "events.parquet", "raw": "orders.parquet"})
+    events = table_fingerprint(table(spark, folder, "events").select(*EVENTS))
+    orders = table_fingerprint(table(spark, folder, "orders").select(*ORDERS))
+    hashes = _identity(events, "events").unionByName(_identity(orders, "orders"))
+    return provenance(hashes, "generated tables", True, {"canonical": "events", "raw": "orders"})
+
+
+@query(
+    "s8_overwrite_guard",
+    """SELECT attempt, allowed, rows FROM (SELECT count(*) AS rows FROM orders) AS t,
+       (VALUES ('new', true), ('again', false), ('overwrite', true), ('smoke', false)) AS v(attempt, allowed)""",
+)
+def s8(spark, folder):
+    path = work_folder(spark)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    tried = []
+    for attempt, overwrite, smoke in (("new", False, False), ("again", False, False), ("overwrite", True, False), ("smoke", True, True)):
+        try:
+            guard_results(spark, path, overwrite, smoke)
+            write_csv(orders, path, overwrite)
+            tried.append((attempt, True))
+        except FileExistsError:
+            tried.append((attempt, False))
+    rows = read_csv(spark, path, "o_orderkey long, o_orderstatus string").agg(F.count("*").alias("rows"))
+    return rows.select(F.inline(F.array(*(F.struct(F.lit(a).alias("attempt"), F.lit(ok).alias("allowed")) for a, ok in tried))), "rows")
+
+
+@query(
+    "s9_report_tables",
+    """SELECT event_type AS name, count(*) AS rows, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1""",
+)
+def s9(spark, folder):
+    csv, json = work_folder(spark), work_folder(spark)
+    stats = table(spark, folder, "events").groupBy(F.col("event_type").alias("name"))
+    write_csv(stats.agg(F.count("*").alias("rows"), F.round(F.avg("value"), 6).alias("mean")), csv)
+    write_json(stats.agg(F.max("value").alias("most")), json)
+    return read_csv(spark, csv, "name string, rows long, mean double").join(read_json(spark, json, "name string, most double"), "name")
+
+
+@query("s1_reordered_header", with_series("hourly_all") + LINES_SQL)
+def s1_reordered(spark, folder):
+    path = work_folder(spark)
+    lines = _csv_lines(spark, folder).withColumn("Note", F.lit("n/a"))
+    write_csv(lines.select("Sun", "Note", "Time", "Rain", "Consumption", "Date", "Temperature"), path)
+    return with_timestamp(read_hourly_csv(spark, path)).drop("file_order")
 
 
 @query("s6_csv_roundtrip", with_series("hourly_by_type") + "SELECT series_id, timestamp, Consumption, Rain FROM hourly_by_type")

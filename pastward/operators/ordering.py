@@ -36,13 +36,13 @@ def time_bucket(spec: SeriesSpec) -> Column:
 
 
 def keep_last(df: DataFrame, spec: SeriesSpec, ordinal: str) -> DataFrame:
-    """One row per key and time: the one with the highest ``ordinal``.
+    """One row per key and time: the one with the highest ``ordinal``, of equal ones the highest by the other columns.
 
     The maximum is taken before the shuffle too, so many copies of one row cost one row per task.
     """
     identity = [spec.key, spec.time]
     rest = [name for name in df.columns if name not in (*identity, ordinal)]
-    latest = F.max_by(F.struct(ordinal, *rest), F.col(ordinal)).alias("latest")
+    latest = F.max(F.struct(ordinal, *rest)).alias("latest")
     return df.groupBy(*identity).agg(latest).select(*identity, "latest.*").select(*df.columns)
 
 
@@ -113,11 +113,16 @@ def over_numbered(numbered: DataFrame, spec: SeriesSpec, depth: int, build: Buil
     return wide.where(F.col(BLOCK) == own_block(spec)).drop(*helpers)
 
 
-def cutoff_times(df: DataFrame, spec: SeriesSpec, positions: Callable[[Column], dict[str, Column]]) -> DataFrame:
+def cutoff_times(
+    df: DataFrame, spec: SeriesSpec, positions: Callable[[Column], dict[str, Column]], last: bool = False
+) -> DataFrame:
     """Per series, the times found at given positions: one row per series with a column for each.
 
     ``positions`` gets the length of the series. Only the buckets that hold a wanted position are numbered, and
     only key and time are read for it. A position past the end has no time and gives null.
+
+    Rows are then compared with these times, so a time must not be shared with the row on the other side of the cut: the one
+    before it, or the one behind it if the times are ``last`` ones. That is an error, as the parts would have wrong sizes.
     """
     labels = list(positions(F.col(ROWS)))
     wanted = F.array(
@@ -130,13 +135,15 @@ def cutoff_times(df: DataFrame, spec: SeriesSpec, positions: Callable[[Column],
         .where(F.size("wanted") > 0)
     )
     inside = W.partitionBy(spec.key, BUCKET).orderBy(spec.time)
+    shared = F.raise_error(F.concat(F.lit(f"a cut lies between rows of equal {spec.time}: "), F.col(spec.time).cast("string")))
     found = (
         df.select(spec.key, spec.time, time_bucket(spec).alias(BUCKET))
         .join(targets, [spec.key, BUCKET])
         .withColumn(ROW, F.row_number().over(inside) - 1 + F.col(START))
+        .withColumn("beside", F.lead(spec.time).over(inside) if last else F.lag(spec.time).over(inside))
         .withColumn("hits", F.filter("wanted", lambda t: t["at"] == F.col(ROW)))
         .where(F.size("hits") > 0)
-        .select(spec.key, spec.time, F.explode("hits.label").alias("label"))
+        .select(spec.key, F.when(F.col("beside") == F.col(spec.time), shared).otherwise(F.col(spec.time)).alias(spec.time), F.explode("hits.label").alias("label"))
     )
     return found.groupBy(spec.key).agg(
         *(F.max(F.when(F.col("label") == label, F.col(spec.time))).alias(label) for label in labels)
@@ -151,5 +158,5 @@ def last_rows(df: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
 
 def first_rows(df: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
     """The first ``rows`` rows of every series."""
-    end = cutoff_times(df, spec, lambda n: {"_last": F.least(n, F.lit(rows)) - 1})
+    end = cutoff_times(df, spec, lambda n: {"_last": F.least(n, F.lit(rows)) - 1}, last=True)
     return df.join(staged(end), spec.key).where(F.col(spec.time) <= F.col("_last")).select(*df.columns)

@@ -102,12 +102,12 @@ def final_table(metrics: DataFrame, selected: str) -> DataFrame:
     return baselines.unionByName(winner).select("model", "role", *METRICS).orderBy("role", "mae", "model")
 
 
-def worst_rows(predictions: DataFrame, time: str, top: int = 20) -> DataFrame:
-    """The largest absolute errors with their residuals."""
+def worst_rows(predictions: DataFrame, time: str, top: int = 20, key: str = "series_id") -> DataFrame:
+    """The largest absolute errors with their residuals; equal errors in order of time, series and model."""
     residual = F.col("actual") - F.col("prediction")
     return (
         predictions.withColumn("residual", residual)
         .withColumn("absolute_error", F.abs(residual))
-        .orderBy(F.desc("absolute_error"), time, "model")
+        .orderBy(F.desc("absolute_error"), time, key, "model")
         .limit(top)
     )

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pastward.operators.audits import missing_names
 
 
+DIGITS = 15
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """``name, path, bytes`` of the files in a folder, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -35,15 +38,27 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def row_hash(*columns: Column) -> Column:
-    """SHA-256 of a row; missing values differ from empty text."""
-    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """SHA-256 of a row. Each value follows its length, and a missing one is a dash, so no two rows give one text."""
+
+    def part(column: Column) -> Column:
+        text = column.cast("string")
+        return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.sha2(F.concat(*map(part, columns)), 256)
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """``rows, fingerprint``: the same for the same rows in any order and layout."""
-    mark = F.xxhash64(*(F.col(c) for c in df.columns))
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(mark).alias("exclusive"), F.sum(F.pmod(mark, F.lit(2**31))).alias("total"))
+    """``rows, low, high``: the same for the same rows in any order and layout.
+
+    ``low`` and ``high`` add up two runs of 15 digits of each row's hash, as whole numbers that hold 10**19 rows.
+    """
+    marked = df.select(row_hash(*(F.col(f"`{c}`") for c in df.columns)).alias("mark"))
+
+    def total(first: int) -> Column:
+        digits = F.conv(F.substring("mark", first, DIGITS), 16, 10).cast("decimal(19,0)")
+        return F.coalesce(F.sum(digits.cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)")
+
+    return marked.agg(F.count("*").alias("rows"), total(1).alias("low"), total(1 + DIGITS).alias("high"))
 
 
 def provenance(hashes: DataFrame, source: str, synthetic: bool, roles: dict[str, str]) -> DataFrame:

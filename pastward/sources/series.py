@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from pastward.functions.calendar import parse_timestamp
 from pastward.schema import HOURLY_CSV
+from pastward.sources.sinks import read_csv
 
 
 def read_hourly_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan an hourly CSV under a declared schema; a malformed line stops the job.
+    """Scan an hourly CSV, its columns by name, under a declared schema; a malformed line stops the job.
 
     ``file_order`` is the place of a line in its file, for rules that speak of first and last lines.
     """
-    lines = spark.read.schema(HOURLY_CSV).csv(path, header=True, mode="FAILFAST")
+    lines = read_csv(spark, path, HOURLY_CSV)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def results_exist(spark: SparkSession, path: str) -> bool:
@@ -17,9 +19,9 @@ def results_exist(spark: SparkSession, path: str) -> bool:
 
 
 def guard_results(spark: SparkSession, path: str, overwrite: bool, smoke: bool = False) -> None:
-    """Stop when results exist, unless a full run was told to replace them; a smoke run never replaces any."""
+    """An error if the path holds files. ``overwrite`` lifts it for full runs; smoke runs keep off earlier results in any case."""
     if results_exist(spark, path) and (smoke or not overwrite):
-        raise FileExistsError(f"{path} holds results; pass overwrite for a full run that replaces them")
+        raise FileExistsError(f"there are files in {path} already; a full run may overwrite them if it is told to")
 
 
 def _mode(overwrite: bool) -> str:
@@ -38,8 +40,24 @@ def write_parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode(_mode(overwrite)).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Columns are found by their names in the header, in any order; others are left out.
+
+    An absent column, a value that is not of its type, or files with unequal headers are errors.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    lines = spark.read.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+    absent = [f.name for f in wanted if f.name not in lines.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    return lines.select(*(_typed(f).alias(f.name) for f in wanted))
+
+
+def _typed(field: T.StructField) -> Column:
+    text = F.col(f"`{field.name}`")
+    value = text.try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"{field.name} has a value that is no {field.dataType.simpleString()}: "), text))
+    return F.when(text.isNotNull() & value.isNull(), wrong).otherwise(value)
 
 
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -118,7 +118,7 @@ def test_lag_of_model(spark):
 
 def test_worst_rows_descend_and_residuals_add_up(spark):
     df = predictions(spark, [("m", float(i), float(i * i % 7)) for i in range(50)]).withColumn("t", F.col("actual").cast("int"))
-    rows = worst_rows(df, "t", 10).collect()
+    rows = worst_rows(df, "t", 10, key="model").collect()
     assert len(rows) == 10 and [r["absolute_error"] for r in rows] == sorted((r["absolute_error"] for r in rows), reverse=True)
     assert all(r["residual"] == r["actual"] - r["prediction"] for r in rows)
 
