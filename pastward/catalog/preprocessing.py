@@ -143,11 +143,33 @@ def m5(spark, folder):
     return rounded(change.select(*KEYS, *(yeo_johnson(F.col("x"), p).alias(f"power_{i}") for i, p in enumerate(POWERS))), 5)
 
 
-@query("m5_fitted_powers")
+# a grid of powers, and a finer one around its best; powers are compared to one digit
+FITTED_SQL = (
+    SPLIT
+    + """, long AS (
+        SELECT 'Consumption' AS feature, Consumption AS x FROM split_rows WHERE split = 'train'
+        UNION ALL SELECT 'Temperature', Temperature FROM split_rows WHERE split = 'train'),
+    coarse AS (SELECT unnest(range(-80, 81)) / 8.0::DOUBLE AS p),
+    first AS (
+        SELECT feature, p, -count(*) / 2.0::DOUBLE * ln(var_pop(y)) + (p - 1) * sum(sign(x) * ln(1 + abs(x))) AS fit
+        FROM (SELECT feature, x, p, YJ AS y FROM long, coarse) GROUP BY feature, p),
+    fine AS (SELECT feature, p + k / 200.0::DOUBLE AS p FROM (SELECT feature, arg_max(p, fit) AS p FROM first GROUP BY feature), (SELECT unnest(range(-25, 26)) AS k)),
+    second AS (
+        SELECT feature, p, -count(*) / 2.0::DOUBLE * ln(var_pop(y)) + (p - 1) * sum(sign(x) * ln(1 + abs(x))) AS fit
+        FROM (SELECT feature, x, p, YJ AS y FROM long JOIN fine USING (feature)) GROUP BY feature, p)
+    SELECT feature, round(arg_max(p, fit), 1) AS power FROM second GROUP BY feature"""
+).replace(
+    "YJ",
+    """CASE WHEN x >= 0 THEN CASE WHEN abs(p) < 1e-9 THEN ln(1 + x) ELSE (pow(1 + x, p) - 1) / p END
+            WHEN abs(2 - p) < 1e-9 THEN -ln(1 - x) ELSE (1 - pow(1 - x, 2 - p)) / (2 - p) END""",
+)
+
+
+@query("m5_fitted_powers", FITTED_SQL)
 def m5_fit(spark, folder):
     train = _train(_split(spark, folder))
     powers = P.fit_powers(train.select(S.TARGET, "Temperature"), [S.TARGET, "Temperature"])
-    return spark.createDataFrame(sorted(powers.items()), "feature string, power double")
+    return spark.createDataFrame(sorted((name, round(power, 1)) for name, power in powers.items()), "feature string, power double")
 
 
 @query(

@@ -8,21 +8,10 @@ from pyspark.sql import functions as F
 
 def yeo_johnson(x: Column, power: Column | float) -> Column:
     power = power if isinstance(power, Column) else F.lit(float(power))
-    raised = F.when(x >= 0, F.pow(x + 1.0, power)).otherwise(F.pow(1.0 - x, 2.0 - power))
-    return yeo_johnson_from_power(x, power, raised)
-
-
-def yeo_johnson_from_power(x: Column, power: Column, raised: Column) -> Column:
-    """The transform where ``(|x| + 1)`` raised to the power of its side is already known."""
     mirrored = 2.0 - power
     return (
-        F.when((x >= 0) & (power != 0.0), F.try_divide(raised - 1.0, power))
+        F.when((x >= 0) & (power != 0.0), F.try_divide(F.pow(x + 1.0, power) - 1.0, power))
         .when(x >= 0, F.log1p(x))
-        .when(mirrored != 0.0, F.try_divide(1.0 - raised, mirrored))
+        .when(mirrored != 0.0, F.try_divide(1.0 - F.pow(1.0 - x, mirrored), mirrored))
         .otherwise(-F.log1p(-x))
     )
-
-
-def log_jacobian(x: Column) -> Column:
-    """The part of the log-likelihood that is multiplied by (power - 1), for one row."""
-    return F.signum(x) * F.log1p(F.abs(x))

@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
@@ -18,18 +16,10 @@ from pyspark.sql import functions as F
 
 from pastward import schema as S
 from pastward.functions.bands import ordinal_rank
-from pastward.functions.yeo_johnson import log_jacobian, yeo_johnson, yeo_johnson_from_power
-from pastward.operators.quantiles import exact_quantiles
+from pastward.functions.yeo_johnson import yeo_johnson
+from pastward.operators.quantiles import exact_quantiles, present_values
 
-# The first search interval for a power, its grid, and the distance of points at which the search ends.
-POWER_RANGE = (-3.0, 5.0)
-POWER_POINTS = 33
-FINEST_STEP = 0.002
-LARGEST_POWER = 50.0
-# Rows that are enough to find out where to look, and the grid that decides on all rows.
-SAMPLE_ROWS = 100_000
-CHECK_POINTS = 9
-MAX_LEVELS = 1000  # a nominal column with more levels than this is not one
+EXACT = 1e-10  # relative width of the interval at which the search for a power ends
 
 
 def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -47,13 +37,9 @@ def category_counts(train: DataFrame, columns: Sequence[str]) -> dict[str, dict[
         .groupBy("column", "level")
         .agg(F.count("*").alias("rows"))
     )
-    most = MAX_LEVELS * len(columns)
-    rows = counts.limit(most + 1).collect()
     found: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for row in rows:
+    for row in counts.collect():  # one row per level, which becomes a model input
         found[row["column"]][row["level"]] = row["rows"]
-    if len(rows) > most:
-        raise ValueError(f"more than {MAX_LEVELS} levels on average in {', '.join(columns)}")
     return found
 
 
@@ -87,127 +73,107 @@ def robust_statistics(train: DataFrame, columns: Sequence[str]) -> dict[str, tup
     return {c: (q[0.5], q[0.75] - q[0.25] if q[0.75] - q[0.25] > tiny else 1.0) for c, q in found.items()}
 
 
-def fit_powers(train: DataFrame, columns: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
+def fit_powers(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """The maximum-likelihood power of each column; constant columns keep 1, the identity.
 
-    Likelihoods of a grid of powers come from one aggregate for all columns. A grid is narrowed around its best point, or
-    moved when that is on its edge, and a parabola through the best three points ends the search. On large tables a
-    sample only finds out where to look: the grids that decide are evaluated on all rows.
+    The likelihood's slope is 0 at its top. Each round evaluates the slope of every column at one power, on all rows, by one
+    aggregate; intervals around the tops are widened until the slope changes its sign, and then narrowed.
     """
-    rows = train.count()
-    share = min(1.0, sample_rows / rows) if rows else 1.0
-    part = (train.sample(share, seed=1) if share < 1.0 else train).select(*columns)
-    part = part.repartition(train.sparkSession.sparkContext.defaultParallelism).persist()
-    grids = {c: _Grid(*POWER_RANGE, POWER_POINTS) for c in columns}
-    powers, spacing = _search_powers(part, grids)
-    part.unpersist()
-    if share < 1.0:
-        # a few points around the sample's answer, far enough apart to hold the answer of all rows
-        grids = {c: _Grid(powers[c] - 2 * spacing[c], powers[c] + 2 * spacing[c], CHECK_POINTS) for c in columns}
-        powers, _ = _search_powers(train, grids)
-    return powers
-
-
-@dataclass(frozen=True)
-class _Grid:
-    low: float
-    high: float
-    points: int
+    part = train.select(*columns).persist()
+    try:
+        searches = {c: _Search(*facts) for c, facts in _centres(part, columns).items()}
+        while active := {c: s for c, s in searches.items() if not s.done}:
+            for column, slope in _slopes(part, active).items():
+                active[column].seen(slope)
+    finally:
+        part.unpersist()
+    return {c: searches[c].best if c in searches else 1.0 for c in columns}
+
+
+class _Search:
+    """The zero of a falling slope: doubling steps first, then the Illinois variant of the secant rule."""
+
+    def __init__(self, centre: float) -> None:
+        self.centre = centre
+        self.at, self.step, self.done = 1.0, 0.0, False
+        self.low: tuple[float, float] | None = None  # a power where the likelihood rises, and its slope
+        self.high: tuple[float, float] | None = None  # one where it falls
+        self.side = 0
 
     @property
-    def step(self) -> float:
-        return (self.high - self.low) / (self.points - 1)
-
-
-def _search_powers(train: DataFrame, grids: dict[str, _Grid]) -> tuple[dict[str, float], dict[str, float]]:
-    """Best power per column, and a distance within which the best power of a larger table is to be expected."""
-    grids = dict(grids)
-    powers: dict[str, float] = {}
-    spacing: dict[str, float] = {}
-    while grids:
-        likelihoods = _likelihoods(train, grids)
-        for column, grid in list(grids.items()):
-            at, fits = likelihoods.get(column, ([], []))
-            if not fits:
-                powers[column], spacing[column] = 1.0, 0.01
-                del grids[column]
-                continue
-            best = max(range(len(fits)), key=fits.__getitem__)
-            on_edge = best in (0, len(at) - 1)
-            if on_edge and abs(at[best]) < LARGEST_POWER:
-                reach = 2 * (grid.high - grid.low)
-                low, high = (-reach, grid.step) if best == 0 else (-grid.step, reach)
-                grids[column] = _Grid(at[best] + low, at[best] + high, grid.points)
-            elif grid.step > FINEST_STEP and not on_edge:
-                grids[column] = _Grid(at[best] - grid.step, at[best] + grid.step, grid.points)
+    def best(self) -> float:
+        return self.at
+
+    def seen(self, slope: float | None) -> None:
+        """Take the slope at ``at`` and move on; a slope beyond the range of doubles ends the search where it was last known."""
+        if slope is None or not math.isfinite(slope):
+            known = [end[0] for end in (self.low, self.high) if end]
+            if not known or (self.low and self.high):
+                self.done = True
+                self.at = known[0] if known else 1.0
+            else:  # half as far
+                self.step /= 2
+                self.at = known[0] + self.step
+                self.done = abs(self.step) < EXACT * max(1.0, abs(self.at))
+            return
+        if slope == 0:
+            self.done = True
+            return
+        rises = slope > 0
+        if self.low and self.high:
+            if rises:
+                if self.side == 1:
+                    self.high = (self.high[0], self.high[1] / 2)
+                self.low, self.side = (self.at, slope), 1
             else:
-                powers[column], spacing[column] = _vertex(at, fits, best)
-                del grids[column]
-    return powers, spacing
-
-
-def _likelihoods(train: DataFrame, grids: dict[str, _Grid]) -> dict[str, tuple[list[float], list[float]]]:
-    """Log-likelihood of each grid point; nothing for columns without two different values."""
-    # the grids are literals: two numbers next to each column's value
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(c).alias("column"), F.col(c).cast("double").alias("value"), F.lit(g.low).alias("low"), F.lit(g.step).alias("step")
-            )
-            for c, g in grids.items()
-        )
-    )
-    places = F.sequence(F.lit(0), F.lit(next(iter(grids.values())).points - 1))
-    x, power, first = F.col("value"), F.col("power"), F.col("place") == 0
-    # one power function per point: the transform and its spread without the constant both follow from it
-    raised = F.when(x >= 0, F.pow(x + 1.0, power)).otherwise(F.pow(1.0 - x, 2.0 - power))
-    rows = (
-        train.select(F.explode(entries).alias("entry"))
-        .select("entry.*")
-        .where("value IS NOT NULL AND NOT isnan(value)")
-        .select("column", "value", "low", "step", F.explode(places).alias("place"))
-        .select("column", "value", "place", (F.col("low") + F.col("step") * F.col("place")).alias("power"))
-        .select("*", raised.alias("raised"))
-        .groupBy("column", "place", "power")
-        .agg(
-            F.count("*").alias("n"),
-            F.var_pop(yeo_johnson_from_power(x, power, F.col("raised"))).alias("spread"),
-            # the same spread without the constant that swamps small differences; right where no value is negative
-            F.var_pop(F.try_divide(F.col("raised"), power)).alias("sharp_spread"),
-            F.sum(F.when(first, log_jacobian(x))).alias("jacobian"),
-            F.min(x).alias("least"),
-            F.max(x).alias("most"),
-        )
-        .collect()
-    )
-    jacobians = {row["column"]: row["jacobian"] for row in rows if row["place"] == 0}
-    found: dict[str, tuple[list[float], list[float]]] = {}
-    for row in sorted(rows, key=lambda row: row["power"]):
-        if row["least"] < row["most"]:
-            at, fits = found.setdefault(row["column"], ([], []))
-            at.append(row["power"])
-            fits.append(_log_likelihood(row, jacobians[row["column"]]))
-    return found
+                if self.side == -1:
+                    self.low = (self.low[0], self.low[1] / 2)
+                self.high, self.side = (self.at, slope), -1
+        elif rises:
+            self.low = (self.at, slope)
+        else:
+            self.high = (self.at, slope)
+        if self.low and self.high:
+            (a, up), (b, down) = self.low, self.high
+            last, self.at = self.at, (a * down - b * up) / (down - up)
+            if not min(a, b) < self.at < max(a, b):
+                self.at = (a + b) / 2
+            self.done = min(abs(b - a), abs(self.at - last)) <= EXACT * max(1.0, abs(self.at))
+        else:
+            self.step = 2 * self.step if self.step else (1.0 if rises else -1.0)
+            self.at += self.step
+
+
+def _centres(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float]]:
+    """A centre for the logarithms of each column that has two different values.
+
+    Where all values are on one side of 0, powers of values in units of their geometric mean keep their digits at any power.
+    """
+    x = F.col("value")
+    facts = present_values(train, columns).groupBy("column").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.avg(F.log1p(F.abs(x))).alias("centre"))
+    rows = facts.where("least < most").collect()  # one row per column
+    return {r["column"]: (r["centre"] if r["least"] >= 0 or r["most"] < 0 else 0.0,) for r in rows}
 
 
-def _log_likelihood(row, jacobian: float) -> float:
-    sharp = row["least"] >= 0 and row["sharp_spread"] is not None
-    spread = row["sharp_spread"] if sharp else row["spread"]
-    if not spread or not math.isfinite(spread):
-        return -math.inf
-    return -row["n"] / 2.0 * math.log(spread) + (row["power"] - 1.0) * jacobian
-
-
-def _vertex(at: list[float], fits: list[float], best: int) -> tuple[float, float]:
-    """Top of the parabola through the best point and its neighbours, and two standard errors from its bend."""
-    if best in (0, len(at) - 1):
-        return at[best], 0.01
-    step = at[best + 1] - at[best]
-    left, mid, right = fits[best - 1 : best + 2]
-    bend = left - 2 * mid + right
-    if not math.isfinite(bend) or bend >= 0:
-        return at[best], step
-    return at[best] + step * 0.5 * (left - right) / bend, max(2 * step / math.sqrt(-bend), 1e-6)
+def _slopes(train: DataFrame, searches: dict[str, _Search]) -> dict[str, float | None]:
+    """The slope of each column's mean log-likelihood at the power it asks for.
+
+    With u = log(1 + |x|) less its centre and k the power of the value's side (2 - power below 0), the transform is
+    sign·(exp(k·u) - 1) / k up to scale; d is its derivative by the power. The slope is mean(sign·u) - cov(transform, d) /
+    var(transform), where the mean vanishes with a centre.
+    """
+    places = {c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), F.lit(s.at).alias("power"), F.lit(s.centre).alias("centre")) for c, s in searches.items()}
+    rows = train.select(F.explode(F.array(*places.values())).alias("e")).select("e.*").where("x IS NOT NULL AND NOT isnan(x)")
+    below = F.col("x") < 0
+    rows = rows.select("column", F.when(below, -1.0).otherwise(1.0).alias("sign"), (F.log1p(F.abs("x")) - F.col("centre")).alias("u"), F.when(below, 2.0 - F.col("power")).otherwise(F.col("power")).alias("k"), "centre")
+    u, k = F.col("u"), F.col("k")
+    flat = F.abs(k * u) < 1e-5  # series of the quotients near 0
+    bent = F.when(flat, u * (1 + k * u / 2 + k * k * u * u / 6)).otherwise(F.try_divide(F.expm1(k * u), k))
+    turn = F.when(flat, u * u * (0.5 + k * u / 3)).otherwise(F.try_divide(u * F.exp(k * u) - bent, k))
+    rows = rows.select("column", "sign", "u", "centre", (F.col("sign") * bent).alias("bent"), turn.alias("turn"))
+    # the derivative by the power has the sign of the side twice: once for the transform, once for 2 - power
+    slope = F.avg(F.when(F.col("centre") == 0, F.col("sign") * u).otherwise(0.0)) - F.try_divide(F.covar_pop("bent", "turn"), F.var_pop("bent"))
+    return {r["column"]: r["slope"] for r in rows.groupBy("column").agg(slope.alias("slope")).collect()}  # one row per column
 
 
 def target_statistics(train: DataFrame, target: str = S.TARGET) -> tuple[float, float]:

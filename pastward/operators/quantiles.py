@@ -1,22 +1,21 @@
-"""Exact order statistics and modes of large groups.
+"""Exact order statistics of groups of any size.
 
-The built-in exact percentile holds every distinct value of a group in one task. Here a sketch first brackets the
-wanted ranks; then only values inside the bracket are counted one by one, which is a small share of the rows.
+Equal values are counted first. The counts are dealt out by ranges of values, so each slice of a group is bounded and the
+slices are in order; the rows before a slice follow from one number per slice. Only slices that hold a wanted rank are
+ranked, each on its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pastward.session import staged
 
-SKETCH_ACCURACY = 10_000  # the sketch's rank error is at most one row in this many
-WHOLE_ROWS = 100_000  # tables of at most this many rows are small enough for the built-in percentile
-
 
 def present_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form ``by…, column, value`` without missing values."""
@@ -25,70 +24,34 @@ def present_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    accuracy: int = SKETCH_ACCURACY,
-    whole_rows: int = WHOLE_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), slices: int | None = None
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one row ``by…, column, p, value`` per group, column and probability."""
-    values = present_values(df, columns, by)
-    group = [*by, "column"]
-    if df.select(F.lit(1)).limit(whole_rows + 1).count() <= whole_rows:
-        wanted = F.array(*(F.lit(float(p)) for p in probs))
-        found = values.groupBy(*group).agg(F.percentile("value", wanted).alias("found"))
-        return found.select(*group, F.explode(F.arrays_zip(wanted.alias("p"), F.col("found").alias("value"))).alias("q")).select(
-            *group, "q.p", "q.value"
-        )
-    margin = 2.0 / accuracy
-    edges = [F.lit(edge) for p in probs for edge in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = values.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.percentile_approx("value", F.array(*edges), F.lit(accuracy)).alias("edges"),
-    )
-    # the margin covers the sketch's error and one row from this many rows on; smaller groups are counted whole
-    large = F.col("n") >= accuracy
-
-    def bracket(i: int, p: float) -> Column:
-        low = F.when(large, F.col("edges")[2 * i]).otherwise(F.col("least"))
-        high = F.when(large, F.col("edges")[2 * i + 1]).otherwise(F.col("most"))
-        return F.struct(F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high"))
-
-    brackets = sketch.select(*group, "n", F.array(*(bracket(i, p) for i, p in enumerate(probs))).alias("brackets"))
-    # staged: its real size decides whether it is broadcast, so the values need not move
-    located = values.join(staged(brackets), group).select(
-        *group, "n", "value", F.explode(F.filter("brackets", lambda b: F.col("value") <= b["high"])).alias("b")
-    )
-    # all rows below a bracket become one count, the values inside it are counted one by one
-    inside = F.when(F.col("value") >= F.col("b.low"), F.col("value"))
-    counted = located.groupBy(*group, "n", F.col("b.p").alias("p"), inside.alias("value")).agg(F.count("*").alias("rows"))
-    upto = W.partitionBy(*group, "p").orderBy(F.asc_nulls_first("value"))
-    ranked = counted.withColumn("last", F.sum("rows").over(upto) - 1)
-    rank = F.col("p") * (F.col("n") - 1)
+    """Linearly interpolated quantiles: one row ``by…, column, p, value`` per group, column and probability.
 
-    def at(position: Column) -> Column:
-        hit = (position >= F.col("last") - F.col("rows") + 1) & (position <= F.col("last"))
-        return F.max(F.when(hit, F.col("value")))
-
-    picked = ranked.groupBy(*group, "p", "n").agg(at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"))
-    missed = F.col("low").isNull() | F.col("high").isNull()
-    share = rank - F.floor(rank)
-    value = F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(
-        F.col("low") + (F.col("high") - F.col("low")) * share
-    )
-    return picked.select(*group, "p", value.alias("value"))
-
-
-def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The most frequent value of each column as text, the smallest of equally frequent ones."""
-    texts = df.select(*(F.col(c).cast("string").alias(c) for c in columns))
-    counts = (
-        texts.unpivot([], list(columns), "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("rows"))
+    ``slices`` is the number of value ranges, that of shuffle partitions if not given.
+    """
+    group = [*by, "column"]
+    counted = staged(present_values(df, columns, by).groupBy(*group, "value").agg(F.count("*").alias("rows")))
+    order = [*group, "value"]
+    ranged = counted.repartitionByRange(slices, *order) if slices else counted.repartitionByRange(*order)
+    sliced = staged(ranged.withColumn("slice", F.spark_partition_id()))
+
+    whole = W.partitionBy(*group)
+    sums = sliced.groupBy(*group, "slice").agg(F.sum("rows").alias("held"))
+    before = F.sum("held").over(whole.orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*group, "slice", "held", F.coalesce(before, F.lit(0)).alias("before"), F.sum("held").over(whole).alias("n"))
+    rank = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    wanted = F.array(*(F.struct(F.lit(float(p)).alias("p"), rank(p).alias("rank"), end(rank(p)).alias("at")) for p in probs for end in (F.floor, F.ceil)))
+    here = F.filter(wanted, lambda t: (t["at"] >= F.col("before")) & (t["at"] < F.col("before") + F.col("held")))
+    targets = sums.select(*(F.col(c).alias(f"of_{c}") for c in (*group, "slice")), "before", F.array_distinct(here).alias("wanted")).where(F.size("wanted") > 0)
+
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*group, "slice")))
+    upto = F.sum("rows").over(W.partitionBy(*group, "slice").orderBy("value"))
+    ranked = sliced.join(targets, same).withColumn("last", F.col("before") + upto - 1)
+    hits = F.filter("wanted", lambda t: (t["at"] <= F.col("last")) & (t["at"] > F.col("last") - F.col("rows")))
+    found = ranked.select(*group, "value", F.explode(hits).alias("hit")).select(*group, "value", "hit.*")
+    low, high = (F.max(F.when(F.col("at") == end("rank"), F.col("value"))) for end in (F.floor, F.ceil))
+    share = F.col("rank") - F.floor("rank")
+    return found.groupBy(*group, "p", "rank").agg(low.alias("low"), high.alias("high")).select(
+        *group, "p", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("value")
     )
-    return counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("rows"), "value")).alias("value"))

@@ -77,16 +77,32 @@ def test_powers_maximise_the_likelihood(spark):
         grid = np.linspace(powers[name] - 0.02, powers[name] + 0.02, 4001)
         best = grid[np.argmax([likelihood(data[name], p) for p in grid])]
         assert powers[name] == pytest.approx(best, abs=2e-5)
-    # the same answer when a sample only points the way
-    again = P.fit_powers(df, list(data), sample_rows=200)
-    assert again["constant"] == 1.0
-    for name in ("skewed", "signed"):
-        assert again[name] == pytest.approx(powers[name], abs=2e-4)
-    # a power outside the first interval is found by moving the grid
+    # the same answer for any partitioning
+    for parts_ in (1, 7):
+        again = P.fit_powers(df.repartition(parts_), list(data))
+        assert all(again[name] == pytest.approx(powers[name], rel=1e-8) for name in data)
+    # a power far from the start
     for step in (-0.5, 0.5):
         assert likelihood(data["far"], powers["far"]) >= likelihood(data["far"], powers["far"] + step)
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_powers_of_nearly_constant_and_one_sided_columns(spark, sign):
+    rng = np.random.default_rng(2)
+    x = sign * (900 + np.where(rng.random(500) < 0.97, rng.normal(0, 0.01, 500), rng.normal(-30, 5, 500)))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    power = P.fit_powers(df, ["x"])["x"]
+    assert P.fit_powers(df.repartition(5), ["x"])["x"] == pytest.approx(power, rel=1e-8)
+    u = np.log1p(np.abs(x)).astype(np.longdouble)
+    u -= u.mean()
+
+    def likelihood(p):
+        k = p if sign > 0 else 2 - p
+        return -np.log((np.expm1(k * u) / k).var()) / 2
+
+    assert all(likelihood(power) >= likelihood(power + step) for step in (-1e-3, 1e-3, -1.0, 1.0))
+
+
 def test_fitted_values_ignore_later_rows(split):
     train, *_ = parts(split)
     later = F.col("split") != "train"
