@@ -81,7 +81,7 @@ def b10(spark, folder):
 )
 def b11(spark, folder):
     numbered = number_rows(daily_orders_by_priority(spark, folder), DAILY)
-    blocks = join_carries(with_history(numbered, DAILY, 0), numbered, DAILY, "Consumption", DAILY_SPANS)
+    blocks = join_carries(with_history(numbered, DAILY, 0), DAILY, "Consumption", DAILY_SPANS)
     columns = ewm_columns(DAILY, "Consumption", DAILY_SPANS, "demand_ewm")
     return rounded(blocks.select("series_id", "Date", *named(columns)), DIGITS)
 
@@ -218,12 +218,35 @@ def b19_matrix(spark, folder):
     return rounded(spark.createDataFrame(rows, "first string, second string, correlation double"))
 
 
-@query("b19_redundancy_filter")
+def _greedy_sql() -> str:
+    """A walk over the features by falling score; one stays if no kept one is too close to it."""
+    names = list(CANDIDATES)
+    close = ", ".join(
+        f"list_filter([{', '.join(f'CASE WHEN abs(corr({a}, {b})) >= 0.98 THEN {b!r} END' for b in names if b != a)}], lambda x: x IS NOT NULL) AS c{i}"
+        for i, a in enumerate(names)
+    )
+    scores = ", ".join(f"abs(corr({a}, Consumption)) AS s{i}" for i, a in enumerate(names))
+    rows = " UNION ALL ".join(f"SELECT {a!r} AS feature, s{i} AS score, c{i} AS close FROM wide" for i, a in enumerate(names))
+    return (
+        with_series("hourly_by_type", then=CANDIDATES_SQL + "," + split_sql("candidate_rows")).replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", wide AS (SELECT {scores}, {close} FROM split_rows WHERE split = 'train'),
+            scored AS ({rows}),
+            placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, feature) AS place FROM scored),
+            walk AS (
+                SELECT 0::BIGINT AS place, []::VARCHAR[] AS kept
+                UNION ALL SELECT p.place, CASE WHEN list_has_any(kept, close) THEN kept ELSE list_append(kept, feature) END
+                FROM walk JOIN placed p ON p.place = walk.place + 1)
+            SELECT feature, round(score, 7) AS score FROM placed
+            WHERE list_contains((SELECT kept FROM walk ORDER BY place DESC LIMIT 1), feature)"""
+    )
+
+
+@query("b19_redundancy_filter", _greedy_sql())
 def b19(spark, folder):
     train = staged(chronological_split(_candidates(spark, folder)).where("split = 'train'"))
     scores = {row["feature"]: row["score"] for row in target_correlation(train, list(CANDIDATES)).collect()}
     kept = drop_redundant(scores, correlation_matrix(train, list(CANDIDATES)))
-    return spark.createDataFrame([(name, scores[name]) for name in kept], "feature string, score double")
+    return rounded(spark.createDataFrame([(name, scores[name]) for name in kept], "feature string, score double"))
 
 
 def _stability_sql() -> str:

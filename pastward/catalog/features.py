@@ -8,6 +8,7 @@ from pastward import schema as S
 from pastward.catalog.base import (
     W_SQL,
     ewm_sql,
+    daily_shipments,
     feature_sql,
     fold_sql,
     full_window_sql,
@@ -49,9 +50,9 @@ from pastward.operators.ordering import (
     with_history,
 )
 from pastward.operators.scoring import lag_of_model, long_predictions, persistence_names
-from pastward.operators.splits import chronological_split, expanding_folds, fold_bounds, part_summary, split_summary
+from pastward.operators.splits import chronological_split, expanding_folds, fold_bounds, holdout, part_summary, split_summary
 from pastward.session import staged
-from pastward.spec import HOURLY
+from pastward.spec import DAILY, HOURLY, SeriesSpec
 
 KEYS = ["series_id", "timestamp"]
 
@@ -197,10 +198,13 @@ def p9(spark, folder):
 
 @query(
     "p10_drop_if_present",
-    "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    """SELECT event_type AS model, round(avg(value), 6) AS mae, turn FROM events, (VALUES ('with'), ('without')) AS v(turn) GROUP BY ALL""",
 )
 def p10(spark, folder):
-    return spark.read.parquet(f"{folder}/nation.parquet").drop("fit_seconds").select("n_nationkey", "n_name", "n_regionkey")
+    stats = spark.read.parquet(f"{folder}/events.parquet").groupBy(F.col("event_type").alias("model"))
+    timed = stats.agg(F.round(F.avg("value"), 6).alias("mae"), F.max("value").alias("fit_seconds"))
+    dropped = [frame.drop("fit_seconds").withColumn("turn", F.lit(turn)) for frame, turn in ((timed, "with"), (timed.drop("fit_seconds"), "without"))]
+    return dropped[0].union(dropped[1])
 
 
 @query(
@@ -331,10 +335,82 @@ _rolling("w5_rolling_max", "max", "max")
 @query("w6_ewm_mean", _window_sql({f"consumption_ewm_{span}": ewm_sql("Consumption", span) for span in (6, 24)}))
 def w6(spark, folder):
     numbered = number_rows(hourly_by_type(spark, folder).select(*KEYS, S.TARGET), HOURLY)
-    blocks = join_carries(with_history(numbered, HOURLY, 0), numbered, HOURLY, S.TARGET, S.EWM_SPANS)
+    blocks = join_carries(with_history(numbered, HOURLY, 0), HOURLY, S.TARGET, S.EWM_SPANS)
     return rounded(blocks.select(*KEYS, *named(ewm_columns(HOURLY, S.TARGET, S.EWM_SPANS, "consumption_ewm"))))
 
 
+# stretches of 2, 30 and 101 hours without a value, and blocks of 64 rows, so that gaps cross the borders of blocks
+SMALL = SeriesSpec(block_rows=64)
+GAPPED = "CASE WHEN hour(timestamp) IN (4, 5) OR day(timestamp) = 9 OR day(timestamp) BETWEEN 14 AND 17 THEN NULL ELSE Consumption END"
+GAPS_SQL = with_series("hourly_by_type", then=f"gapped AS (SELECT * REPLACE ({GAPPED} AS Consumption) FROM hourly_by_type)")
+
+
+def _gapped(spark, folder):
+    return hourly_by_type(spark, folder).withColumn(S.TARGET, F.expr(GAPPED))
+
+
+@query(
+    "w6_ewm_over_gaps",
+    GAPS_SQL
+    + "SELECT series_id, timestamp, "
+    + ", ".join(
+        f"""round(list_reduce(list(struct_pack(e := Consumption, w := 1.0::DOUBLE)) OVER (PARTITION BY series_id ORDER BY timestamp
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+              lambda s, x: CASE WHEN x.e IS NULL THEN struct_pack(e := s.e, w := s.w * {1 - 2 / (span + 1)!r}::DOUBLE)
+                                WHEN s.e IS NULL THEN struct_pack(e := x.e, w := 1.0::DOUBLE)
+                                ELSE struct_pack(e := (s.w * {1 - 2 / (span + 1)!r}::DOUBLE * s.e + {2 / (span + 1)!r}::DOUBLE * x.e)
+                                                      / (s.w * {1 - 2 / (span + 1)!r}::DOUBLE + {2 / (span + 1)!r}::DOUBLE), w := 1.0::DOUBLE) END).e, 6)
+            AS consumption_ewm_{span}"""
+        for span in (6, 24)
+    )
+    + " FROM gapped",
+)
+def w6_gaps(spark, folder):
+    numbered = number_rows(_gapped(spark, folder).select(*KEYS, S.TARGET), SMALL)
+    blocks = join_carries(with_history(numbered, SMALL, 0), SMALL, S.TARGET, S.EWM_SPANS)
+    return rounded(blocks.select(*KEYS, *named(ewm_columns(SMALL, S.TARGET, S.EWM_SPANS, "consumption_ewm"))), 6)
+
+
+@query(
+    "f1_warm_up_over_gaps",
+    GAPS_SQL + "," + feature_sql("gapped") + """ SELECT series_id, timestamp, Consumption, round(consumption_roll_mean_168, 6) AS consumption_roll_mean_168
+         FROM feature_rows""",
+)
+def f1_gaps(spark, folder):
+    features = feature_table(_gapped(spark, folder), SMALL)
+    return rounded(features.select(*KEYS, S.TARGET, "consumption_roll_mean_168"), 6)
+
+
+@query(
+    "w1_w5_small_blocks",
+    _window_sql(
+        {"consumption_lag_168": f"lag(Consumption, 168) OVER {W_SQL}"}
+        | {
+            f"consumption_roll_{name}_{n}": full_window_sql(f"{function}(Consumption)", "Consumption", n)
+            for n in (24, 168)
+            for name, function in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))
+        }
+    ),
+)
+def small_blocks(spark, folder):
+    def build(w):
+        first, second = rolling_levels(S.TARGET, (24, 168), w, "consumption")
+        return [{**lag_columns(S.TARGET, (168,), w, "consumption"), **first}, second]
+
+    rows = over_history(hourly_by_type(spark, folder).select(*KEYS, S.TARGET), SMALL, 168, build)
+    return rounded(rows.drop(S.TARGET))
+
+
+@query(
+    "w10_w12_small_blocks",
+    with_series("hourly_by_type", then=split_sql("hourly_by_type") + "," + fold_sql("split_rows", 5))
+    + "SELECT series_id, timestamp, split, fold FROM fold_rows",
+)
+def small_cuts(spark, folder):
+    rows = chronological_split(hourly_by_type(spark, folder).select(*KEYS), SMALL)
+    return expanding_folds(rows, SMALL)
+
+
 @query(
     "w7_previous_change",
     _window_sql({"consumption_prev_change": f"lag(Consumption, 1) OVER {W_SQL} - lag(Consumption, 2) OVER {W_SQL}"}),
@@ -462,10 +538,10 @@ def o5(spark, folder):
 
 @query(
     "o6_first_training_rows",
-    with_series("hourly_by_type", then=split_sql("hourly_by_type"))
-    + "SELECT series_id, timestamp, Consumption FROM split_rows WHERE split = 'train' AND position < 2000",
+    with_series("daily_shipments", then=split_sql("daily_shipments", "Date", (0.95, 1.0)))
+    + "SELECT series_id, Date, Consumption FROM split_rows WHERE split = 'train' AND position < 2000",
 )
 def o6(spark, folder):
-    split = chronological_split(hourly_by_type(spark, folder).select(*KEYS, S.TARGET))
-    return first_rows(split.where("split = 'train'").drop("split"), HOURLY, 2000)
+    train = holdout(daily_shipments(spark, folder), DAILY, 0.95).where("split = 'train'")  # more than 2000 days
+    return first_rows(train.drop("split"), DAILY, 2000)
 

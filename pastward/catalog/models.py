@@ -1,12 +1,14 @@
-"""Fitted models, their cross-validation, search and importances.
+"""Fitted models, their cross-validation, search and importances.
 
-Tree ensembles run at quick-run sizes here. They have no SQL: their results depend on the library that grows the trees.
+Sizes are the full ones. Trees depend on the library that grows them, so SQL states which rows are predicted and what must
+hold for each prediction; ridge on two columns is stated by its normal equations.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pastward import schema as S
@@ -39,10 +41,13 @@ from pastward.operators.scoring import (
 )
 from pastward.operators.selection import importances, permutation_importance, select_top, stability_ranking
 from pastward.operators.splits import chronological_split, development, expanding_folds
-from pastward.operators.tuning import SMOKE_SPACE, best_trial, search, trial_sizes
+from pastward.operators.tuning import SearchSpace, best_trial, search, trial_sizes
+from pastward.plans.experiment import fit_times
 from pastward.session import staged
 
 KEYS = ["series_id", "timestamp"]
+SPLIT_SQL = with_series("hourly_all", then=feature_sql("hourly_all") + "," + split_sql("feature_rows"))
+EVENTS_SQL = "(SELECT count(*) AS events FROM events)"
 
 
 def split_rows(spark, folder, series=hourly_all):
@@ -53,14 +58,34 @@ def parts(rows):
     return rows.where("split = 'train'"), rows.where("split = 'validation'")
 
 
-def validation_predictions(spark, folder, names, sizes=M.SMOKE):
-    train, validation = parts(split_rows(spark, folder))
-    fitted = M.fit_many([M.model_spec(name, sizes) for name in names], train)
-    return M.predict_many(fitted, validation).select(*KEYS, F.col(S.TARGET).alias("actual"), *names)
+def _rows_sql(extra: str = "") -> str:
+    """Keys and actual values of the validation rows, and what must hold for every prediction."""
+    return (
+        SPLIT_SQL
+        + f"""SELECT series_id, timestamp, round(Consumption, 6) AS actual, true AS predicted, true AS plausible{extra}
+              FROM split_rows WHERE split = 'validation'"""
+    )
+
+
+def _names_sql(names, rest: str) -> str:
+    return f"SELECT model, {rest} FROM (VALUES {', '.join(f'({n!r})' for n in names)}) AS v(model), {EVENTS_SQL}"
+
+
+def checked(name, train):
+    """Whether each row has a finite prediction, and one within the target's range on training rows, widened by that range."""
+    low, high = train.agg(F.min(S.TARGET), F.max(S.TARGET)).first()
+    value = F.col(name)
+    return [
+        F.round(S.TARGET, 6).alias("actual"),
+        (value.isNotNull() & ~F.isnan(value)).alias("predicted"),
+        value.between(2 * low - high, 2 * high - low).alias("plausible"),
+    ]
 
 
 def _predictions(spark, folder, model):
-    return rounded(validation_predictions(spark, folder, [model]), 6)
+    train, validation = parts(split_rows(spark, folder))
+    fitted = M.fit_many([M.model_spec(model)], train)
+    return M.predict_many(fitted, validation).select(*KEYS, *checked(model, train))
 
 
 for _id, _model in (
@@ -70,7 +95,30 @@ for _id, _model in (
     ("r5_histogram_boosting", M.HISTOGRAM),
     ("r6_gradient_boosting", M.BOOSTING),
 ):
-    query(_id)(partial(_predictions, model=_model))
+    query(_id, _rows_sql())(partial(_predictions, model=_model))
+
+
+LAGS = ("consumption_lag_1", "consumption_lag_24")
+
+
+@query(
+    "r2_ridge_closed_form",
+    SPLIT_SQL
+    + """, m AS (
+        SELECT avg(consumption_lag_1) AS ma, avg(consumption_lag_24) AS mb, avg(Consumption) AS my,
+               count(*) * var_pop(consumption_lag_1) + 2 AS aa, count(*) * var_pop(consumption_lag_24) + 2 AS bb,
+               count(*) * covar_pop(consumption_lag_1, consumption_lag_24) AS ab,
+               count(*) * covar_pop(consumption_lag_1, Consumption) AS ay, count(*) * covar_pop(consumption_lag_24, Consumption) AS yb
+        FROM split_rows WHERE split = 'train'),
+      w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)
+      SELECT series_id, timestamp, round(my + wa * (consumption_lag_1 - ma) + wb * (consumption_lag_24 - mb), 4) AS prediction
+      FROM split_rows, w WHERE split = 'validation'""",
+)
+def r2_closed(spark, folder):
+    rows = split_features(hourly_all(spark, folder))
+    train, validation = parts(VectorAssembler(inputCols=list(LAGS), outputCol="features").transform(rows))
+    model = M.ridge(train).fit(train)
+    return model.transform(validation).select(*KEYS, F.round("prediction", 4).alias("prediction"))
 
 
 @query(
@@ -85,74 +133,110 @@ def r7(spark, folder):
     return rounded(rows.select(*KEYS, M.vote(weights).alias(M.VOTING)))
 
 
-@query("r7_voting_ensemble")
+@query("r7_voting_ensemble", _rows_sql(", true AS vote_is_weighted_mean"))
 def r7_models(spark, folder):
-    names = [name for name, _ in M.VOTES]
-    predicted = staged(validation_predictions(spark, folder, names).withColumn(M.VOTING, M.vote()))
-    return leaderboard(score(long_predictions(predicted, KEYS, [*names, M.VOTING], actual="actual")))
+    train, validation = parts(split_rows(spark, folder))
+    fitted = M.fit_many([M.model_spec(name) for name, _ in M.VOTES], train)
+    predicted = M.predict_many(fitted, validation).withColumn(M.VOTING, M.vote())
+    mean = (F.col(M.BAGGING) + F.col(M.HISTOGRAM) + 2 * F.col(M.BOOSTING)) / 4
+    return predicted.select(*KEYS, *checked(M.VOTING, train), (F.abs(F.col(M.VOTING) - mean) < 1e-6).alias("vote_is_weighted_mean"))
 
 
 def _search(rows):
-    return search(development(rows).drop("split"), space=SMOKE_SPACE, trials=2, folds=2)
+    return search(development(rows).drop("split"))
 
 
-@query("e2_random_search")
+@query(
+    "e2_random_search",
+    f"SELECT unnest(range(8))::INTEGER AS number, 'COMPLETE' AS state, true AS inside_space, true AS scored FROM {EVENTS_SQL}",
+)
 def e2(spark, folder):
-    return _search(split_rows(spark, folder))
+    trials, space = _search(split_rows(spark, folder)), SearchSpace()
+    inside = F.col("rounds").between(*space.rounds[:2])
+    for name in ("depth", "rate", "child", "rows", "columns"):
+        inside &= F.col(name).between(*getattr(space, name))
+    return trials.select("number", "state", inside.alias("inside_space"), (F.col("value") > 0).alias("scored"))
 
 
-@query("r8_tuned_boosting")
+@query("r8_tuned_boosting", _rows_sql())
 def r8(spark, folder):
     rows = split_rows(spark, folder)
     train, validation = parts(rows)
-    sizes = trial_sizes(best_trial(_search(rows)), M.SMOKE)
-    fitted = M.fit_many([M.model_spec(M.TUNED, sizes)], train)
-    return M.predict_many(fitted, validation).select(*KEYS, F.col(S.TARGET).alias("actual"), M.TUNED)
+    fitted = M.fit_many([M.model_spec(M.TUNED, trial_sizes(best_trial(_search(rows))))], train)
+    return M.predict_many(fitted, validation).select(*KEYS, *checked(M.TUNED, train))
 
 
-@query("e1_cross_validated_models")
+def _finite(*names):
+    ok = F.lit(True)
+    for name in names:
+        ok &= F.col(name).isNotNull() & (F.abs(name) < float("inf"))
+    return ok
+
+
+CV_MODELS = (M.BAGGING, M.HISTOGRAM, M.BOOSTING)
+
+
+@query("e1_cross_validated_models", _names_sql(CV_MODELS, "5::BIGINT AS folds, true AS finite"))
 def e1_models(spark, folder):
     dev = development(split_rows(spark, folder)).drop("split")
-    specs = [M.model_spec(name, M.SMOKE) for name in (M.FOREST, M.BAGGING)]
-    return fold_summary(staged(model_folds(dev, specs, folds=3)))
+    folds = staged(model_folds(dev, [M.model_spec(name) for name in CV_MODELS], folds=5))
+    counts = folds.groupBy("model").agg(F.count_distinct("fold").alias("folds"))
+    finite = _finite("mae_mean", "mae_std", "rmse_mean", "rmse_std", "r2_mean", "smape_mean")
+    return fold_summary(folds).join(counts, "model").select("model", "folds", finite.alias("finite"))
 
 
-@query("e4_locked_test_models")
+@query(
+    "e4_locked_test_models",
+    f"""SELECT 'baseline' AS role, 3::BIGINT AS rows, true AS finite FROM {EVENTS_SQL}
+        UNION ALL SELECT 'selected_final_model', 1, true""",
+)
 def e4_models(spark, folder):
     rows = split_rows(spark, folder)
     train, validation = parts(rows)
-    names = [M.RIDGE, M.FOREST]
-    fitted = M.fit_many([M.model_spec(name, M.SMOKE) for name in names], train)
-    scored = staged(M.predict_many(fitted, with_persistence(validation)).select(*KEYS, S.TARGET, *persistence_names(), *names))
-    table = score(long_predictions(scored, KEYS, [*persistence_names(), *names]))
-    chosen = choose_final(append_metrics(table)).first()["model"]
-    final_models = M.fit_selected(chosen, development(rows), M.SMOKE)
+    names = [M.RIDGE, M.FOREST, *(name for name, _ in M.VOTES)]
+    fitted = M.fit_many([M.model_spec(name) for name in names], train)
+    wide = M.predict_many(fitted, with_persistence(validation)).withColumn(M.VOTING, M.vote())
+    candidates = [*persistence_names(), *names, M.VOTING]
+    scored = staged(wide.select(*KEYS, S.TARGET, *candidates))
+    chosen = choose_final(append_metrics(score(long_predictions(scored, KEYS, candidates)))).first()["model"]
+    final_models = M.fit_selected(chosen, development(rows))
     predicted = M.predict_selected(chosen, final_models, rows.where("split = 'test'"))
     scores = score(long_predictions(predicted, KEYS, list(dict.fromkeys([*persistence_names(), chosen]))))
-    return final_table(scores, chosen)
+    return final_table(scores, chosen).groupBy("role").agg(F.count("*").alias("rows"), F.bool_and(_finite(*S.METRICS)).alias("finite"))
+
+
+TRADITIONAL = ("linear_regression", "lasso", "decision_tree", "gradient_boosting")
 
 
-@query("b32_traditional_models")
+@query("b32_traditional_models", _names_sql(TRADITIONAL, "true AS finite"))
 def b32(spark, folder):
     train, validation = parts(split_rows(spark, folder))
     preprocessing = FeaturePreprocessor(scale=False).fit(train)
-    prepared = staged(preprocessing.transform(train).select(S.TARGET, "features"))
-    makers = {
-        "linear_regression": M.linear(),
-        "lasso": M.linear(elasticNetParam=1.0, regParam=0.1),
-        "decision_tree": M.decision_tree(),
-        "gradient_boosting": M.boosting(M.SMOKE),
-    }
+    prepared = M.packed(preprocessing.transform(train).select(S.TARGET, "features"))
+    estimators = (M.linear(), M.linear(elasticNetParam=1.0, regParam=0.1), M.decision_tree(), M.boosting())
     fitted = [
         M.fit_prepared(M.ModelSpec(name, False, lambda _, e=estimator: e), preprocessing, prepared)
-        for name, estimator in makers.items()
+        for name, estimator in zip(TRADITIONAL, estimators)
     ]
     predicted = M.predict_many(fitted, validation)
-    return leaderboard(score(long_predictions(predicted, KEYS, list(makers))))
+    return leaderboard(score(long_predictions(predicted, KEYS, TRADITIONAL))).select("model", _finite(*S.METRICS).alias("finite"))
+
+
+@query(
+    "e5_fit_seconds",
+    SPLIT_SQL
+    + f"""SELECT model, count(*) AS train_rows, true AS timed FROM split_rows, (VALUES ('{M.RIDGE}'), ('decision_tree')) AS v(model)
+          WHERE split = 'train' GROUP BY model""",
+)
+def e5(spark, folder):
+    train, _ = parts(split_rows(spark, folder))
+    specs = [M.model_spec(M.RIDGE), M.ModelSpec("decision_tree", False, lambda _: M.decision_tree())]
+    times = fit_times(spark, M.fit_many(specs, train))
+    return times.select("model", F.lit(train.count()).alias("train_rows"), (F.col("fit_seconds") > 0).alias("timed"))
 
 
 def _fold_importances(spark, folder, with_permutation):
-    """Importances of a forest fitted on the rows before each fold of the training part, and its errors on that fold."""
+    """Importances of a forest of 200 trees fitted on the rows before each fold of the training part; permuted on that fold."""
     train, _ = parts(split_rows(spark, folder))
     folded = staged(expanding_folds(train.drop("split"), folds=3))
     tables = None
@@ -160,11 +244,11 @@ def _fold_importances(spark, folder, with_permutation):
         before = folded.where(F.col("fold") < fold)
         preprocessing = FeaturePreprocessor(scale=False).fit(before)
         names = list(preprocessing.encoded())
-        prepared = staged(preprocessing.transform(before).select(S.TARGET, "features"))
-        model = M.forest(M.SMOKE).fit(prepared)
+        prepared = M.packed(preprocessing.transform(before).select(S.TARGET, "features"))
+        model = M.forest(numTrees=200).fit(prepared)
         if with_permutation:
             later = preprocessing.transform(folded.where(F.col("fold") == fold))
-            found = permutation_importance(model, later, names, repeats=2).withColumnRenamed("importance", "score")
+            found = permutation_importance(model, later, names).withColumnRenamed("importance", "score")
         else:
             found = spark.createDataFrame(importances(model, names), "feature string, score double")
         found = found.withColumn("fold", F.lit(fold))
@@ -172,11 +256,17 @@ def _fold_importances(spark, folder, with_permutation):
     return tables
 
 
-@query("b20_model_importance")
+@query(
+    "b20_model_importance",
+    f"SELECT unnest(range(1, 4))::INTEGER AS fold, true AS from_0_up, 1.0::DOUBLE AS total FROM {EVENTS_SQL}",
+)
 def b20(spark, folder):
-    return _fold_importances(spark, folder, with_permutation=False)
+    found = _fold_importances(spark, folder, with_permutation=False)
+    return found.groupBy("fold").agg(F.bool_and(F.col("score") >= 0).alias("from_0_up"), F.round(F.sum("score"), 6).alias("total"))
 
 
-@query("b21_permutation_importance")
+@query("b21_permutation_importance", f"SELECT 20::BIGINT AS kept, true AS shares_of_folds FROM {EVENTS_SQL}")
 def b21(spark, folder):
-    return select_top(stability_ranking(staged(_fold_importances(spark, folder, with_permutation=True))))
+    top = select_top(stability_ranking(staged(_fold_importances(spark, folder, with_permutation=True))))
+    thirds = F.abs(F.col("stability") * 3 - F.round(F.col("stability") * 3)) < 1e-9
+    return top.agg(F.count_distinct("feature").alias("kept"), F.bool_and(thirds).alias("shares_of_folds"))

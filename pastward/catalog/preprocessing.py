@@ -83,24 +83,15 @@ def m2(spark, folder):
 @query(
     "m3_one_hot",
     SPLIT
-    + "SELECT series_id, timestamp, "
-    + ", ".join(
-        f"CASE WHEN {test} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hour_period_{name}"
-        for name, test in (
-            ("afternoon", "hour(timestamp) BETWEEN 12 AND 17"),
-            ("evening", "hour(timestamp) >= 18"),
-            ("morning", "hour(timestamp) BETWEEN 6 AND 11"),
-        )
-    )
-    + " FROM split_rows",
+    + """, seen AS (SELECT DISTINCT 'day ' || day(timestamp) AS level FROM split_rows WHERE split = 'train')
+       SELECT series_id, timestamp, level, CASE WHEN level = 'day ' || day(timestamp) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hot FROM split_rows, seen""",
 )
 def m3(spark, folder):
-    rows = _split(spark, folder).withColumn("hour_period", hour_period(F.hour("timestamp")))
-    # the level "night" is unseen in training and must become all zeros
-    counts = P.category_counts(_train(rows).where("hour_period <> 'night'"), ["hour_period"])
-    levels = sorted(counts["hour_period"])
-    hot = P.one_hot(F.col("hour_period"), levels)
-    return rows.select(*KEYS, *(h.alias(f"hour_period_{level}") for level, h in zip(levels, hot)))
+    # the days of the later parts are unseen in training and must become all zeros
+    rows = _split(spark, folder).withColumn("day", F.concat(F.lit("day "), F.day("timestamp").cast("string")))
+    levels = sorted(P.category_counts(_train(rows), ["day"])["day"])
+    hot = P.one_hot(F.col("day"), levels)
+    return rows.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(level).alias("level"), h.alias("hot")) for level, h in zip(levels, hot)))))
 
 
 @query(

@@ -16,12 +16,6 @@ def parse_timestamp(date: Column, time: Column) -> Column:
     return F.to_timestamp_ntz(date) + F.make_interval(hours=hour)
 
 
-def try_parse_timestamp(date: Column, time: Column) -> Column:
-    """Like :func:`parse_timestamp`, but null instead of an error, to fill a table of rejects."""
-    hour = F.nullif(F.regexp_extract(F.trim(time), CLOCK_HOUR, 1), F.lit("")).cast("int")
-    return F.try_to_timestamp(date).cast("timestamp_ntz") + F.make_interval(hours=hour)
-
-
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a naive timestamp or date, whatever the session time zone."""
     ntz = ts.cast("timestamp_ntz")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.errors import is_finite
-from pastward.operators.ordering import cutoff_times
+from pastward.operators.ordering import with_cutoffs
 from pastward.operators.scoring import score
 from pastward.schema import METRICS, TARGET
 from pastward.session import staged
@@ -28,15 +28,15 @@ def causality_violations(
 
     ``build`` makes the features from a series. ``feature, rows, mismatches``: a past-only feature has 0 mismatches.
     """
-    turn = staged(cutoff_times(series, spec, lambda rows: {"_turn": F.floor(rows * F.lit(share))}))
-    marked = series.join(turn, spec.key)
+    marked = staged(with_cutoffs(series, spec, lambda rows: {"_turn": F.floor(rows * F.lit(share))}))
     changed = F.when(F.col(spec.time) >= F.col("_turn"), F.col(value) * 3 + 1000).otherwise(F.col(value))
     perturbed = marked.withColumn(value, changed).select(*series.columns)
 
     def values(frame: DataFrame, prefix: str) -> DataFrame:
         return build(frame).select(spec.key, spec.time, *(F.col(f).alias(f"{prefix}{f}") for f in features))
 
-    both = values(series, "a_").join(values(perturbed, "b_"), [spec.key, spec.time]).join(turn, spec.key)
+    turns = marked.select(spec.key, spec.time, "_turn")
+    both = values(marked.select(*series.columns), "a_").join(values(perturbed, "b_"), [spec.key, spec.time]).join(turns, [spec.key, spec.time])
     upto = both.where(F.col(spec.time) <= F.col("_turn"))
     kinds = dict(both.dtypes)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.operators.models import ModelSpec, fit_many, predict_many
-from pastward.operators.ordering import cutoff_times
+from pastward.operators.ordering import with_cutoffs
 from pastward.operators.scoring import best_per_group, long_predictions, persistence_names, score, with_persistence
 from pastward.operators.splits import expanding_folds
 from pastward.schema import METRICS, TARGET
@@ -26,13 +29,15 @@ def model_folds(rows: DataFrame, models: Sequence[ModelSpec], spec: SeriesSpec =
     """Fold metrics of fitted models. Each fold fits preprocessing and models on its own earlier rows."""
     folded = staged(expanding_folds(rows, spec, folds))
     names = [model.name for model in models]
-    tables = None
-    for fold in range(1, folds + 1):
+
+    def scored(fold: int) -> DataFrame:
         fitted = fit_many(models, folded.where(F.col("fold") < fold))
         predicted = predict_many(fitted, folded.where(F.col("fold") == fold))
-        metrics = score(long_predictions(predicted, ["fold"], names), "fold")
-        tables = metrics if tables is None else tables.unionByName(metrics)
-    return tables.select("model", "fold", *METRICS)
+        return score(long_predictions(predicted, ["fold"], names), "fold")
+
+    with ThreadPool(folds) as pool:
+        tables = pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(1, folds + 1), chunksize=1)
+    return reduce(DataFrame.unionByName, tables).select("model", "fold", *METRICS)
 
 
 def nested_persistence(rows: DataFrame, spec: SeriesSpec = HOURLY, outer_folds: int = 5, inner_folds: int = 5) -> DataFrame:
@@ -52,7 +57,7 @@ def nested_persistence(rows: DataFrame, spec: SeriesSpec = HOURLY, outer_folds:
             marks |= {f"_inner_{i}_{j}": prefix - (inner_folds - j + 1) * size for j in range(1, inner_folds + 1)}
         return marks
 
-    marked = with_persistence(rows).join(staged(cutoff_times(rows, spec, positions)), spec.key)
+    marked = with_persistence(with_cutoffs(rows, spec, positions))
     ts = F.col(spec.time)
 
     def reached(mark: str) -> Column:

@@ -1,8 +1,9 @@
-"""Exponentially weighted means of the past: e = (1 - a)·e + a·y with a = 2 / (span + 1), starting at the first value.
+"""Exponentially weighted means of the past: e = (w·e + a·y) / (w + a) with a = 2 / (span + 1), starting at the first value.
 
-The recursion is a sum with geometric weights, so it is cut into chunks of rows: each chunk's own weighted sum is an
-ordinary aggregate, a chunk starts from the decayed sums of the chunks before it, and inside a chunk the mean is a
-running sum. No step walks a whole series.
+``w`` is 1 - a to the power of the rows since the last value, so a missing value keeps the mean but ages it; without gaps
+this is e = (1 - a)·e + a·y. Every step is affine in e, so rows are cut into chunks: a chunk's own steps make one affine map,
+the maps of the few chunks that still matter give the mean a chunk starts from, and inside a chunk the mean is a running
+sum. Only one row per chunk is ever ordered per series.
 """
 
 from __future__ import annotations
@@ -13,15 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pastward.operators.ordering import BLOCK, ROW, ROWS
+from pastward.operators.ordering import BLOCK, ROW, own_block
 from pastward.spec import SeriesSpec
 
 CHUNK = "_chunk"
 CARRIES = "_carries"
+FIRST = "_ewm_first"  # the first value of the chunk before the current row
+FIRST_ROW = "_ewm_first_row"
 LARGEST_WEIGHT = 1e100  # bound on the inverse weights inside a chunk
 SMALLEST_WEIGHT = 5e-324  # weights below this are 0 as doubles
 
 
+def present(value: str) -> Column:
+    """The value as a number; NaN counts as missing."""
+    return F.nanvl(F.col(value).cast("double"), F.lit(None))
+
+
 def decay(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
@@ -35,69 +43,104 @@ def chunk_rows(spec: SeriesSpec, spans: tuple[float, ...]) -> int:
     return min(spec.block_rows, 2 ** int(math.log2(max(limit, 1.0))))
 
 
-def chunk_of_row(size: int) -> Column:
-    return F.floor(F.col(ROW) / size)
-
-
-def _weighted(value: str, span: float) -> Column:
-    """A row's value times its own weight; the first row of a series starts the mean and weighs 1."""
-    y = F.col(value).cast("double")
-    checked = F.when(y.isNull() | F.isnan(y), F.raise_error(F.lit(f"{value} is missing"))).otherwise(y)
-    return checked * F.when(F.col(ROW) == 0, 1.0).otherwise(1.0 - decay(span))
+def _shares(span: float, rows: Column) -> tuple[Column, Column]:
+    """What is kept of the old mean and taken of a new value that comes ``rows`` rows after the last one."""
+    w, a = F.pow(F.lit(decay(span)), rows), 1.0 - decay(span)
+    return w / (w + a), F.lit(a) / (w + a)
 
 
-def _power(span: float, exponent: Column) -> Column:
-    return F.pow(F.lit(decay(span)), exponent)
+def _steps(rows: DataFrame, spec: SeriesSpec, value: str, spans: tuple[float, ...]) -> DataFrame:
+    """Columns of blocked rows that tell the mean after any row from the mean before the chunk.
 
-
-def chunk_carries(numbered: DataFrame, spec: SeriesSpec, value: str, spans: tuple[float, ...]) -> DataFrame:
-    """Per block, a map from chunk to the mean of each span just before that chunk's first row.
-
-    Every chunk passes its decayed sum on to the chunks it still reaches, which is a grouped sum and needs no
-    ordering of chunks. It reaches as far as its weight is not 0 as a double.
+    For each span: the logarithm of what is kept of the chunk's first value, and the sum of later values in units of it.
     """
-    size = chunk_rows(spec, spans)
-    place = F.pmod(F.col(ROW), F.lit(size))
-    sums = numbered.groupBy(spec.key, chunk_of_row(size).alias("from_chunk")).agg(
-        F.max(F.floor((F.col(ROWS) - 1) / size)).alias("last_chunk"),
-        *(F.sum(_weighted(value, span) * _power(span, size - 1 - place)).alias(f"sum_{i}") for i, span in enumerate(spans)),
-    )
-    reach = max(math.ceil(math.log(SMALLEST_WEIGHT) / (size * math.log(decay(span)))) for span in spans)
-    ahead = F.col(CHUNK) - F.col("from_chunk") - 1
-    passed_on = sums.where(F.col("from_chunk") < F.col("last_chunk")).withColumn(
-        CHUNK,
-        F.explode(F.sequence(F.col("from_chunk") + 1, F.least(F.col("from_chunk") + reach, F.col("last_chunk")))),
+    inside = W.partitionBy(spec.key, BLOCK, CHUNK).orderBy(ROW)
+    before, upto = inside.rowsBetween(W.unboundedPreceding, -1), inside.rowsBetween(W.unboundedPreceding, 0)
+    y = present(value)
+    rows = rows.withColumns(
+        {
+            "_ewm_last": F.max(F.when(y.isNotNull(), F.col(ROW))).over(before),
+            FIRST: F.first(y, ignorenulls=True).over(before),
+            FIRST_ROW: F.min(F.when(y.isNotNull(), F.col(ROW))).over(before),
+        }
     )
-    carries = passed_on.groupBy(spec.key, CHUNK).agg(
-        *(F.sum(F.col(f"sum_{i}") * _power(span, ahead * size)).alias(f"carry_{i}") for i, span in enumerate(spans))
+    since = F.when(y.isNotNull() & F.col("_ewm_last").isNotNull(), F.col(ROW) - F.col("_ewm_last"))
+    kept = {i: F.coalesce(F.log(_shares(span, since)[0]), F.lit(0.0)) for i, span in enumerate(spans)}
+    rows = rows.withColumns({f"_ewm_kept_{i}": F.sum(log).over(upto) for i, log in kept.items()})
+    taken = {i: F.coalesce(_shares(span, since)[1] * y, F.lit(0.0)) * F.exp(-F.col(f"_ewm_kept_{i}")) for i, span in enumerate(spans)}
+    rows = rows.withColumns({f"_ewm_taken_{i}": F.sum(part).over(upto) for i, part in taken.items()})
+    return rows.drop("_ewm_last")
+
+
+def _chunk_maps(blocks: DataFrame, spec: SeriesSpec, value: str, spans: tuple[float, ...]) -> DataFrame:
+    """Per chunk: its first and last row with a value, its first value, and for each span the last of ``_steps``."""
+    y = present(value)
+    own = blocks.where(F.col(BLOCK) == own_block(spec))
+    ends = [F.max_by(F.struct(f"_ewm_kept_{i}", f"_ewm_taken_{i}"), ROW).alias(f"end_{i}") for i in range(len(spans))]
+    return own.groupBy(spec.key, CHUNK).agg(
+        F.min(F.when(y.isNotNull(), F.col(ROW))).alias("first_row"),
+        F.max(F.when(y.isNotNull(), F.col(ROW))).alias("last_row"),
+        F.min_by(y, F.when(y.isNotNull(), F.col(ROW))).alias("first"),
+        *ends,
     )
+
+
+def chunk_carries(blocks: DataFrame, spec: SeriesSpec, value: str, spans: tuple[float, ...]) -> DataFrame:
+    """Per block, a map from chunk to the row of the last value before the chunk and the mean of each span there."""
+    size = chunk_rows(spec, spans)
+    maps = _chunk_maps(blocks, spec, value, spans)
+    order = W.partitionBy(spec.key).orderBy(CHUNK)
+    # a chunk's weight falls by that of its rows and grows by 1 / a for a gap at most; twice as many chunks make up for gaps
+    reach = 2 + max(2 * math.ceil(math.log(SMALLEST_WEIGHT) / (size * math.log(decay(span)))) for span in spans)
+    recent = order.rowsBetween(-reach, -1)
+    filled = maps.where("first_row IS NOT NULL").withColumn("rows", F.col("first_row") - F.lag("last_row").over(order))
+    for i, span in enumerate(spans):
+        old, new = _shares(span, F.col("rows"))
+        end = F.exp(F.col(f"end_{i}._ewm_kept_{i}"))
+        step = F.struct(
+            F.coalesce(end * old, F.lit(0.0)).alias("times"),
+            (end * (F.coalesce(new, F.lit(1.0)) * F.col("first") + F.col(f"end_{i}._ewm_taken_{i}"))).alias("plus"),
+        )
+        filled = filled.withColumn(f"step_{i}", step)
+    follow = lambda acc, s: acc * s["times"] + s["plus"]
+    filled = filled.withColumns({f"before_{i}": F.collect_list(f"step_{i}").over(recent) for i in range(len(spans))})
+    after = [follow(F.aggregate(f"before_{i}", F.lit(0.0), follow), F.col(f"step_{i}")).alias(f"after_{i}") for i in range(len(spans))]
+    filled = filled.select(F.col(spec.key).alias("of_key"), F.col(CHUNK).alias("of_chunk"), *after)
+    both = maps.select(spec.key, CHUNK, "last_row").join(filled, F.col(spec.key).eqNullSafe(F.col("of_key")) & (F.col(CHUNK) == F.col("of_chunk")), "left")
+    past = order.rowsBetween(W.unboundedPreceding, -1)
+    latest = [F.last(c, ignorenulls=True).over(past).cast("double") for c in ("last_row", *(f"after_{i}" for i in range(len(spans))))]
+    carries = both.select(spec.key, CHUNK, F.array(*latest).alias("carry"))
     # a block holds block_rows / size chunks, so the map is small
-    entry = F.struct(CHUNK, F.array(*(f"carry_{i}" for i in range(len(spans)))))
     return carries.groupBy(spec.key, F.floor(F.col(CHUNK) * size / spec.block_rows).alias(BLOCK)).agg(
-        F.map_from_entries(F.collect_list(entry)).alias(CARRIES)
+        F.map_from_entries(F.collect_list(F.struct(CHUNK, "carry"))).alias(CARRIES)
     )
 
 
-def join_carries(history: DataFrame, numbered: DataFrame, spec: SeriesSpec, value: str, spans: tuple[float, ...]) -> DataFrame:
-    """Add the chunk number and the block's carries to blocked rows.
+def join_carries(history: DataFrame, spec: SeriesSpec, value: str, spans: tuple[float, ...]) -> DataFrame:
+    """Add to blocked rows the chunk number, the block's carries and the columns that :func:`ewm_columns` reads.
 
-    Both sides are spread by key and block, the spreading that the look-back windows need anyway.
+    Rows and carries are spread by key and block, the spreading that the look-back windows need anyway.
     """
-    carries = chunk_carries(numbered, spec, value, spans)
-    return history.withColumn(CHUNK, chunk_of_row(chunk_rows(spec, spans))).join(
-        carries.hint("shuffle_hash"), [spec.key, BLOCK], "left"
-    )
+    blocks = _steps(history.withColumn(CHUNK, F.floor(F.col(ROW) / chunk_rows(spec, spans))), spec, value, spans)
+    # copied rows lie in chunks of earlier blocks, which are not read
+    return blocks.join(chunk_carries(blocks, spec, value, spans).hint("shuffle_hash"), [spec.key, BLOCK], "left")
 
 
 def ewm_columns(spec: SeriesSpec, value: str, spans: tuple[float, ...], prefix: str) -> dict[str, Column]:
-    """The mean of all rows before the current one, for frames made by :func:`join_carries`."""
-    size = chunk_rows(spec, spans)
-    place = F.pmod(F.col(ROW), F.lit(size))
-    before = W.partitionBy(spec.key, BLOCK, CHUNK).orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)
+    """The mean of all rows before the current one, for frames made by :func:`join_carries`; null before the first value."""
+    before = W.partitionBy(spec.key, BLOCK, CHUNK).orderBy(ROW)
+    carry = F.try_element_at(F.col(CARRIES), F.col(CHUNK))
+    rows = F.col(FIRST_ROW) - carry[0]
     columns = {}
     for i, span in enumerate(spans):
-        inside = F.sum(_weighted(value, span) * _power(span, -place)).over(before) * _power(span, place - 1)
-        carried = F.try_element_at(F.col(CARRIES), F.col(CHUNK))[i] * _power(span, place)
-        mean = F.coalesce(inside, F.lit(0.0)) + F.coalesce(carried, F.lit(0.0))
-        columns[f"{prefix}_{span}"] = F.when(F.col(ROW) > 0, mean)
+        old, new = _shares(span, rows)
+        mean = carry[i + 1]
+        start = F.coalesce(old * mean + new * F.col(FIRST), F.col(FIRST))
+        kept, taken = (F.lag(f"_ewm_{name}_{i}").over(before) for name in ("kept", "taken"))
+        columns[f"{prefix}_{span}"] = F.when(F.col(FIRST_ROW).isNull(), mean).otherwise(F.exp(kept) * (start + taken))
     return columns
+
+
+def helpers(spans: tuple[float, ...]) -> list[str]:
+    """The columns that :func:`join_carries` adds."""
+    return [CHUNK, CARRIES, FIRST, FIRST_ROW, *(f"_ewm_{name}_{i}" for i in range(len(spans)) for name in ("kept", "taken"))]

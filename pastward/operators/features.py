@@ -145,7 +145,7 @@ def past_features(series: DataFrame, spec: SeriesSpec = HOURLY) -> DataFrame:
     """
     numbered = number_rows(series.withColumn(S.TARGET, F.col(S.TARGET).cast("double")), spec)
     blocks = with_history(numbered, spec, max(S.DEMAND_LAGS + S.DEMAND_WINDOWS))
-    blocks = join_carries(blocks, numbered, spec, S.TARGET, S.EWM_SPANS)
+    blocks = join_carries(blocks, spec, S.TARGET, S.EWM_SPANS)
     w = history_window(spec, CHUNK)
     first, second = demand_levels(w)
     past = (

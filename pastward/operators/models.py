@@ -30,21 +30,22 @@ from pastward.schema import TARGET
 SEED = 42
 RIDGE_ALPHA = 2.0
 
-# Model names and their sizes; members and weights of the vote.
+# Own names; fixed values are the weights of the vote.
 RIDGE = "ridge_yj_robust"
 FOREST = "random_forest_baseline"
-BAGGING = "bagging_extra_tree"
-HISTOGRAM = "hist_gradient_boosting"
-BOOSTING = "xgboost"
+BAGGING = "bagged_forest"
+HISTOGRAM = "short_boosted_trees"
+BOOSTING = "boosted_trees"
 VOTING = "voting_regressor"
-TUNED = "tuned_xgboost"
+TUNED = "tuned_boosted_trees"
 VOTES = ((BAGGING, 1.0), (HISTOGRAM, 1.0), (BOOSTING, 2.0))
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """How much work the tree models do. Deep trees and many rounds are for clusters."""
+    """How much work the tree models do."""
 
+    # The full sizes.
     forest_trees: int = 100
     forest_depth: int = 18
     bagging_trees: int = 70
@@ -60,18 +61,8 @@ class Sizes:
 
 
 FULL = Sizes()
-# the sizes of a quick run
-SMOKE = Sizes(
-    forest_trees=20,
-    forest_depth=5,
-    bagging_trees=20,
-    bagging_depth=5,
-    histogram_rounds=10,
-    histogram_depth=4,
-    boosting_rounds=10,
-    boosting_depth=4,
-    boosting_rate=0.3,
-)
+# fixed values: the sizes of a quick run
+SMOKE = Sizes(bagging_trees=40, histogram_rounds=80, boosting_rounds=80)
 
 
 def _trees(cls, **params):
@@ -189,14 +180,13 @@ def fit_prepared(spec: ModelSpec, preprocessing: FeaturePreprocessorModel, prepa
     return FittedModel(spec.name, preprocessing, model, time.monotonic() - start)
 
 
-def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
-    """Fit preprocessing and model on the same training rows."""
-    preprocessing = FeaturePreprocessor(scale=spec.scale).fit(train)
-    prepared = preprocessing.transform(train).select(TARGET, "features").persist()
-    try:
-        return fit_prepared(spec, preprocessing, prepared)
-    finally:
-        prepared.unpersist()
+TASK_ROWS = 20_000  # prepared rows of one task; a tree's many small jobs cost more than their rows
+
+
+def packed(prepared: DataFrame) -> DataFrame:
+    """Persisted rows in as many partitions as their number asks for."""
+    held = prepared.persist()
+    return held.coalesce(max(1, -(-held.count() // TASK_ROWS))).persist()
 
 
 def fit_many(specs: Sequence[ModelSpec], train: DataFrame) -> list[FittedModel]:
@@ -204,7 +194,7 @@ def fit_many(specs: Sequence[ModelSpec], train: DataFrame) -> list[FittedModel]:
     fitted: dict[str, FittedModel] = {}
     for scale in sorted({spec.scale for spec in specs}):
         preprocessing = FeaturePreprocessor(scale=scale).fit(train)
-        prepared = preprocessing.transform(train).select(TARGET, "features").persist()
+        prepared = packed(preprocessing.transform(train).select(TARGET, "features"))
         for spec in specs:
             if spec.scale == scale:
                 fitted[spec.name] = fit_prepared(spec, preprocessing, prepared)

@@ -150,13 +150,27 @@ def cutoff_times(
     )
 
 
+def with_cutoffs(
+    df: DataFrame, spec: SeriesSpec, positions: Callable[[Column], dict[str, Column]], last: bool = False
+) -> DataFrame:
+    """Add the times of :func:`cutoff_times` to every row.
+
+    The times are spread to the time buckets of their series and joined by series and bucket, so the rows of one long series
+    never meet in one task. The bucket table is staged: its real size decides whether it is broadcast, and then no row moves.
+    """
+    cuts = cutoff_times(df, spec, positions, last)
+    buckets = df.select(spec.key, time_bucket(spec).alias(BUCKET)).distinct()
+    spread = staged(buckets.join(cuts, spec.key, "left"))
+    return df.withColumn(BUCKET, time_bucket(spec)).join(spread, [spec.key, BUCKET], "left").drop(BUCKET)
+
+
 def last_rows(df: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
     """The last ``rows`` rows of every series."""
-    start = cutoff_times(df, spec, lambda n: {"_from": F.greatest(n - rows, F.lit(0))})
-    return df.join(staged(start), spec.key).where(F.col(spec.time) >= F.col("_from")).select(*df.columns)
+    marked = with_cutoffs(df, spec, lambda n: {"_from": F.greatest(n - rows, F.lit(0))})
+    return marked.where(F.col(spec.time) >= F.col("_from")).select(*df.columns)
 
 
 def first_rows(df: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
     """The first ``rows`` rows of every series."""
-    end = cutoff_times(df, spec, lambda n: {"_last": F.least(n, F.lit(rows)) - 1}, last=True)
-    return df.join(staged(end), spec.key).where(F.col(spec.time) <= F.col("_last")).select(*df.columns)
+    marked = with_cutoffs(df, spec, lambda n: {"_last": F.least(n, F.lit(rows)) - 1}, last=True)
+    return marked.where(F.col(spec.time) <= F.col("_last")).select(*df.columns)

@@ -21,7 +21,7 @@ TOP = 15
 KEEP = 20
 REPEATS = 5
 
-HASH_BUCKETS = 65_536
+BUCKET_ROWS = 4096  # rows that are numbered by one sort
 
 
 def target_copies(df: DataFrame, candidates: Sequence[str], target: str = TARGET) -> DataFrame:
@@ -86,8 +86,11 @@ def _numbered(df: DataFrame, bucket: Column, order: Sequence[Column], name: str)
     """Positions 0, 1, 2 … in bucket order and then in row order, numbered bucket by bucket."""
     keyed = df.withColumn("_b", bucket)
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
-    # one row per bucket, at most HASH_BUCKETS
-    starts = counts.select("_b", F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    # sums over groups of buckets first, so that no task sees one row per bucket
+    counts = counts.withColumn("_g", F.floor(F.col("_b") / BUCKET_ROWS))
+    ahead = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("_g").agg(F.sum("_c").alias("_c")).select("_g", ahead(W.orderBy("_g")).alias("_before"))
+    starts = counts.withColumn("_s", ahead(W.partitionBy("_g").orderBy("_b"))).join(groups, "_g").select("_b", (F.col("_s") + F.col("_before")).alias("_s"))
     inside = W.partitionBy("_b").orderBy(*order)
     return (
         keyed.withColumn(name, F.row_number().over(inside).cast("long") - 1)
@@ -97,16 +100,17 @@ def _numbered(df: DataFrame, bucket: Column, order: Sequence[Column], name: str)
     )
 
 
-def permuted_rows(df: DataFrame, seed: int, spec: SeriesSpec = HOURLY, vector: str = "features") -> DataFrame:
+def permuted_rows(df: DataFrame, seed: int, spec: SeriesSpec = HOURLY, vector: str = "features", rows: int | None = None) -> DataFrame:
     """Give every row the feature vector of another row, each vector being used exactly once, as ``partner``.
 
     Rows are numbered in two hash orders and matched by number, so nothing is sorted as a whole.
     """
     keys = [F.col(spec.key), F.col(spec.time)]
+    buckets = max(1, -(-(df.count() if rows is None else rows) // BUCKET_ROWS))
 
     def shuffled(salt: int) -> tuple[Column, list[Column]]:
         mark = F.xxhash64(*keys, F.lit(salt))
-        return F.pmod(mark, F.lit(HASH_BUCKETS)), [mark, *keys]
+        return F.pmod(mark, F.lit(buckets)), [mark, *keys]
 
     receivers = _numbered(df, *shuffled(2 * seed), "_n")
     givers = _numbered(df.select(*keys, F.col(vector).alias("partner")), *shuffled(2 * seed + 1), "_n").select("_n", "partner")
@@ -127,11 +131,11 @@ def permutation_importance(
     ``scored`` carries the model's input vector for rows that the model was not fitted on.
     """
     base = scored.select(spec.key, spec.time, F.col(target).alias("actual"), F.col(model.getFeaturesCol()).alias("features"))
-    width = len(names)
+    width, count = len(names), base.count()
     errors = None
     for repeat in range(repeats):
         own, partner = vector_to_array("features"), vector_to_array("partner")
-        rows = permuted_rows(base, seed + repeat, spec).select(
+        rows = permuted_rows(base, seed + repeat, spec, rows=count).select(
             "actual", own.alias("own"), partner.alias("partner"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("column")
         )
         # column -1 leaves the row as it is: the error to compare with

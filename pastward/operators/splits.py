@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.calendar import iso_text
-from pastward.operators.ordering import checked, cutoff_times
-from pastward.session import staged
+from pastward.operators.ordering import checked, with_cutoffs
 from pastward.spec import HOURLY, SeriesSpec
 
 # First part, first and second part, of the rows of a series.
@@ -24,15 +23,14 @@ def chronological_split(
 ) -> DataFrame:
     """Add ``split``: the first ``floor(n * share)`` rows of a series are the first part, and so on.
 
-    Rows are compared with the time at which a part starts. Those times are staged: their real size decides whether
-    they are broadcast, and then no row is moved.
+    Rows are compared with the time at which a part starts; the rows on either side of a cut must differ in time.
     """
     starts = names[1:]
 
     def positions(rows: Column) -> dict[str, Column]:
         return {f"_{name}_from": F.floor(rows * F.lit(share)) for name, share in zip(starts, shares, strict=True)}
 
-    marked = df.join(staged(cutoff_times(df, spec, positions)), spec.key, "left")
+    marked = with_cutoffs(df, spec, positions)
     split = F.lit(names[0])
     for name in starts:
         split = F.when(F.col(spec.time) >= F.col(f"_{name}_from"), name).otherwise(split)
@@ -90,7 +88,7 @@ def expanding_folds(df: DataFrame, spec: SeriesSpec = HOURLY, folds: int = 5) ->
         return {f"_fold_{i}": rows - (folds - i + 1) * size for i in range(1, folds + 1)}
 
     starts = [f"_fold_{i}" for i in range(1, folds + 1)]
-    marked = df.join(staged(cutoff_times(df, spec, positions)), spec.key, "left")
+    marked = with_cutoffs(df, spec, positions)
     reached = [F.coalesce((F.col(spec.time) >= F.col(start)).cast("int"), F.lit(0)) for start in starts]
     return marked.select(*df.columns, checked(spec, sum(reached[1:], reached[0])).alias("fold"))
 

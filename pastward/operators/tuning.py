@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastward.operators.models import FULL, SEED, TUNED, Sizes, fit_prepared, model_spec, resized
+from pastward.operators.models import FULL, SEED, TUNED, Sizes, fit_prepared, model_spec, packed, resized
 from pastward.operators.preprocess import FeaturePreprocessor
 from pastward.operators.splits import expanding_folds
 from pastward.schema import TARGET
@@ -45,9 +45,6 @@ class SearchSpace:
         }
 
 
-SMOKE_SPACE = SearchSpace(rounds=(3, 9, 3), depth=(2, 4), rate=(0.1, 0.5))
-
-
 def trial_sizes(params: dict[str, float], sizes: Sizes = FULL) -> Sizes:
     return resized(sizes, **{f"boosting_{name}": value for name, value in params.items()})
 
@@ -59,7 +56,7 @@ def search(
     trials: int = 8,
     folds: int = 3,
     seed: int = SEED,
-    parallel: int = 2,
+    parallel: int = 8,
 ) -> DataFrame:
     """One row per trial with its parameters and its mean fold MAE.
 
@@ -71,8 +68,8 @@ def search(
     for fold in range(1, folds + 1):
         train, test = folded.where(F.col("fold") < fold), folded.where(F.col("fold") == fold)
         preprocessing = FeaturePreprocessor(scale=False).fit(train)
-        ready = [staged(preprocessing.transform(part).select(TARGET, "features")) for part in (train, test)]
-        prepared.append((preprocessing, ready[0].persist(), ready[1].persist()))
+        ready = [packed(preprocessing.transform(part).select(TARGET, "features")) for part in (train, test)]
+        prepared.append((preprocessing, *ready))
     rng = random.Random(seed)
     drawn = [space.draw(rng) for _ in range(trials)]
 

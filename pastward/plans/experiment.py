@@ -26,7 +26,7 @@ from pastward.operators.scoring import (
     score,
 )
 from pastward.operators.splits import chronological_split, development, split_summary
-from pastward.operators.tuning import SMOKE_SPACE, SearchSpace, best_trial, search, trial_sizes
+from pastward.operators.tuning import SearchSpace, best_trial, search, trial_sizes
 from pastward.session import staged
 from pastward.sources.fingerprint import file_hashes, provenance, require_files
 from pastward.sources.series import read_hourly_csv, tail_rows, with_timestamp
@@ -34,14 +34,8 @@ from pastward.sources.sinks import guard_results, results_exist, write_csv, writ
 from pastward.spec import HOURLY, SeriesSpec
 
 SMOKE_ROWS = 6000
-METRICS_PATH = "final_evaluation/locked_test_metrics"
-REQUIRED = (
-    "baseline_models/metrics",
-    "ensemble_models/cv_summary",
-    "hyperparameter_tuning/trials",
-    METRICS_PATH,
-    "experiment_summary",
-)
+METRICS_PATH = "locked_test/scores"
+REQUIRED = ("baselines/scores", "ensembles/fold_summary", "search/trials", METRICS_PATH, "summary")
 
 
 @dataclass(frozen=True)
@@ -59,7 +53,7 @@ class Plan:
 
 FULL_PLAN = Plan()
 SMOKE_PLAN = Plan(
-    sizes=M.SMOKE, space=SMOKE_SPACE, folds=3, trials=2, search_folds=2, cv_models=(M.BAGGING, M.BOOSTING), tail=SMOKE_ROWS
+    sizes=M.SMOKE, folds=3, trials=2, search_folds=2, cv_models=(M.BAGGING, M.BOOSTING), tail=SMOKE_ROWS
 )
 
 
@@ -116,13 +110,14 @@ def run(
 
     # data
     series = staged(series)
-    write_json(audit(raw, series, spec), f"{out}/data_quality", overwrite)
+    audited = staged(audit(raw, series, spec))
+    write_json(audited, f"{out}/audit", overwrite)
     missing = align_missing(missing_counts(raw), missing_counts(series))
-    save(missing, "missing_counts")
+    save(missing, "missing_values")
     rows = staged(chronological_split(staged(feature_table(series, spec)), spec))
     splits = split_summary(rows, spec)
-    write_json(splits, f"{out}/data_split", overwrite)
-    write_json(feature_manifest(spark), f"{out}/feature_manifest", overwrite)
+    write_json(splits, f"{out}/split", overwrite)
+    write_json(feature_manifest(spark), f"{out}/features", overwrite)
     train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
 
     def evaluate(predicted: DataFrame, names: list[str], path: str) -> DataFrame:
@@ -136,61 +131,71 @@ def run(
     fitted = M.fit_many([M.model_spec(M.RIDGE, plan.sizes), M.model_spec(M.FOREST, plan.sizes)], train)
     names = [*persistence_names(), M.RIDGE, M.FOREST]
     predicted = M.predict_many(fitted, M.with_persistence(validation))
-    baseline = staged(evaluate(predicted, names, "baseline_models"))
-    save(leaderboard(baseline), "baseline_models/metrics")
+    baseline = staged(evaluate(predicted, names, "baselines"))
+    save(leaderboard(baseline), "baselines/scores")
 
     # ensembles
     members = M.fit_many([M.model_spec(name, plan.sizes) for name, _ in M.VOTES], train)
     predicted = M.predict_many(members, validation).withColumn(M.VOTING, M.vote())
-    ensemble = staged(evaluate(predicted, [*(name for name, _ in M.VOTES), M.VOTING], "ensemble_models"))
+    ensemble = staged(evaluate(predicted, [*(name for name, _ in M.VOTES), M.VOTING], "ensembles"))
     timed = ensemble.join(F.broadcast(fit_times(spark, members)), "model", "left")  # one row per model
-    save(leaderboard(timed), "ensemble_models/metrics")
+    save(leaderboard(timed), "ensembles/scores")
     dev = development(rows).drop("split")
     folds = staged(model_folds(dev, [M.model_spec(name, plan.sizes) for name in plan.cv_models], spec, plan.folds))
-    save(folds.orderBy("model", "fold"), "ensemble_models/cv_folds")
+    save(folds.orderBy("model", "fold"), "ensembles/folds")
     cv_summary = staged(fold_summary(folds))
-    save(cv_summary, "ensemble_models/cv_summary")
+    save(cv_summary, "ensembles/fold_summary")
 
     # search; its folds cover the validation rows, so the tuned model's validation score has seen them
     trials = staged(search(dev, spec, plan.space, plan.trials, plan.search_folds))
-    save(trials.orderBy("number"), "hyperparameter_tuning/trials")
+    save(trials.orderBy("number"), "search/trials")
     tuned_sizes = trial_sizes(best_trial(trials), plan.sizes)
     tuned = M.fit_many([M.model_spec(M.TUNED, tuned_sizes)], train)
     predicted = M.predict_many(tuned, validation)
-    tuned_score = staged(evaluate(predicted, [M.TUNED], "hyperparameter_tuning").withColumn("saw_validation", F.lit(True)))
-    write_json(tuned_score, f"{out}/hyperparameter_tuning/tuned_validation", overwrite)
+    tuned_score = staged(evaluate(predicted, [M.TUNED], "search").withColumn("saw_validation", F.lit(True)))
+    write_json(tuned_score, f"{out}/search/tuned_scores", overwrite)
 
     # choice, then the one look at the test rows
     candidates = append_metrics(baseline, ensemble, tuned_score)
-    save(leaderboard(candidates), "validation_leaderboard")
+    save(leaderboard(candidates), "candidates")
     selection = staged(choose_final(candidates))
-    write_json(selection, f"{out}/model_selection", overwrite)
+    write_json(selection, f"{out}/choice", overwrite)
     chosen = selection.first()["model"]
     final_models = M.fit_selected(chosen, dev, plan.sizes, tuned_sizes)
     predicted = M.predict_selected(chosen, final_models, rows.where("split = 'test'"))
     names = list(dict.fromkeys([*persistence_names(), chosen]))
-    scores = require_finite(evaluate(predicted, names, "final_evaluation"))
+    scores = require_finite(evaluate(predicted, names, "locked_test"))
     final = staged(final_table(scores, chosen))
     save(final, METRICS_PATH)
 
     summary = experiment_summary(
         {
-            "data_split": splits,
-            "baseline_validation": baseline,
-            "ensemble_validation": timed,
-            "ensemble_cv": cv_summary,
-            "tuned_validation": tuned_score,
-            "selected_before_locked_test": selection,
+            "audit": audited,
+            "features": feature_manifest(spark),
+            "split": split_totals(splits),
+            "baselines": baseline,
+            "ensembles": timed,
+            "folds": cv_summary,
+            "tuned": tuned_score,
+            "choice": selection,
             "locked_test": final,
         }
     ).withColumn("elapsed_minutes", F.lit((time.monotonic() - started) / 60.0))
-    write_json(summary, f"{out}/experiment_summary", overwrite)
+    write_json(summary, f"{out}/summary", overwrite)
     require_outputs(spark, out)
     return final
 
 
+def split_totals(splits: DataFrame) -> DataFrame:
+    """One row for all series of a split summary: how many there are, their rows, and the outermost times of the parts."""
+    sizes = [name for name in splits.columns if name == "rows" or name.endswith("_rows")]
+    edges = [name for name in splits.columns if name.endswith(("_start", "_end"))]
+    outermost = [(F.min if name.endswith("_start") else F.max)(name).alias(name) for name in edges]
+    return splits.agg(F.count("*").alias("series"), *(F.sum(name).alias(name) for name in sizes), *outermost)
+
+
 def experiment_summary(tables: dict[str, DataFrame]) -> DataFrame:
-    """One nested document of small result tables: one row, a list of records per table."""
+    """One nested document of result tables whose size does not follow the data: one row, a list of records per table."""
     document = None
     for name, table in tables.items():
         part = table.agg(F.to_json(F.collect_list(F.struct("*"))).alias("records")).withColumn("name", F.lit(name))

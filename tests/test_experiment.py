@@ -54,16 +54,18 @@ def test_whole_run(spark, files, tmp_path, monkeypatch):
     final = E.run_files(spark, str(files), "canonical.csv", "raw.csv", out, smoke=True)
     rows = final.collect()
     assert [row["role"] for row in rows].count("baseline") == 3 and rows[-1]["role"] == "selected_final_model"
-    board = spark.read.csv(f"{out}/validation_leaderboard", header=True, inferSchema=True).orderBy("mae").collect()
+    board = spark.read.csv(f"{out}/candidates", header=True, inferSchema=True).orderBy("mae").collect()
     assert board[0]["model"] == rows[-1]["model"] and len(board) == 10
-    quality = spark.read.json(f"{out}/data_quality").first()
+    quality = spark.read.json(f"{out}/audit").first()
     assert (quality["raw_rows"], quality["canonical_rows"], quality["timestamp_duplicates"]) == (700, 690, 0)
-    split = spark.read.json(f"{out}/data_split").first()
+    split = spark.read.json(f"{out}/split").first()
     assert split["rows"] == 690 - 168 and split["train_rows"] == int(522 * 0.7)
-    summary = spark.read.json(f"{out}/experiment_summary").first()
+    summary = spark.read.json(f"{out}/summary").first()
     assert json.loads(summary["locked_test"])[0]["model"].startswith("naive_lag_")
-    assert spark.read.json(f"{out}/feature_manifest").count() == len(S.FEATURES) == 42
-    times = spark.read.csv(f"{out}/ensemble_models/metrics", header=True, inferSchema=True)
+    assert json.loads(summary["audit"])[0]["canonical_rows"] == 690 and len(json.loads(summary["features"])) == 42
+    assert json.loads(summary["split"])[0] | {"series": 1, "rows": 522} == json.loads(summary["split"])[0]
+    assert spark.read.json(f"{out}/features").count() == len(S.FEATURES) == 42
+    times = spark.read.csv(f"{out}/ensembles/scores", header=True, inferSchema=True)
     assert times.where("fit_seconds > 0").count() == 3
     # results are not replaced, not by a smoke run even when told to
     for smoke, overwrite in ((False, False), (True, True)):

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pastward.functions.bands import ordinal_rank, rain_band
-from pastward.functions.calendar import calendar_columns, cyclical_columns, epoch_seconds, parse_timestamp, try_parse_timestamp
+from pastward.functions.calendar import calendar_columns, cyclical_columns, epoch_seconds, parse_timestamp
 from pastward.functions.errors import adjusted_r2
 from pastward.operators.scoring import (
     append_metrics,
@@ -32,7 +32,6 @@ def test_unreadable_time_raises(spark, date, time):
     df = spark.createDataFrame([(date, time)], "d string, t string")
     with pytest.raises(PySparkException):
         df.select(parse_timestamp(F.col("d"), F.col("t"))).collect()
-    assert df.select(try_parse_timestamp(F.col("d"), F.col("t"))).first()[0] is None
 
 
 def test_rain_bands_are_right_closed(spark):

@@ -109,7 +109,7 @@ def test_exponential_mean_over_chunks(hourly, spans):
     rng = np.random.default_rng(11)
     values = np.concatenate([rng.normal(0, 1, 300), rng.normal(1e6, 1e3, 300), [0.0] * 200])
     numbered = number_rows(hourly({"a": values, "b": [4.0, 2.0]}), SMALL)
-    blocks = join_carries(with_history(numbered, SMALL, 0), numbered, SMALL, "Consumption", spans)
+    blocks = join_carries(with_history(numbered, SMALL, 0), SMALL, "Consumption", spans)
     columns = named(ewm_columns(SMALL, "Consumption", spans, "e"))
     for part in per_series(blocks.select("series_id", "timestamp", "Consumption", *columns)).values():
         for span in spans:
@@ -138,13 +138,32 @@ def test_long_windows_are_put_together_from_short_ones(hourly, windows):
 def test_span_of_one_is_refused(hourly):
     numbered = number_rows(hourly({"a": [1, 2]}), SMALL)
     with pytest.raises(ValueError, match="above 1"):
-        join_carries(with_history(numbered, SMALL, 0), numbered, SMALL, "Consumption", (1,))
+        join_carries(with_history(numbered, SMALL, 0), SMALL, "Consumption", (1,))
+
+
+@pytest.mark.parametrize("spans", [(6, 24), (2, 400)])
+@pytest.mark.parametrize("share", [0.05, 0.6, 0.97])
+def test_exponential_mean_over_gaps(hourly, spans, share):
+    rng = np.random.default_rng(int(share * 100))
+    values = rng.normal(100, 30, 900)
+    values[rng.random(900) < share] = np.nan
+    values[300:520] = np.nan  # a gap over several blocks
+    numbered = number_rows(hourly({"a": list(values), "none": [None, None], "late": [None] * 130 + [3.0, 4.0]}), SMALL)
+    blocks = join_carries(with_history(numbered, SMALL, 40), SMALL, "Consumption", spans).where("_block = floor(_row / 64)")
+    columns = named(ewm_columns(SMALL, "Consumption", spans, "e"))
+    for part in per_series(blocks.select("series_id", "timestamp", "Consumption", *columns)).values():
+        for span in spans:
+            expected = part["Consumption"].astype(float).shift(1).ewm(span=span, adjust=False).mean()
+            np.testing.assert_allclose(part[f"e_{span}"].astype(float), expected, rtol=1e-9, atol=1e-9)
 
 
-def test_exponential_mean_refuses_missing_values(hourly):
-    series = hourly({"a": [1, None, 3]}, Temperature=lambda p: 0.0, Rain=lambda p: 0.0, Sun=lambda p: 0.0)
-    with pytest.raises(PySparkException, match="Consumption is missing"):
-        past_features(series).collect()
+def test_features_of_a_series_with_missing_targets(hourly):
+    rng = np.random.default_rng(6)
+    values = [None if i % 97 == 3 else float(v) for i, v in enumerate(rng.normal(100, 9, 800))]
+    series = hourly({"a": values}, Temperature=lambda p: 0.0, Rain=lambda p: 0.0, Sun=lambda p: 0.0)
+    kept = feature_table(series, SMALL)
+    assert kept.where("Consumption IS NULL").count() == 0
+    assert kept.count() == kept.where("consumption_ewm_6 IS NOT NULL").count()
 
 
 def test_no_feature_looks_ahead(three_series):
@@ -180,5 +199,6 @@ def test_windows_over_rows_are_never_wider_than_a_block(three_series):
     """No plan puts a series into one partition: every window over rows is partitioned by bucket or block too."""
     plan = past_features(three_series, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     for line in plan.splitlines():
-        if "Window [" in line and "bucket_rows" not in line:
+        per_chunk = any(name in line for name in ("bucket_rows", "last_row", "step_", "after_"))  # one row per bucket or chunk
+        if "Window [" in line and not per_chunk:
             assert "_block" in line or "_bucket" in line, line
