@@ -16,20 +16,21 @@ def connected(work: Work, edges: DataFrame) -> DataFrame:
     joined and summed by node, so a node with many edges adds up before the shuffle. An empty table gives an empty table.
     """
     rest = work.put(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = work.put(rest.select("a").union(rest.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
+    first, jumps = rest, []
     while not rest.isEmpty():
         both = rest.union(rest.select("b", "a"))
-        low = work.put(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b")))
-        jump = work.put(
-            low.alias("x").join(low.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("node"), F.col("y.b").alias("to"))
-        )
-        before = roots
-        roots = work.put(
-            roots.join(jump.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        )
-        past = rest
+        low = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b"))
+        ahead = low.select(F.col("a").alias("b"), F.col("b").alias("to"))
+        jump = work.put(low.join(ahead, "b").select(F.col("a").alias("node"), "to"))
+        jumps.append(jump)
         ends = rest.join(jump.select(F.col("node").alias("a"), F.col("to").alias("u")), "a").join(jump.select(F.col("node").alias("b"), F.col("to").alias("v")), "b")
-        rest = work.put(ends.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-        work.drop(past, before, low, jump)
-    work.drop(rest)
+        past, rest = rest, work.put(ends.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+        if past is not first:
+            work.drop(past)
+    # every node has the pointer of the first round; the later ones lead on from there
+    roots = jumps[0].withColumnRenamed("to", "root") if jumps else first.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    for jump in jumps[1:]:
+        roots = roots.join(jump.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    roots = work.put(roots)
+    work.drop(first, rest, *jumps)
     return roots

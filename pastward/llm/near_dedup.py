@@ -5,10 +5,11 @@ bin takes the value of a filled one that the bin's own random order names first
 agree in a bin with the probability of their similarity. Runs of bins are the buckets: the longest runs by which a pair
 right at the limit is missed with a probability of ``MISS`` at most.
 
-Texts with equal sets are one node. In a bucket, nodes never meet pair by pair: each is compared with a centre, so edges
-form stars. Links are confirmed on the full sets. A bucket whose nodes are not yet in one component goes on with further
-centres, twice as many each round, until every node of it is linked or has been a centre; so no link between two nodes of
-a bucket is lost, and no size is capped.
+Texts with equal sets are one node. In a bucket nodes are compared with a centre, so candidate edges form stars. A bucket
+whose nodes are not yet in one component goes on with further centres, the best linked node first, then more each round,
+until every node of it is linked or has been a centre; so no link between two nodes of a bucket is lost, and no size is
+capped. A candidate becomes a row only if a bound allows the link: a set's bit map flips one bit for each shingle, so two
+maps differ in at most as many bits as the sets in shingles. What is left is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.llm import wordhash as wh
@@ -29,6 +30,9 @@ WIDTH = 5
 BINS = 320
 MISS = 1e-6
 FEW = 48
+MAP_WORDS = 8  # of 64 bits
+FASTER = 64  # times as many centres each round
+MAP = [f"map{k}" for k in range(MAP_WORDS)]
 
 
 def shingle_sets(words: wh.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +124,11 @@ def _sketch_rows(width: int, percent: int):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wh.mix(values ^ wh.seeded(1, seed)), dtype=np.uint64)])
                 sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
             buckets = bucket_ids(signatures(values, first), in_bucket).view(np.int64)
+            bit = wh.mix(values ^ wh.seeded(1, 18)) % np.uint64(64 * MAP_WORDS)
+            cell = np.repeat(np.arange(len(size)), size) * MAP_WORDS + (bit >> np.uint64(6)).astype(np.int64)
+            maps = np.zeros(len(size) * MAP_WORDS, np.uint64)
+            np.bitwise_xor.at(maps, cell, np.uint64(1) << (bit & np.uint64(63)))
+            maps = maps.view(np.int64).reshape(-1, MAP_WORDS)
             kept = size > 0
             offsets_out = np.concatenate([[0], np.cumsum(np.where(kept, buckets.shape[1], 0))]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
@@ -129,6 +138,7 @@ def _sketch_rows(width: int, percent: int):
                     "n_shingles": pa.array(size, pa.int64()),
                     "print1": pa.array(sums[0]),
                     "print2": pa.array(sums[1]),
+                    **{name: pa.array(np.ascontiguousarray(maps[:, k])) for k, name in enumerate(MAP)},
                     "buckets": pa.ListArray.from_arrays(pa.array(offsets_out), pa.array(buckets[kept].reshape(-1))),
                 }
             )
@@ -173,18 +183,43 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) ->
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_compare_rows(width, percent), "a long, b long")
 
 
-def _links(work: Work, texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) of the nodes that confirmed links connect, among those of ``members`` (bucket, node)."""
+def _possible(percent: int) -> Column:
+    """Whether the maps and sizes of a node and a centre allow a link: their sets differ in ``apart`` shingles at least."""
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"c_{m}"))) for m in MAP), F.lit(0))
+    apart = F.greatest(apart, F.abs(F.col("n_shingles") - F.col("c_n_shingles")))
+    total = F.col("n_shingles") + F.col("c_n_shingles")
+    return (total - apart) * (100 + percent) >= 2 * percent * total
+
+
+def _merged(work: Work, roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (a, b); only the roots that the links join are contracted."""
+    if roots is None:
+        return connected(work, links)
+
+    def at(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    edges = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    moved = connected(work, edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = moved.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return work.put(known.union(new))
+
+
+def _links(work: Work, texts: DataFrame, info: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(node, root) of the nodes that confirmed links connect, among those of ``members`` (bucket, node); None without any.
+
+    ``info`` has n_shingles and the map of each node, ``texts`` a text.
+    """
     step, left = 0, members.withColumn("used", F.lit(False))
-    tested = found = roots = None
+    tested = found = roots = past = None
     while True:
-        if found is None:
-            state = left.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("long"))
-        else:
-            degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+        state = left.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("long"))
+        if found is not None:
+            degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
             state = left.join(roots, "node", "left").join(degree, "node", "left")
-            state = state.select("bucket", "node", "used", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-        state = work.put(state)
+            state = state.select("bucket", "node", "used", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("links"))
         free = ~F.col("used")
         buckets = state.groupBy("bucket").agg(
             F.count("*").alias("n"),
@@ -195,26 +230,27 @@ def _links(work: Work, texts: DataFrame, members: DataFrame, width: int, percent
         )
         # the last free node has met all others of its bucket
         open_ = buckets.where("low != high and free > 1").select("bucket", "n", (-F.col("best.less")).alias("best"))
-        # beside the best, a node is a centre with probability (2 ** step - 1) / n, so all are in the end
+        # beside the best, a node is a centre with this share of the bucket's, so all are in the end
+        share = FASTER**step if step else 0
         drawn = F.xxhash64(F.lit(step), "node").bitwiseAND(F.lit((1 << 40) - 1)).cast("double") * F.col("n")
-        chosen = free & ((F.col("node") == F.col("best")) | (drawn < float((2**step - 1) << 40)))
-        now = work.put(state.join(open_, "bucket").select("bucket", "node", "used", "root", chosen.alias("centre")))
-        work.drop(state)
+        chosen = free & ((F.col("node") == F.col("best")) | (drawn < float(share << 40)))
+        now = state.join(open_, "bucket").withColumn("centre", chosen).join(info, "node")
+        now = work.put(now.select("bucket", "node", (F.col("used") | F.col("centre")).alias("used"), "centre", "root", "n_shingles", *MAP))
+        work.drop(past)
         if now.isEmpty():
-            work.drop(now, left, tested, found)
+            work.drop(now)
             return roots
-        centres = now.where("centre").select("bucket", F.col("node").alias("c"), F.col("root").alias("c_root"))
-        pairs = now.join(centres, "bucket").where("root != c_root")
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        centres = now.where("centre").select(*[F.col(c).alias(f"c_{c}") for c in now.columns])
+        meet = (F.col("bucket") == F.col("c_bucket")) & (F.col("root") != F.col("c_root")) & _possible(percent)
+        pairs = now.join(centres, meet)
+        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
         pairs = work.put(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        links = _confirmed(texts, pairs, width, percent)
-        links = work.put(links if found is None else links.union(found))
-        both = pairs if tested is None else work.put(tested.union(pairs))
-        work.drop(left, found, roots, *((tested, pairs) if tested is not None else ()))
-        tested, found = both, links
-        left = work.put(now.select("bucket", "node", (F.col("used") | F.col("centre")).alias("used")))
-        work.drop(now)
-        roots = connected(work, found)
+        links = work.put(_confirmed(texts, pairs, width, percent))
+        tested = pairs if tested is None else tested.union(pairs)
+        if not links.isEmpty():
+            roots = _merged(work, roots, links)
+            found = links if found is None else found.union(links)
+        left, past = now.select("bucket", "node", "used").distinct(), now
         step += 1
 
 
@@ -229,14 +265,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> D
     """
     work = Work(docs.sparkSession)
     texts = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
-    kind = "doc_id long, mark int, n_shingles long, print1 long, print2 long, buckets array<long>"
+    kind = "doc_id long, mark int, n_shingles long, print1 long, print2 long, " + "".join(f"{m} long, " for m in MAP) + "buckets array<long>"
     sketches = work.put(texts.mapInArrow(_sketch_rows(width, percent), kind))
     keys = ["print1", "print2", "n_shingles"]
     sets = sketches.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("least"))
     nodes = work.put(sets.withColumn("node", F.coalesce("least", F.xxhash64("print1", "print2"))))
 
     own = [sketches[k] == nodes[k] for k in keys] + [sketches["doc_id"].eqNullSafe(nodes["least"])]
-    firsts = sketches.join(nodes, own).select(nodes["node"], sketches["doc_id"], sketches["mark"], nodes["print1"], nodes["print2"], "buckets")
+    firsts = sketches.join(nodes, own).select(nodes["node"], sketches["doc_id"], sketches["mark"], nodes["print1"], nodes["print2"], sketches["n_shingles"], *MAP, "buckets")
     firsts = work.put(firsts.dropDuplicates(["node", "print1", "print2"]))
     spread = firsts.select("node", F.explode("buckets").alias("bucket")).distinct()
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -245,8 +281,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> D
     asked = asked.select("node", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
     match = texts["doc_id"].eqNullSafe(asked["of_id"]) & (texts["mark"] == asked["of_mark"])
     asked_texts = work.put(texts.join(asked, match).select("node", "text"))
-    work.drop(firsts)
-    roots = _links(work, asked_texts, members, width, percent)
+    info = firsts.select("node", "n_shingles", *MAP)
+    roots = _links(work, asked_texts, info, members, width, percent)
+    work.drop(firsts, members)
     work.drop(asked_texts)
 
     groups = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left")
@@ -273,3 +310,23 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = keyed(docs, text_mark(F.col("text")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = keyed(near_duplicates(docs, percent=percent).where("kept"), F.col("mark")).distinct()
     return rows.join(kept, keys).dropDuplicates(keys).select("row.*")
+
+
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, x
+  FROM (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common.n >= 85 * (s.n + t.n - common.n)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
