@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm import chat, decontamination, license_scan, quality_classifier, quality_rules
-from pastward.llm.bpe import token_digests
-from pastward.llm.language import predict
-from pastward.llm.near_dedup import near_duplicates
-from pastward.llm.sharding import placed
-from pastward.llm.substring_dedup import repeated_passages
+from pastward.llm import (
+    bpe,
+    chat,
+    decontamination,
+    language,
+    license_scan,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+)
 from pastward.llm.work import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,29 +36,29 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+@query(substring_dedup.SQL)
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_passages(table(spark, folder, "documents"))
+    return substring_dedup.repeated_passages(table(spark, folder, "documents"))
 
 
-@query()
+@query(near_dedup.SQL)
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"), percent=85).drop("mark")
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85).drop("mark")
 
 
 @query()
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return token_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.token_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query()
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    return predict(table(spark, folder, "documents"))
+    return language.predict(table(spark, folder, "documents"))
 
 
 @query()
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return placed(table(spark, folder, "documents"))
+    return sharding.placed(table(spark, folder, "documents"))
 
 
 @query(decontamination.SQL)

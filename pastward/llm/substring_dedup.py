@@ -193,3 +193,17 @@ def without_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFram
     """
     out = _scanned(docs, window, True)
     return out.select(*[(F.col("kept_text") if c.lower() == "text" else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts)),
+gone AS (
+  SELECT DISTINCT doc_id, k
+  FROM (SELECT doc_id, unnest(range(i, i + 35)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY x) AS n FROM windows) WHERE n > 1)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM texts),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS left_over FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
