@@ -15,8 +15,8 @@ def main() -> None:
     parser.add_argument("canonical", help="name of the cleaned hourly CSV")
     parser.add_argument("raw", help="name of the raw hourly CSV")
     parser.add_argument("out", help="folder for the results")
-    parser.add_argument("--smoke", action="store_true", help="quick check on the last rows with small models")
-    parser.add_argument("--overwrite", action="store_true", help="replace existing results with a full run")
+    parser.add_argument("--smoke", action="store_true", help="run on the last rows only, with the quick sizes; leaves earlier results alone")
+    parser.add_argument("--overwrite", action="store_true", help="let a full run write over what is in OUT")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("pastward").getOrCreate()
     run_files(spark, args.folder, args.canonical, args.raw, args.out, args.smoke, args.overwrite).show(truncate=False)

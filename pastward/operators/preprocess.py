@@ -19,7 +19,7 @@ from pastward.functions.bands import ordinal_rank
 from pastward.functions.yeo_johnson import yeo_johnson
 from pastward.operators.quantiles import exact_quantiles, present_values
 
-EXACT = 1e-10  # relative width of the interval at which the search for a power ends
+EXACT = 1e-9  # relative width of the interval at which the search for a power ends
 
 
 def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -79,9 +79,9 @@ def fit_powers(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     The likelihood's slope is 0 at its top. Each round evaluates the slope of every column at one power, on all rows, by one
     aggregate; intervals around the tops are widened until the slope changes its sign, and then narrowed.
     """
-    part = train.select(*columns).persist()
+    part = present_values(train, columns).withColumnRenamed("value", "x").persist()
     try:
-        searches = {c: _Search(*facts) for c, facts in _centres(part, columns).items()}
+        searches = {c: _Search(centre) for c, centre in _centres(part).items()}
         while active := {c: s for c, s in searches.items() if not s.done}:
             for column, slope in _slopes(part, active).items():
                 active[column].seen(slope)
@@ -144,26 +144,27 @@ class _Search:
             self.at += self.step
 
 
-def _centres(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float]]:
+def _centres(values: DataFrame) -> dict[str, float]:
     """A centre for the logarithms of each column that has two different values.
 
     Where all values are on one side of 0, powers of values in units of their geometric mean keep their digits at any power.
     """
-    x = F.col("value")
-    facts = present_values(train, columns).groupBy("column").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.avg(F.log1p(F.abs(x))).alias("centre"))
+    x = F.col("x")
+    facts = values.groupBy("column").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.avg(F.log1p(F.abs(x))).alias("centre"))
     rows = facts.where("least < most").collect()  # one row per column
-    return {r["column"]: (r["centre"] if r["least"] >= 0 or r["most"] < 0 else 0.0,) for r in rows}
+    return {r["column"]: r["centre"] if r["least"] >= 0 or r["most"] < 0 else 0.0 for r in rows}
 
 
-def _slopes(train: DataFrame, searches: dict[str, _Search]) -> dict[str, float | None]:
+def _slopes(values: DataFrame, searches: dict[str, _Search]) -> dict[str, float | None]:
     """The slope of each column's mean log-likelihood at the power it asks for.
 
     With u = log(1 + |x|) less its centre and k the power of the value's side (2 - power below 0), the transform is
     sign·(exp(k·u) - 1) / k up to scale; d is its derivative by the power. The slope is mean(sign·u) - cov(transform, d) /
     var(transform), where the mean vanishes with a centre.
     """
-    places = {c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), F.lit(s.at).alias("power"), F.lit(s.centre).alias("centre")) for c, s in searches.items()}
-    rows = train.select(F.explode(F.array(*places.values())).alias("e")).select("e.*").where("x IS NOT NULL AND NOT isnan(x)")
+    asked = values.sparkSession.createDataFrame([(c, float(s.at), float(s.centre)) for c, s in searches.items()], "of string, power double, centre double")
+    # the powers come as rows, not as literals: every round runs the same compiled code
+    rows = values.join(F.broadcast(asked), F.col("column") == F.col("of"))  # one row per column of the model
     below = F.col("x") < 0
     rows = rows.select("column", F.when(below, -1.0).otherwise(1.0).alias("sign"), (F.log1p(F.abs("x")) - F.col("centre")).alias("u"), F.when(below, 2.0 - F.col("power")).otherwise(F.col("power")).alias("k"), "centre")
     u, k = F.col("u"), F.col("k")

@@ -27,10 +27,10 @@ from pastward.operators.scoring import (
 )
 from pastward.operators.splits import chronological_split, development, split_summary
 from pastward.operators.tuning import SearchSpace, best_trial, search, trial_sizes
-from pastward.session import staged
+from pastward.session import staged, staging
 from pastward.sources.fingerprint import file_hashes, provenance, require_files
 from pastward.sources.series import read_hourly_csv, tail_rows, with_timestamp
-from pastward.sources.sinks import guard_results, results_exist, write_csv, write_json, write_parquet
+from pastward.sources.sinks import guard_results, read_csv, results_exist, write_csv, write_json, write_parquet
 from pastward.spec import HOURLY, SeriesSpec
 
 SMOKE_ROWS = 6000
@@ -96,6 +96,13 @@ def fit_times(spark: SparkSession, fitted: list[M.FittedModel]) -> DataFrame:
 def run(
     series: DataFrame, raw: DataFrame, out: str, plan: Plan = FULL_PLAN, spec: SeriesSpec = HOURLY, overwrite: bool = False
 ) -> DataFrame:
+    """:func:`run_staged` in a staging area of its own; returns the locked-test table as it was written."""
+    with staging(series.sparkSession):
+        schema = run_staged(series, raw, out, plan, spec, overwrite).schema
+    return read_csv(series.sparkSession, f"{out}/{METRICS_PATH}", schema).orderBy("role", "mae", "model")
+
+
+def run_staged(series: DataFrame, raw: DataFrame, out: str, plan: Plan, spec: SeriesSpec, overwrite: bool) -> DataFrame:
     """Run everything on a series table that is unique on key and time; returns the locked-test table.
 
     Each stage writes its tables below ``out``. Choices are made on validation rows only; the test rows are read once,
