@@ -1,6 +1,6 @@
 """Text quality by co-training of two classifiers.
 
-One classifier sees hashed words and word shapes of the text, the other metadata of the page: language, source, length, lines
+One classifier sees hashed words, word shapes and repeated neighbours of the text, the other metadata of the page: language, source, length, lines
 and the make-up of its characters. Both start from the same labelled rows. In every round each hands its surest verdicts on
 an unlabelled pool to the other as labels. Their margins are then calibrated on labelled rows kept aside, and added up as
 log-odds, which score all documents.
@@ -25,7 +25,7 @@ ROUNDS = 3
 SURE = 0.95
 TEXT_BITS, META_BITS = 14, 10
 VIEWS = ("text", "meta")
-META = ("lang", "source", "log_chars", "log_lines", "line_length", "word_length", "letter_share", "upper_share")
+META = ("lang", "source", "log_chars", "log_lines", "line_length", "word_length", "letter_share", "upper_share", "distinct_share")
 
 
 def _views(docs: DataFrame, *carried: str) -> DataFrame:
@@ -34,17 +34,20 @@ def _views(docs: DataFrame, *carried: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a"), r"\p{N}+", "0")
     shapes = F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit("\n"), w))
+    again = F.filter(F.transform("words", lambda w, i: F.when(w == F.get("words", i - 1), F.lit("\v"))), lambda x: x.isNotNull())
     chars, lines = F.char_length(text), F.size(F.split(text, "\n"))
     share = lambda n: n / F.greatest(chars, F.lit(1))
-    rows = docs.select(
+    rows = docs.select(*carried, "text", "lang", "source", words.alias("words"))
+    rows = rows.select(
         *carried,
-        F.concat(words, shapes).alias("terms"),
+        F.concat("words", shapes, again).alias("terms"),
         "lang",
         "source",
+        (F.size(F.array_distinct("words")) / F.greatest(F.size("words"), F.lit(1))).alias("distinct_share"),
         F.log1p(chars).alias("log_chars"),
         F.log1p(lines).alias("log_lines"),
         F.log1p(chars / lines).alias("line_length"),
-        F.log1p(chars / F.greatest(F.size(words), F.lit(1))).alias("word_length"),
+        F.log1p(chars / F.greatest(F.size("words"), F.lit(1))).alias("word_length"),
         share(F.char_length(F.regexp_replace(text, r"\P{L}+", ""))).alias("letter_share"),
         share(F.char_length(F.regexp_replace(text, r"\P{Lu}+", ""))).alias("upper_share"),
     )

@@ -20,7 +20,8 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
 MIDDLE, HIGH = (1, 2), (9, 10)  # quantiles, as fractions
 SPREAD = 4
-ROOM = 500  # ten-thousandths that a limit stands above the upper quantile at least
+# how far a limit stands above the upper quantile at least, in the units of each rate
+ROOM = {"symbol_rate": 800, "dup_line_rate": 3000, "repeat_rate": 2000, "word_length": 500}
 KEPT_BITS = 6
 
 
@@ -129,7 +130,8 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base_failed", failed).select("*", *[c.alias(n) for n, c in rates.items()])
     long = rows.where("not base_failed").unpivot(["lang", "source"], list(rates), "rate", "value")
     marks = quantiles(sketch(long, ["lang", "source", "rate"]), ["lang", "source", "rate"], middle=MIDDLE, high=HIGH)
-    limit = F.col("high") + F.greatest(SPREAD * (F.col("high") - F.col("middle")), F.lit(ROOM))
+    room = F.element_at(F.create_map(*[F.lit(x) for pair in ROOM.items() for x in pair]), F.col("rate"))
+    limit = F.col("high") + F.greatest(SPREAD * (F.col("high") - F.col("middle")), room)
     limits = marks.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(
         *[F.max(F.when(F.col("rate") == n, limit)).alias(f"most_{n}") for n in rates]
     )
@@ -180,7 +182,8 @@ marks AS (
 limits AS (
   SELECT lang, source, max(most) FILTER (rate = 'symbol_rate') AS a, max(most) FILTER (rate = 'dup_line_rate') AS b,
     max(most) FILTER (rate = 'repeat_rate') AS c, max(most) FILTER (rate = 'word_length') AS d
-  FROM (SELECT *, high + greatest(4 * (high - middle), 500) AS most FROM marks) GROUP BY lang, source)
+  FROM (SELECT *, high + greatest(4 * (high - middle),
+    CASE rate WHEN 'symbol_rate' THEN 800 WHEN 'dup_line_rate' THEN 3000 WHEN 'repeat_rate' THEN 2000 ELSE 500 END) AS most FROM marks) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(symbol_rate <= a AND dup_line_rate <= b AND repeat_rate <= c AND word_length <= d, false) AS kept
 FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang AND rated.source IS NOT DISTINCT FROM limits.source
