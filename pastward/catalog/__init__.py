@@ -2,5 +2,6 @@
 
 from pastward.catalog import base, daily, evaluation, features, models, preprocessing, quality, scale, sources  # noqa: F401
 
-QUERIES = base.QUERIES
+LONG = models.LONG
+QUERIES = {name: f for name, f in base.QUERIES.items() if name not in LONG} | {name: base.QUERIES[name] for name in LONG}
 ORACLES = base.ORACLES
