@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pastward.llm.work import Work, text_mark
 
 WINDOW = 13
-MOST_BROADCAST = 200_000
+MOST_BROADCAST = 64 << 20  # bytes
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,11 +93,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, perce
     hits; so has an item. Repeated rows get equal results; an item with a null id hits but is not listed. An empty table of
     items hits nothing. Other columns are not read.
 
-    The windows are broadcast if there are at most ``MOST_BROADCAST`` of them; beyond that, all joins are by shuffle.
+    The windows are broadcast if their words have ``MOST_BROADCAST`` bytes at most, 32 for each window and 16 for each word
+    included; beyond that, all joins are by shuffle.
     """
     work = Work(docs.sparkSession)
     windows = work.put(item_windows(items, window))
-    small = windows.count() <= MOST_BROADCAST
+    size = F.octet_length(F.array_join("window", "")) + F.octet_length(F.array_join("items", "")) + 16 * (F.size("window") + F.size("items")) + 32
+    small = windows.agg(F.coalesce(F.sum(size.cast("double")), F.lit(0.0))).first()[0] <= MOST_BROADCAST
     keyed = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
     rows = keyed.select("doc_id", "mark", word_list(F.col("text")).alias("w"))
     prefixes = work.put(_prefixes(windows, rows, small))
