@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -22,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 1 << 18
-LONGEST_REMEMBERED = 64
+REMEMBERED = 1 << 19
+LONGEST_REMEMBERED = 40
 MOST_VOCABULARY = 64 << 20
 AT_ONCE = 1 << 16
 
@@ -58,38 +59,78 @@ class Encoder:
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing}")
-        self.pair = lru_cache(1 << 19)(self._pair)
-        self.alone = lru_cache(1 << 17)(self._alone)
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges as defined: always the neighbours whose joined bytes have the lowest rank, the first of equals."""
+        self.parts = lru_cache(1 << 17)(self._parts)
+        self.pair = lru_cache(1 << 20)(self._pair)
+        # tokens by their bytes from the last to the first; a token's rank stands under -1
+        self.endings: dict = {}
+        for token, rank in self.ranks.items():
+            node = self.endings
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[-1] = rank
+
+    def merged(self, piece: bytes, below: float = float("inf")) -> list[int]:
+        """The merges as defined, of ranks ``below`` a limit: always the neighbours of the lowest rank, the first of equals."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             ranked = [self.ranks.get(a + b, -1) for a, b in zip(parts, parts[1:])]
-            best = min((r for r in ranked if r >= 0), default=-1)
+            best = min((r for r in ranked if 0 <= r < below), default=-1)
             if best < 0:
                 break
             at = ranked.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge gives this one; None for a byte; the token itself twice if no merges give it."""
+        if len(self.tokens[token]) == 1:
+            return None
+        parts = self.merged(self.tokens[token], token)
+        return tuple(parts) if len(parts) == 2 else (token, token)
+
+    def reachable(self, token: int) -> bool:
+        return self.parts(token) != (token, token)
+
     def _pair(self, a: int, b: int) -> bool:
-        return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        """Whether no merge ever joins the two: they are taken apart again, the one merged last first.
 
-    def _alone(self, token: int) -> bool:
-        return self.merged(self.tokens[token]) == [token]
+        While two tokens touch at the border, their own merge comes first if its rank is below that of the merge that ended
+        their being neighbours; of equal ranks the one further left.
+        """
+        until = float("inf")
+        if not (self.reachable(a) and self.reachable(b)):
+            return False
+        while True:
+            across = self.ranks.get(self.tokens[a] + self.tokens[b])
+            if across is not None and across < until:
+                return False
+            left, right = self.parts(a), self.parts(b)
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and a > b):
+                until, a = a, left[1]
+            else:
+                until, b = b + 1, right[0]
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """The last token of each prefix of ``piece``; ``last`` has those of the shorter prefixes that are known."""
         last = list(last)
-        for end in range(len(last) + 1, len(piece) + 1):
+        for end in range(len(last), len(piece)):
             last.append(self.last_token(piece, end, last))
         return last
 
     def last_token(self, piece: bytes, end: int, last: list[int]) -> int:
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(piece[start:end])
-            if token is not None and (self.pair(last[start - 1], token) if start else self.alone(token)):
+        """The token that ends the encoding up to and with the byte at ``end``; the longest fits as a rule."""
+        node, at, found = self.endings, end, []
+        while at >= 0 and (node := node.get(piece[at])) is not None:
+            if -1 in node:
+                found.append(node[-1])
+            at -= 1
+        pair, tokens = self.pair, self.tokens
+        while found:
+            token = found.pop()
+            start = end - len(tokens[token])
+            if pair(last[start], token) if start >= 0 else self.reachable(token):
                 return token
         raise ValueError("no token can end this prefix")
 
@@ -134,7 +175,7 @@ class Piece:
         self.bytes = self.bytes[:start] + new + self.bytes[end:]
         last, same, done = old[:start], 0, 0
         for at in range(start + 1, len(self.bytes) + 1):
-            last.append(self.encoder.last_token(self.bytes, at, last))
+            last.append(self.encoder.last_token(self.bytes, at - 1, last))
             done += 1
             same = same + 1 if at > start + len(new) and last[-1] == old[at - 1 - shift] else 0
             if same >= self.encoder.longest:
@@ -160,19 +201,45 @@ class _Memory(dict):
         return ids
 
 
+# what the tokenizer library's classes are for ASCII and the Latin letters from U+00C0 to U+024F; U+00D7 and U+00F7 are none
+_PLAIN = {r"\p{L}": "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"\p{N}": "0-9", r"\s": r"\t-\r "}
+_UNPLAIN = re.compile("[^\0-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]")
+
+
+def _plain(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of those characters alone; None if it uses anything that is not in ``_PLAIN``."""
+
+    def inside(text: str) -> str:
+        for name, members in _PLAIN.items():
+            text = text.replace(name, members)
+        return text
+
+    def outside(text: str) -> str:
+        for name, members in _PLAIN.items():
+            text = text.replace(name, f"[{members}]")
+        return text.replace(r"\S", f"[^{_PLAIN[chr(92) + 's']}]")
+
+    parts = re.split(r"(\[(?:\\.|[^\]\\])*\])", pattern)
+    plain = "".join(inside(p) if k % 2 else outside(p) for k, p in enumerate(parts))
+    return None if re.search(r"\\[^tr]", plain) else re.compile(plain)
+
+
 class Cutter:
     """A pattern by the tokenizer library's tables: newer letters and numbers are neither."""
 
     def __init__(self, pattern: str):
         newer = "[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()) + "]"
+        self.plain = _plain(pattern)
         self.newer = regex.compile(newer)
         self.usual = regex.compile(pattern)
         for name in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(name, f"[{name}--{newer}]")
         self.careful = regex.compile(pattern, regex.V1)
 
-    def of(self, text: str) -> regex.Pattern:
-        return self.usual if text.isascii() or not self.newer.search(text) else self.careful
+    def of(self, text: str) -> re.Pattern | regex.Pattern:
+        if self.plain and not _UNPLAIN.search(text):
+            return self.plain
+        return self.careful if self.newer.search(text) else self.usual
 
 
 def text_ids(memory: _Memory, cutter: Cutter, text: str) -> Iterator[list[int]]:
@@ -186,8 +253,14 @@ def text_ids(memory: _Memory, cutter: Cutter, text: str) -> Iterator[list[int]]:
         yield list(chain.from_iterable(map(memory.__getitem__, some)))
 
 
+@lru_cache(1)
+def _known(content: bytes, pattern: str) -> tuple[_Memory, Cutter]:
+    return _Memory(Encoder(content)), Cutter(pattern)
+
+
 def _tools(content, pattern: str) -> tuple[_Memory, Cutter]:
-    return _Memory(Encoder(content.value)), Cutter(pattern)
+    """The encoder of a worker process; what it remembers serves its later tasks too."""
+    return _known(content.value, pattern)
 
 
 def _id_rows(content, pattern: str):
@@ -203,7 +276,7 @@ def _id_rows(content, pattern: str):
 
 def _text_rows(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(content.value)
+        encoder = _tools(content, "")[0].encoder
         for batch in batches:
             for rows in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 texts = [encoder.decode(ids or []) for ids in rows.column("ids").to_pylist()]

@@ -56,6 +56,32 @@ def test_long_pieces_and_long_texts(encoder, library, monkeypatch):
     assert ids(encoder, texts[3][:5000]) == library.encode_ordinary(texts[3][:5000])
 
 
+def test_pairs_are_valid_as_merging_says(encoder):
+    rnd = random.Random(7)
+    words = ["the", "ation", "ing", "aaaa", "ent", "éé", "日本", "000", "----", "ss", "er", " of"]
+    tokens = [t for w in words for k in range(200) for t in encoder.merged(("".join(rnd.choices("etaoin s日é0-a", k=4)) + w).encode())]
+    seen = set()
+    for _ in range(20000):
+        a, b = rnd.choice(tokens), rnd.choice(tokens)
+        if rnd.random() < 0.3:
+            b = a
+        got = encoder.pair(a, b)
+        seen.add(got)
+        assert got == (encoder.merged(encoder.tokens[a] + encoder.tokens[b]) == [a, b])
+    assert seen == {True, False}
+
+
+def test_the_plain_pattern_cuts_as_the_full_one():
+    cutter = op.Cutter(public_tokenizers.PATTERN)
+    assert cutter.plain and op.Cutter(r"\p{Lu}+|.").plain is None
+    plain = [chr(c) for c in range(0x250) if not op._UNPLAIN.search(chr(c))]
+    rnd = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rnd.choice(plain) if rnd.random() < 0.5 else rnd.choice(" a'sé1.\n\x1c") for _ in range(rnd.randint(0, 30)))
+        assert cutter.of(text) is cutter.plain
+        assert cutter.plain.findall(text) == cutter.usual.findall(text) == cutter.careful.findall(text)
+
+
 def test_appends_and_edits(encoder):
     rnd = random.Random(3)
     letters = [c.encode() for c in "etaoinshr éü日 "]
