@@ -16,6 +16,7 @@ from pastward.llm.work import Work, text_mark
 
 LIMIT = 0.75
 MOST_TERMS = 5000
+PARTS = 32
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)[^/]*$"
 
@@ -167,7 +168,10 @@ def scan(files: DataFrame, templates: DataFrame | None = None, limit: float = LI
     dirs = keyed.select(F.element_at(directories(F.col("path")), -1)["above"].alias("dir")).where("dir is not null").distinct()
     above = dirs.select("dir", F.inline(directories(F.concat("dir", F.lit("/x")))))
     nearest = above.join(givers, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("g"))
-    rows = keyed.withColumn("dir", F.element_at(directories(F.col("path")), -1)["above"]).join(nearest, "dir", "left")
+    # one directory may hold most files, so they are dealt out by a part of their hash too
+    part = F.pmod(F.xxhash64("path", "mark"), F.lit(PARTS)).cast("int")
+    nearest = nearest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = keyed.withColumn("dir", F.element_at(directories(F.col("path")), -1)["above"]).withColumn("part", part).join(nearest, ["dir", "part"], "left")
     mine = own.select(F.col("path").alias("of_path"), F.col("mark").alias("of_mark"), F.col("licence").alias("own"), F.col("cosine").alias("own_cosine"))
     rows = rows.join(mine, rows["path"].eqNullSafe(mine["of_path"]) & (rows["mark"] == mine["of_mark"]), "left")
     has, given = F.col("own").isNotNull(), F.col("g").isNotNull()
