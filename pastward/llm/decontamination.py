@@ -46,7 +46,7 @@ def _prefixes(windows: DataFrame, rows: DataFrame, small: bool) -> DataFrame:
     vocabulary = spread.select("word").distinct()
     said = rows.select(F.explode("w").alias("word"))
     counts = said.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = spread.join(counts, "word", "left")
+    ranked = spread.join(F.broadcast(counts) if small else counts, "word", "left")
     rarest = ranked.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "before")).alias("r"))
     return windows.join(rarest, "window").where("r.n > 0").select("r.word", "r.before", "window", "items")
 
