@@ -58,9 +58,9 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 0, bucket_rows:
     scattered = scattered.select(F.pmod("key", "buckets").alias("bucket"), "shard", F.struct("key", "grown_shard", "row").alias("x"))
     first = work.put(scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("xs")))
 
-    sizes = first.select("shard", "bucket", F.size("xs").cast("long").alias("n"))
+    sizes = first.select("shard", "bucket", F.size("xs.key").cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("shard", "bucket", before.alias("before"))
+    offsets = F.broadcast(sizes.select("shard", "bucket", before.alias("before")))  # one row per bucket
     second = first.select("shard", "bucket", F.shuffle("xs", seed).alias("xs")).join(offsets, ["shard", "bucket"])
     out = second.select("shard", "before", F.posexplode("xs").alias("at", "x"))
     shard, slot, grown = fresh(docs.columns, "shard", "slot", "grown_shard")
@@ -78,7 +78,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 0
 
 
 def placed(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all rows. A null text has size 1 and the checksum of no bytes."""
-    narrow = docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    out = shuffled(narrow, shards, seed)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all rows. A null text has size 1 and the checksum of no bytes.
+
+    Whole documents are shuffled, in buckets bounded by bytes too; size and checksum are those of the texts that come out.
+    """
+    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), text_size(F.col("text")).alias("size"))
+    out = shuffled(whole, shards, seed, size="size")
+    text = F.col("document.text")
+    return out.select("doc_id", text_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pastward.llm import sharding as op
 
@@ -72,3 +73,20 @@ def test_files_hold_the_texts_in_order(spark, tmp_path):
     back = spark.read.parquet(path)
     assert sorted((r.doc_id, r.text) for r in back.select("doc_id", "text").collect()) == sorted((r.doc_id, r.text) for r in df.collect())
     assert back.select("shard", "slot").distinct().count() == 500
+
+
+def test_digests_are_those_of_the_texts_that_come_out(spark, monkeypatch):
+    texts, df = rows(spark, 300)
+    asked, real = [], op.shuffled
+
+    def lossy(docs, *args, **more):
+        asked.append((docs, more))
+        return real(docs, *args, **more).withColumn("document", F.col("document").withField("text", F.concat("document.text", F.lit("!"))))
+
+    monkeypatch.setattr(op, "shuffled", lossy)
+    out = op.placed(df.withColumn("shard", F.lit("a"))).collect()
+    docs, more = asked[0]
+    assert docs.schema["document"].dataType.names == ["doc_id", "text", "shard"] and more["size"] in docs.columns
+    for r in out:
+        raw = b"" if texts[r.doc_id] is None else (texts[r.doc_id] + "!").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
