@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastward.llm import (
@@ -76,13 +76,26 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
 
 
+def file_path() -> Column:
+    """``source/lang/block/part/doc_id``: a block is a range of 20 000 ids, a part the remainder by 4. A null source or
+    language is ``_``; without an id the path is null.
+
+    Ids divisible by 11 are licence files ``LICENSE.doc_id``; their quotient's remainder by 4 says how many of the four
+    directories they lie below: 1 to 4.
+    """
+    id_ = F.col("doc_id")
+    parts = [F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.expr("doc_id div 20000").cast("string"), F.pmod(id_, F.lit(4)).cast("string")]
+    above = F.slice(F.array(*parts), F.lit(1), (F.pmod(F.expr("doc_id div 11"), F.lit(4)) + 1).cast("int"))
+    licence = F.concat(F.array_join(above, "/"), F.lit("/LICENSE."), id_.cast("string"))
+    return F.when(F.pmod(id_, F.lit(11)) == 0, licence).otherwise(F.concat(F.array_join(F.array(*parts), "/"), F.lit("/"), id_.cast("string")))
+
+
 @query()
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id``."""
+    """Documents as files of a tree, some of them licence files: see ``file_path``."""
     docs = table(spark, folder, "documents")
-    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
-    found = license_scan.scan(docs.select(path.alias("path"), "text")).drop("mark")
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "*")
+    found = license_scan.scan(docs.select(file_path().alias("path"), "text")).drop("mark")
+    return found.select(F.regexp_extract("path", "-?[0-9]+$", 0).cast("long").alias("doc_id"), "*")
 
 
 @query()

@@ -144,9 +144,9 @@ def parent(path: Column) -> Column:
 
 
 def directories(path: Column) -> Column:
-    """All directories above a path as (directory, depth), the root (empty, 0) included."""
+    """All directories above a path as (directory, depth), the root (empty, 0) included; null for a null path."""
     parts = F.filter(F.split(parent(path), "/"), lambda p: p != "")
-    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above"), k.alias("depth")))
+    return F.when(path.isNotNull(), F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above"), k.alias("depth"))))
 
 
 def scan(files: DataFrame, templates: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:
@@ -167,10 +167,12 @@ def scan(files: DataFrame, templates: DataFrame | None = None, limit: float = LI
     givers = givers.groupBy("above").agg(F.max(F.struct("cosine", "licence")).alias("given"))
     dirs = keyed.select(F.element_at(directories(F.col("path")), -1)["above"].alias("dir")).where("dir is not null").distinct()
     above = dirs.select("dir", F.inline(directories(F.concat("dir", F.lit("/x")))))
-    nearest = above.join(givers, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("g"))
-    # one directory may hold most files, so they are dealt out by a part of their hash too
+    # one directory may hold most files or lie above most directories, so both are dealt out by a part of their hash too
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    above = above.withColumn("part", F.pmod(F.xxhash64("dir"), F.lit(PARTS)).cast("int"))
+    nearest = above.join(givers.withColumn("part", parts), ["above", "part"]).groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("g"))
     part = F.pmod(F.xxhash64("path", "mark"), F.lit(PARTS)).cast("int")
-    nearest = nearest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    nearest = nearest.withColumn("part", parts)
     rows = keyed.withColumn("dir", F.element_at(directories(F.col("path")), -1)["above"]).withColumn("part", part).join(nearest, ["dir", "part"], "left")
     mine = own.select(F.col("path").alias("of_path"), F.col("mark").alias("of_mark"), F.col("licence").alias("own"), F.col("cosine").alias("own_cosine"))
     rows = rows.join(mine, rows["path"].eqNullSafe(mine["of_path"]) & (rows["mark"] == mine["of_mark"]), "left")

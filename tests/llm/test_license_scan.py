@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from pastward.llm import catalog
 from pastward.llm import license_scan as op
 
 TERM = re.compile(op.TERM)
@@ -95,3 +98,27 @@ def test_empty_tables_and_too_many_terms(spark, monkeypatch):
     monkeypatch.setattr(op, "MOST_TERMS", 3)
     with pytest.raises(ValueError):
         op.scan(files)
+
+
+def test_the_query_has_licence_files_and_files_that_inherit(spark, tmp_path):
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0", "SPDX-License-Identifier: GPL-2.0-only"]
+    docs = [(i, f"Some words {i}.\n" + (notices[i % 3] if random.Random(i).random() < 0.5 else "no more"), f"s{i % 5}" if i % 7 else None, "en" if i % 3 else "de") for i in range(400)]
+    docs += [(None, "a", "s1", "en"), (-22, notices[0], "s1", "en"), (77, notices[1], "s1", "en"), (40_001, None, "s1", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op3_license_scan"](spark, str(tmp_path))
+    files = [tuple(r) for r in df.select(catalog.file_path(), "text").collect()]
+    assert found(got.drop("doc_id")) == plain(files)
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows if r.path) == sorted(d[0] for d in docs if d[0] is not None)
+    inherited = [r for r in rows if r.how == "inherited"]
+    assert len(inherited) > 100 and {r.source.count("/") for r in inherited} == {0, 1, 2, 3}
+    assert len({r.source for r in inherited}) > 10
+    more = df.where("doc_id >= 0").select((F.col("doc_id") + 20_020).alias("doc_id"), "text", "source", "lang")
+    more.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["op3_license_scan"](spark, str(tmp_path)).where("how = 'inherited'").select("source").distinct().count() > len({r.source for r in inherited})
+
+
+def test_a_null_path_inherits_nothing_from_the_root(spark):
+    files = [("LICENSE", "Released under the MIT License."), (None, "a"), ("x", "b")]
+    assert found(op.scan(spark.createDataFrame(files, "path string, text string"))) == plain(files)
