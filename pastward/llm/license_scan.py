@@ -1,13 +1,14 @@
 """Licences of files: notices and licence files compared with templates, then inherited from the nearest directory above.
 
 A template and a passage are sparse vectors of term weights: term count times inverse document frequency. A passage is a
-sentence of a file, or the whole of a licence file. Only passages that hold enough of a template's weight in its rarest terms
+line or sentence of a file, a run of consecutive ones (notices are wrapped over lines), or the whole of a licence file. Only passages that hold enough of a template's weight in its rarest terms
 can reach the limit, so only those are compared (prefix filter for the cosine).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,11 @@ TEMPLATES = {
 }
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
@@ -106,14 +112,39 @@ def key_terms(vectors: DataFrame, limit: float) -> list[str]:
     return [r["term"] for r in each.where(total >= limit * limit * (1 - 1e-9)).select("term").distinct().orderBy("term").collect()]
 
 
-def passages(files: DataFrame) -> DataFrame:
-    """(path, mark, at, terms): sentences of files in order, and licence files as a whole (at -1)."""
+def passages(files: DataFrame, keys: Column, most: int) -> DataFrame:
+    """(path, mark, at, pieces, terms): what is compared of files.
+
+    A piece is a line, or a sentence of it; pieces without terms are left out. Passages are single pieces (pieces 1), runs of
+    two or more consecutive ones of ``most`` terms together at most (at is the first), and licence files as a whole (at -1,
+    pieces 0). Marks of comments are no terms. Only passages with one of the terms in ``keys`` are given.
+    """
     text = F.coalesce("text", F.lit(""))
-    whole = F.array(F.struct(F.lit(-1).alias("at"), text.alias("said")))
-    cut = F.split(text, r"\n|(?<=[.!?;])\s+")
-    sentences = F.transform(cut, lambda s, i: F.struct(i.alias("at"), s.alias("said")))
-    rows = files.select("path", "mark", F.explode(F.when(F.col("path").rlike(LICENCE_FILE), F.concat(whole, sentences)).otherwise(sentences)).alias("x"))
-    return rows.select("path", "mark", "x.at", terms(F.col("x.said")).alias("terms"))
+
+    def of(pieces: Column) -> Column:
+        return F.filter(F.transform(pieces, lambda s, i: F.struct(i.alias("at"), terms(s).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
+
+    cut = files.select("path", "mark", _bound(F.split(text, r"\n|(?<=[.!?;])\s+"), of).alias("cut"), terms(text).alias("all"))
+    # the pieces from each one on that fit together, where any has a key
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("terms"))
+
+    def reach(cut: Column) -> Column:
+        def fitting(i: Column) -> Column:
+            def more(acc: Column, x: Column) -> Column:
+                total = acc["terms"] + F.size(x["terms"])
+                return F.struct((acc["n"] + F.when(total <= most, 1).otherwise(0)).alias("n"), total.alias("terms"))
+
+            return F.slice(cut, i + 1, F.greatest(F.aggregate(F.slice(cut, i + 1, F.lit(max(most, 1))), start, more)["n"], F.lit(1)))
+
+        firsts = F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: F.exists(fitting(i), lambda x: F.arrays_overlap(x["terms"], keys)))
+        return F.when(F.size(cut) > 0, F.transform(firsts, fitting))
+
+    runs = cut.select("path", "mark", F.explode(_bound(F.col("cut"), reach)).alias("run"))
+    ends = runs.select("path", "mark", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("pieces"))
+    said = F.flatten(F.slice(F.col("run.terms"), F.lit(1), F.col("pieces")))
+    rows = ends.select("path", "mark", F.col("run")[0]["at"].alias("at"), "pieces", said.alias("terms"))
+    whole = cut.where(F.col("path").rlike(LICENCE_FILE)).select("path", "mark", F.lit(-1).alias("at"), F.lit(0).alias("pieces"), F.col("all").alias("terms"))
+    return rows.unionByName(whole).where(F.arrays_overlap("terms", keys))
 
 
 def own_licences(files: DataFrame, templates: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -124,14 +155,16 @@ def own_licences(files: DataFrame, templates: DataFrame, limit: float = LIMIT) -
     weights, rare = _weights(work, said, templates)
     vectors = work.put(_vectors(templates, weights))
     keys = F.array(*map(F.lit, key_terms(vectors, limit))).cast("array<string>")
-    found = passages(said.where(F.arrays_overlap("terms", keys))).where(F.arrays_overlap("terms", keys))
-    place = ["path", "mark", "at"]
+    longest = templates.agg(F.max(F.size("terms"))).first()[0] or 0
+    # with terms of equal weight, a longer run that holds a whole template stays below the limit
+    found = passages(said.where(F.arrays_overlap("terms", keys)), keys, math.ceil(longest / limit**2))
+    place = ["path", "mark", "at", "pieces"]
     tf = found.select(*place, F.explode("terms").alias("term")).groupBy(*place, "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(weights), "term", "left")  # at most MOST_TERMS rows, vectors as many per template
     weighed = work.put(weighed.select(*place, "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w")))
     norms = weighed.groupBy(*[F.col(c).alias(f"of_{c}") for c in place]).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(vectors.withColumnRenamed("w", "tw"), "term").groupBy(*place, "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    same = dots["path"].eqNullSafe(norms["of_path"]) & (dots["mark"] == norms["of_mark"]) & (dots["at"] == norms["of_at"])
+    same = dots["path"].eqNullSafe(norms["of_path"]) & (dots["mark"] == norms["of_mark"]) & (dots["at"] == norms["of_at"]) & (dots["pieces"] == norms["of_pieces"])
     alike = dots.join(norms, same).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= limit)
     best = F.max(F.struct("cosine", (-F.col("at")).alias("before"), "licence"))
     out = alike.groupBy("path", "mark").agg(best.alias("b"))

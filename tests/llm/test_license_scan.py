@@ -122,3 +122,56 @@ def test_the_query_has_licence_files_and_files_that_inherit(spark, tmp_path):
 def test_a_null_path_inherits_nothing_from_the_root(spark):
     files = [("LICENSE", "Released under the MIT License."), (None, "a"), ("x", "b")]
     assert found(op.scan(spark.createDataFrame(files, "path string, text string"))) == plain(files)
+
+
+WRAPPED = {
+    "MIT": """# MIT License
+#
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+import os""",
+    "BSD-3-Clause": """/*
+ * Copyright 2020 Somebody. All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *
+ * 1. Redistributions of source code must retain the above copyright
+ */
+int main;""",
+    "GPL-3.0": """// a tool of mine
+
+// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+// This program is distributed in the hope that it will be useful,
+code();""",
+}
+
+
+def test_notices_wrapped_over_lines_are_found(spark):
+    files = [(f"s/{name}.c", text) for name, text in WRAPPED.items()]
+    others = [(f"s/{i}.txt", f"words {i} of the other files and the work in the terms of a version") for i in range(200)]
+    got = {r.path: r for r in op.scan(spark.createDataFrame(files + others, "path string, text string")).collect()}
+    assert {name: got[f"s/{name}.c"].licence for name in WRAPPED} == {name: name for name in WRAPPED}
+    assert all(got[path].licence is None for path, _ in others)
+
+
+def test_passages_are_all_runs_with_a_key(spark):
+    lines = ["a key b", "", "c d. e f", "g", "h i j k", "l m n o p q", "key"]
+    df = spark.createDataFrame([("x", 1, "\n".join(lines)), ("LICENSE", 2, "r key\ns"), ("y", 3, ""), ("LICENSE.y", 4, None)], "path string, mark int, text string")
+    got = [(r.path, r.at, r.pieces, r.terms) for r in op.passages(df, F.array(F.lit("key")), 7).collect()]
+    pieces = [(0, ["a", "key", "b"]), (2, ["c", "d"]), (3, ["e", "f"]), (4, ["g"]), (5, ["h", "i", "j", "k"]), (6, ["l", "m", "n", "o", "p", "q"]), (7, ["key"])]
+    want = []
+    for i, (at, _) in enumerate(pieces):
+        for n in range(1, len(pieces) - i + 1):
+            said = [t for _, x in pieces[i : i + n] for t in x]
+            if "key" in said and (n == 1 or len(said) <= 7):
+                want.append(("x", at, n, said))
+    want += [("LICENSE", -1, 0, ["r", "key", "s"]), ("LICENSE", 0, 1, ["r", "key"]), ("LICENSE", 0, 2, ["r", "key", "s"])]
+    assert sorted(got) == sorted(want)
