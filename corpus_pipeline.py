@@ -10,7 +10,7 @@ from pastward.llm import bpe, decontamination, language, near_dedup, substring_d
 from pastward.llm.work import Work, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PERCENT = 85
+PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

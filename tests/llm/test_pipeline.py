@@ -109,3 +109,15 @@ def test_every_stage_but_the_last_keeps_the_columns(spark, tmp_path):
         assert out.dtypes == docs.dtypes
         assert all(r.n_chars == len(r.text or "") for r in out.collect())
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_near_dedup_stage_links_texts_from_eighty_percent(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = []
+    for k, changed in enumerate((7, 8, 9, 10, 11, 12)):  # of 100 words, the last ones: similarity 0.86, 0.85, 0.83, 0.81, 0.79, 0.78
+        w = [f"w{rnd.randint(0, 10**6)}" for _ in range(100)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-changed] + [f"x{k}y{i}" for i in range(changed)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in brute.near_dups(rows, percent=80) if r[3])
+    assert got == [0, 2, 4, 6, 8, 9, 10, 11] and len([r for r in brute.near_dups(rows) if r[3]]) == 11
