@@ -15,6 +15,7 @@ from pastward.llm import (
     language,
     license_scan,
     near_dedup,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     sharding,
@@ -101,3 +102,8 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(periodic_runs.SQL)
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, folder, "documents"))))
