@@ -20,6 +20,7 @@ from pastward.llm import (
     quality_rules,
     sharding,
     substring_dedup,
+    warc,
 )
 from pastward.llm.work import table
 
@@ -107,3 +108,8 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query(periodic_runs.SQL)
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, folder, "documents"))))
+
+
+@query(warc.SQL)
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(table(spark, folder, "pages"))

@@ -1,0 +1,29 @@
+"""Joins of rows to one row per key where a key may hold any share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pastward.llm.work import fresh
+
+SHARE = 1000
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = SHARE) -> DataFrame:
+    """``rows`` left-joined to ``groups``, which has one row per string ``key`` with the number ``size`` of rows that carry it.
+
+    Keys of a ``share``-th of all ``total`` rows or more are ``share`` at most, whatever the input; these are broadcast. All other keys
+    go through a shuffle, or a broadcast where Spark finds them small enough; the rows already served are spread there by themselves, and
+    no key of that shuffle has more than a ``share``-th of the rows. A null key finds nothing.
+    """
+    own = [c for c in groups.columns if c != key]
+    mark, spread, other = fresh(rows.columns + groups.columns, "heavy", "spread", "light_key")
+    heavy = groups.where(F.col(size) * share >= total)
+    light = groups.where(F.col(size) * share < total).select(F.col(key).alias(other), *[F.col(c).alias(f"{other}_{c}") for c in own])
+    first = rows.join(F.broadcast(heavy.withColumn(mark, F.lit(True))), key, "left")
+    served = F.col(mark) | F.col(key).isNull()
+    alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    first = first.withColumn(spread, F.when(served, alone).otherwise(F.col(key)))
+    both = first.join(light, F.col(spread) == F.col(other), "left")
+    return both.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(c), F.col(f"{other}_{c}")).alias(c) for c in own])
