@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pastward.llm import (
     bpe,
     chat,
+    conversation_repair,
     decontamination,
     language,
     license_scan,
@@ -113,3 +114,9 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query(warc.SQL)
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived_pages(table(spark, folder, "pages"))
+
+
+@query(conversation_repair.SQL)
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversation_repair.with_all(conversation_repair.audited(conversation_repair.damaged(rows)), rows)
