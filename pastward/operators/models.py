@@ -1,8 +1,7 @@
 """Forecast models: persistence, ridge and tree ensembles of Spark ML, and their weighted vote.
 
-Spark has no extremely randomised trees, histogram boosting with leaf limits or second-order boosting. Bagging and the
-two boosted families are therefore Spark's forests and gradient-boosted trees with the matching sizes, rates and sample
-shares; they are members of the same families, not the same algorithms.
+Spark has no extremely random trees, no histogram boosting with a leaf limit and no boosting with penalties; these are
+``random_trees`` and ``boosting``, which fit like estimators.
 """
 
 from __future__ import annotations
@@ -16,16 +15,19 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import VarianceThresholdSelector
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
-    GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastward.operators.boosting import BoostedTrees
 from pastward.operators.preprocess import FeaturePreprocessor, FeaturePreprocessorModel
+from pastward.operators.random_trees import RandomTrees
 from pastward.operators.scoring import PERSISTENCE, persistence_names, with_persistence
+from pastward.operators.tree_model import TreeEnsemble
 from pastward.schema import TARGET
+from pastward.session import staged
 
 SEED = 42
 RIDGE_ALPHA = 2.0
@@ -51,13 +53,15 @@ class Sizes:
     bagging_trees: int = 70
     bagging_depth: int = 20
     histogram_rounds: int = 180
-    histogram_depth: int = 5
+    histogram_leaves: int = 31
     boosting_rounds: int = 350
     boosting_depth: int = 8
     boosting_rate: float = 0.05
     boosting_child: int = 3
     boosting_rows: float = 0.85
     boosting_columns: float = 0.85
+    boosting_l1: float = 0.0
+    boosting_l2: float = 1.0
 
 
 FULL = Sizes()
@@ -76,32 +80,25 @@ def forest(sizes: Sizes = FULL, **params) -> RandomForestRegressor:
     return _trees(RandomForestRegressor, **(values | params))
 
 
-def bagging(sizes: Sizes = FULL) -> RandomForestRegressor:
-    return _trees(
-        RandomForestRegressor,
-        numTrees=sizes.bagging_trees,
-        maxDepth=sizes.bagging_depth,
-        minInstancesPerNode=2,
-        subsamplingRate=0.85,
-        featureSubsetStrategy="0.9",
-    )
+def bagging(sizes: Sizes = FULL) -> RandomTrees:
+    return RandomTrees(sizes.bagging_trees, sizes.bagging_depth, leaf=2, rows=0.85, columns=0.9, seed=SEED)
 
 
-def histogram_boosting(sizes: Sizes = FULL) -> GBTRegressor:
-    return _trees(
-        GBTRegressor, maxIter=sizes.histogram_rounds, stepSize=0.07, maxDepth=sizes.histogram_depth, minInstancesPerNode=20
-    )
+def histogram_boosting(sizes: Sizes = FULL) -> BoostedTrees:
+    return BoostedTrees(sizes.histogram_rounds, 0.07, leaves=sizes.histogram_leaves, l2=0.5, child=20, seed=SEED)
 
 
-def boosting(sizes: Sizes = FULL) -> GBTRegressor:
-    return _trees(
-        GBTRegressor,
-        maxIter=sizes.boosting_rounds,
-        stepSize=sizes.boosting_rate,
-        maxDepth=sizes.boosting_depth,
-        minInstancesPerNode=sizes.boosting_child,
-        subsamplingRate=sizes.boosting_rows,
-        featureSubsetStrategy=str(sizes.boosting_columns),
+def boosting(sizes: Sizes = FULL) -> BoostedTrees:
+    return BoostedTrees(
+        sizes.boosting_rounds,
+        sizes.boosting_rate,
+        depth=sizes.boosting_depth,
+        l1=sizes.boosting_l1,
+        l2=sizes.boosting_l2,
+        child=sizes.boosting_child,
+        rows=sizes.boosting_rows,
+        columns=sizes.boosting_columns,
+        seed=SEED,
     )
 
 
@@ -139,7 +136,7 @@ class FittedModel:
 
     name: str
     preprocessing: FeaturePreprocessorModel
-    model: Model
+    model: Model | TreeEnsemble
     fit_seconds: float = 0.0
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -155,7 +152,7 @@ class ModelSpec:
 
     name: str
     scale: bool
-    make: Callable[[DataFrame], Estimator] = field(repr=False)
+    make: Callable[[DataFrame], Estimator | BoostedTrees | RandomTrees] = field(repr=False)
 
 
 def model_spec(name: str, sizes: Sizes = FULL) -> ModelSpec:
@@ -175,8 +172,7 @@ def model_spec(name: str, sizes: Sizes = FULL) -> ModelSpec:
 def fit_prepared(spec: ModelSpec, preprocessing: FeaturePreprocessorModel, prepared: DataFrame) -> FittedModel:
     """Fit on rows that already carry the input vector; the time covers the fit alone."""
     start = time.monotonic()
-    estimator: Estimator = spec.make(prepared)
-    model = estimator.fit(prepared)
+    model = spec.make(prepared).fit(prepared)
     return FittedModel(spec.name, preprocessing, model, time.monotonic() - start)
 
 
@@ -184,9 +180,9 @@ TASK_ROWS = 20_000  # prepared rows of one task; a tree's many small jobs cost m
 
 
 def packed(prepared: DataFrame) -> DataFrame:
-    """Persisted rows in as many partitions as their number asks for."""
-    held = prepared.persist()
-    return held.coalesce(max(1, -(-held.count() // TASK_ROWS))).persist()
+    """Staged rows in as many partitions as their number asks for."""
+    held = staged(prepared)
+    return held.coalesce(max(1, -(-held.count() // TASK_ROWS)))
 
 
 def fit_many(specs: Sequence[ModelSpec], train: DataFrame) -> list[FittedModel]:
@@ -198,7 +194,6 @@ def fit_many(specs: Sequence[ModelSpec], train: DataFrame) -> list[FittedModel]:
         for spec in specs:
             if spec.scale == scale:
                 fitted[spec.name] = fit_prepared(spec, preprocessing, prepared)
-        prepared.unpersist()
     return [fitted[spec.name] for spec in specs]
 
 

@@ -18,12 +18,12 @@ from pastward.schema import TARGET
 from pastward.session import staged
 from pastward.spec import HOURLY, SeriesSpec
 
-TRIALS = "number int, value double, state string, rounds int, depth int, rate double, child int, rows double, columns double"
+TRIALS = "number int, value double, state string, rounds int, depth int, rate double, child int, rows double, columns double, l1 double, l2 double"
 
 
 @dataclass(frozen=True)
 class SearchSpace:
-    """Ranges of the search, ends included. Spark's boosted trees have no L1 or L2 penalty to search over."""
+    """Ranges of the search, ends included; rate and penalties are drawn by their logarithms."""
 
     # The searched ranges.
     rounds: tuple[int, int, int] = (180, 500, 80)
@@ -32,16 +32,24 @@ class SearchSpace:
     child: tuple[int, int] = (1, 8)
     rows: tuple[float, float] = (0.7, 1.0)
     columns: tuple[float, float] = (0.7, 1.0)
+    l1: tuple[float, float] = (1e-8, 1.0)
+    l2: tuple[float, float] = (0.1, 10.0)
 
     def draw(self, rng: random.Random) -> dict[str, float]:
         low, high, step = self.rounds
+
+        def by_logarithm(ends: tuple[float, float]) -> float:
+            return math.exp(rng.uniform(*map(math.log, ends)))
+
         return {
             "rounds": rng.randrange(low, high + 1, step),
             "depth": rng.randint(*self.depth),
-            "rate": math.exp(rng.uniform(*map(math.log, self.rate))),
+            "rate": by_logarithm(self.rate),
             "child": rng.randint(*self.child),
             "rows": rng.uniform(*self.rows),
             "columns": rng.uniform(*self.columns),
+            "l1": by_logarithm(self.l1),
+            "l2": by_logarithm(self.l2),
         }
 
 
@@ -83,9 +91,6 @@ def search(
     jobs = [(number, fold) for number in range(trials) for fold in range(folds)]
     with ThreadPool(min(parallel, len(jobs))) as pool:
         errors = pool.map(inheritable_thread_target(spark)(fold_error), jobs, chunksize=1)
-    for _, train, test in prepared:
-        train.unpersist()
-        test.unpersist()
     # one small row per trial
     table = [
         (number, sum(errors[number * folds : (number + 1) * folds]) / folds, "COMPLETE", *params.values())
@@ -97,4 +102,4 @@ def search(
 def best_trial(trials: DataFrame) -> dict[str, float]:
     """The parameters of the trial with the lowest error, the earliest of equal ones."""
     row = trials.where("state = 'COMPLETE'").orderBy("value", "number").first()
-    return {name: row[name] for name in ("rounds", "depth", "rate", "child", "rows", "columns")}
+    return {name: row[name] for name in ("rounds", "depth", "rate", "child", "rows", "columns", "l1", "l2")}

@@ -19,7 +19,7 @@ from pastward.session import staged
 from pastward.sources.fingerprint import file_hashes, require_files, table_fingerprint
 from pastward.sources.sinks import guard_results, write_csv
 
-TINY = M.Sizes(forest_trees=3, forest_depth=3, bagging_trees=3, bagging_depth=3, histogram_rounds=2, histogram_depth=2, boosting_rounds=2, boosting_depth=2, boosting_rate=0.3)
+TINY = M.Sizes(forest_trees=3, forest_depth=3, bagging_trees=3, bagging_depth=3, histogram_rounds=2, histogram_leaves=4, boosting_rounds=2, boosting_depth=2, boosting_rate=0.3)
 
 
 def lines(n: int, seed: int = 0) -> pd.DataFrame:
