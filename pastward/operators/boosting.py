@@ -416,10 +416,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"feature": pa.array(range(len(held)), pa.int32()), "values": [v.tobytes() for v, _ in held], "weights": [w.tobytes() for _, w in held]})
 
 
-def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
+def _merge_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     parts = [(np.frombuffer(v), np.frombuffer(w)) for v, w in zip(rows["values"], rows["weights"])]
     values, weights = merged(parts)
-    return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "part": [rows["part"].iloc[0] // FAN_IN], "values": [values.tobytes()], "weights": [weights.tobytes()]})
+    return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "part": [key[1]], "values": [values.tobytes()], "weights": [weights.tobytes()]})
 
 
 def summarised(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -40,11 +40,8 @@ def model_folds(rows: DataFrame, models: Sequence[ModelSpec], spec: SeriesSpec =
     return reduce(DataFrame.unionByName, tables).select("model", "fold", *METRICS)
 
 
-def nested_persistence(rows: DataFrame, spec: SeriesSpec = HOURLY, outer_folds: int = 5, inner_folds: int = 5) -> DataFrame:
-    """Per outer fold, the model with the lowest mean MAE over inner folds of its training rows, and its outer score.
-
-    ``rows`` has one line per time with the target and its lags. A row takes part once in every outer fold it belongs to.
-    """
+def nested_positions(outer_folds: int, inner_folds: int) -> Callable[[Column], dict[str, Column]]:
+    """Where outer folds and, inside their training rows, inner folds begin in a series of ``n`` rows."""
 
     def outer_start(n: Column, i: int) -> Column:
         return n - (outer_folds - i + 1) * F.floor(n / (outer_folds + 1))
@@ -57,7 +54,16 @@ def nested_persistence(rows: DataFrame, spec: SeriesSpec = HOURLY, outer_folds:
             marks |= {f"_inner_{i}_{j}": prefix - (inner_folds - j + 1) * size for j in range(1, inner_folds + 1)}
         return marks
 
-    marked = with_persistence(with_cutoffs(rows, spec, positions))
+    return positions
+
+
+def nested_persistence(rows: DataFrame, spec: SeriesSpec = HOURLY, outer_folds: int = 5, inner_folds: int = 5) -> DataFrame:
+    """Per outer fold, the model with the lowest mean MAE over inner folds of its training rows, and its outer score.
+
+    ``rows`` has one line per time with the target and its lags. A row takes part once in every outer fold it belongs to.
+    """
+
+    marked = with_persistence(with_cutoffs(rows, spec, nested_positions(outer_folds, inner_folds)))
     ts = F.col(spec.time)
 
     def reached(mark: str) -> Column:
