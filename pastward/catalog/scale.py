@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pastward.catalog.base import fold_sql, frame_sql, query, rounded, split_sql, table
 from pastward.operators.ewm import ewm_columns, join_carries
 from pastward.operators.features import lag_columns, named, rolling_columns
+from pastward.operators.long_windows import rolling_quantiles, rolling_statistics
 from pastward.operators.ordering import number_rows, over_history, with_history
 from pastward.operators.quality import tukey_fences
 from pastward.operators.splits import chronological_split, expanding_folds
@@ -90,3 +91,41 @@ def cuts_of_long(spark, folder):
 )
 def fences_by_supplier(spark, folder):
     return rounded(tukey_fences(supplier_days(spark, folder), "Consumption", ["series_id"]), 6)
+
+
+WIDTHS = (167, 1009)
+
+
+def _wide_sql(source: str, aggregates: str) -> str:
+    return f" SELECT series_id, timestamp, {aggregates} FROM {source}"
+
+
+def _frames_sql(name: str, function: str, rows: int) -> str:
+    over = frame_sql(rows)
+    return f"CASE WHEN count(Consumption) OVER {over} = {rows} THEN round({function}(Consumption) OVER {over}, 4) END AS y_roll_{name}_{rows}"
+
+
+@query("w2_w5_any_width", LONG_SQL + _wide_sql("long_series", ", ".join(_frames_sql(name, f, n) for n in WIDTHS for name, f in STATS)))
+def any_width(spark, folder):
+    """Widths that are no multiple of a shorter window."""
+    return rounded(rolling_statistics(long_series(spark, folder), "Consumption", WIDTHS, "y").drop("Consumption"), 4)
+
+
+@query("b10_long_rolling_median", LONG_SQL + _wide_sql("long_series", ", ".join(_frames_sql("median", "median", n) for n in (30, 365))))
+def long_median(spark, folder):
+    return rounded(rolling_quantiles(long_series(spark, folder), "Consumption", (30, 365), "y").drop("Consumption"), 4)
+
+
+@query(
+    "b10_rolling_quartiles_by_supplier",
+    SUPPLIERS_SQL
+    + " SELECT series_id, Date, "
+    + ", ".join(
+        f"CASE WHEN count(Consumption) OVER {frame_sql(61, 'Date')} = 61 THEN round(quantile_cont(Consumption, {p}::DOUBLE) OVER {frame_sql(61, 'Date')}, 4) END AS y_roll_{name}_61"
+        for name, p in (("q1", 0.25), ("q3", 0.75))
+    )
+    + " FROM supplier_days",
+)
+def quartiles_by_supplier(spark, folder):
+    found = rolling_quantiles(supplier_days(spark, folder), "Consumption", (61,), "y", DAILY, {"q1": 0.25, "q3": 0.75})
+    return rounded(found.drop("Consumption"), 4)
