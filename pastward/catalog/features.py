@@ -371,13 +371,19 @@ def w6_gaps(spark, folder):
     return rounded(blocks.select(*KEYS, *named(ewm_columns(SMALL, S.TARGET, S.EWM_SPANS, "consumption_ewm"))), 6)
 
 
+# a stretch of 18 hours and one of 2 hours without a value, with complete weeks between and behind them
+SHORT_GAPS = "CASE WHEN day(timestamp) IN (2, 3) AND hour(timestamp) < 9 OR day(timestamp) = 14 AND hour(timestamp) IN (4, 5) THEN NULL ELSE Consumption END"
+SHORT_GAPS_SQL = with_series("hourly_by_type", then=f"gapped AS (SELECT * REPLACE ({SHORT_GAPS} AS Consumption) FROM hourly_by_type)")
+
+
 @query(
     "f1_warm_up_over_gaps",
-    GAPS_SQL + "," + feature_sql("gapped") + """ SELECT series_id, timestamp, Consumption, round(consumption_roll_mean_168, 6) AS consumption_roll_mean_168
+    SHORT_GAPS_SQL + "," + feature_sql("gapped") + """ SELECT series_id, timestamp, Consumption, round(consumption_roll_mean_168, 6) AS consumption_roll_mean_168
          FROM feature_rows""",
 )
 def f1_gaps(spark, folder):
-    features = feature_table(_gapped(spark, folder), SMALL)
+    gapped = hourly_by_type(spark, folder).withColumn(S.TARGET, F.expr(SHORT_GAPS))
+    features = feature_table(gapped, SMALL)
     return rounded(features.select(*KEYS, S.TARGET, "consumption_roll_mean_168"), 6)
 
 

@@ -50,8 +50,18 @@ def s4(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+# numbers with two decimals in a form that does not depend on how an engine prints doubles
+MONEY = ("o_totalprice", "value")
+
+
 def _part(name: str) -> str:
-    return f"coalesce(length({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+    text = f"{name}::DECIMAL(18, 2)::VARCHAR" if name in MONEY else f"{name}::VARCHAR"
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+def _whole(df):
+    """All columns, amounts as decimals."""
+    return df.select(*(F.col(c).cast("decimal(18,2)").alias(c) if c in MONEY else F.col(c) for c in df.columns))
 
 
 def _hash_sql(*names: str) -> str:
@@ -65,14 +75,13 @@ def _fingerprint_sql(source: str, *names: str) -> str:
     return f"SELECT count(*) AS rows, {total(1)} AS low, {total(16)} AS high FROM (SELECT {_hash_sql(*names)} AS mark FROM {source})"
 
 
-ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-EVENTS = ("event_id", "ts", "user_id", "event_type", "props")
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+EVENTS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-@query("s4_row_hashes", f"SELECT o_orderkey, {_hash_sql('o_orderkey', 'o_orderstatus', 'o_orderpriority')} AS sha256 FROM orders")
+@query("s4_row_hashes", f"SELECT o_orderkey, {_hash_sql(*ORDERS)} AS sha256 FROM orders")
 def s4_rows(spark, folder):
-    mark = row_hash(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))
-    return table(spark, folder, "orders").select("o_orderkey", mark.alias("sha256"))
+    return _whole(table(spark, folder, "orders")).select("o_orderkey", row_hash(*map(F.col, ORDERS)).alias("sha256"))
 
 
 @query("s4_file_hashes")
@@ -91,7 +100,7 @@ GAPS = "CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END"
 )
 def s4_table(spark, folder):
     orders = table(spark, folder, "orders").withColumn("o_orderstatus", F.expr(GAPS))
-    found = table_fingerprint(orders.select(*ORDERS))
+    found = table_fingerprint(_whole(orders))
     return found.select("rows", F.col("low").cast("string"), F.col("high").cast("string"))
 
 
@@ -100,14 +109,14 @@ def s3(spark, folder):
     return list_files(spark, folder).select("name", "bytes")
 
 
-# customers stand for required inputs, those with orders for present ones
+# customers stand for required inputs, those with urgent orders for present ones
 @query(
     "s3_required_inputs",
-    "SELECT DISTINCT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT DISTINCT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 def s3_required(spark, folder):
     required = table(spark, folder, "customer").select(F.col("c_custkey").alias("name"))
-    present = table(spark, folder, "orders").select(F.col("o_custkey").alias("name"))
+    present = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("name"))
     return missing_names(required, present, "name")
 
 
@@ -125,8 +134,8 @@ def _identity(fingerprint, name):
                sha256(o.rows || ':' || o.low || ':' || o.high) AS raw_sha256 FROM e, o""",
 )
 def s5(spark, folder):
-    events = table_fingerprint(table(spark, folder, "events").select(*EVENTS))
-    orders = table_fingerprint(table(spark, folder, "orders").select(*ORDERS))
+    events = table_fingerprint(_whole(table(spark, folder, "events")))
+    orders = table_fingerprint(_whole(table(spark, folder, "orders")))
     hashes = _identity(events, "events").unionByName(_identity(orders, "orders"))
     return provenance(hashes, "generated tables", True, {"canonical": "events", "raw": "orders"})
 

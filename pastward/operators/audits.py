@@ -87,21 +87,23 @@ def replay_metrics(predictions: DataFrame, stored: DataFrame, tolerance: float =
     return pairs.select("model", gap.alias("difference"), (complete & (gap <= tolerance)).alias("agrees"))
 
 
-def prediction_defects(predictions: DataFrame, source: DataFrame, spec: SeriesSpec = HOURLY, value: str = TARGET) -> DataFrame:
-    """Defects of stored predictions against their source rows: ``defect, rows``.
+def prediction_defects(
+    predictions: DataFrame, source: DataFrame, spec: SeriesSpec = HOURLY, value: str = TARGET, models: Sequence[str] | None = None
+) -> DataFrame:
+    """Defects of stored predictions against their source rows: ``defect, rows``, counted for each row and model.
 
-    A source row may be scored once per model, its actual must be the source value, and none may be missing or new.
+    Every model has to score every source row once, its actual must be the source value, and no row may be new. ``models`` are those that occur in
+    the predictions if not given; a row that one of them lacks is not scored.
     """
     keys = [spec.key, spec.time]
     scored = predictions.groupBy(*keys, "model").agg(
         F.count("*").alias("copies"), F.min("actual").alias("least"), F.max("actual").alias("most")
     )
-    # one row per key, with the worst of its models
-    per_key = scored.groupBy(*keys).agg(
-        F.max("copies").alias("copies"), F.min("least").alias("least"), F.max("most").alias("most")
-    )
-    expected = source.select(*keys, F.col(value).alias("source_value"))
-    both = per_key.join(expected.withColumn("known", F.lit(True)), keys, "full_outer")
+    if models is None:
+        models = sorted(r["model"] for r in predictions.select("model").distinct().collect())  # one row per model
+    each = F.explode(F.lit(list(models)).cast("array<string>")).alias("model")
+    expected = source.select(*keys, F.col(value).alias("source_value"), each)
+    both = scored.join(expected.withColumn("known", F.lit(True)), [*keys, "model"], "full_outer")
     counts = both.agg(
         F.count_if(F.col("copies") > 1).alias("scored_more_than_once"),
         F.count_if(F.col("known").isNull()).alias("not_in_source"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pastward.operators.ordering import beside_series
 from pastward.schema import TARGET
-from pastward.session import staged
 from pastward.spec import DAILY, SeriesSpec
 
 # The season length, the longest horizon and the method names.
@@ -24,7 +24,7 @@ def fixed_origin_forecast(df: DataFrame, origin: DataFrame, horizon: int, spec:
     if not 1 <= horizon <= LONGEST:
         raise ValueError(f"horizon must be from 1 to {LONGEST}")
     day = F.col(spec.time)
-    known = df.join(staged(origin), spec.key).where(day <= F.col("origin"))
+    known = beside_series(df, spec, origin).where(day <= F.col("origin"))
     age = F.date_diff("origin", day)
     # at most one week of days is kept per series
     recent = known.groupBy(spec.key, "origin").agg(

@@ -158,9 +158,13 @@ def with_cutoffs(
     The times are spread to the time buckets of their series and joined by series and bucket, so the rows of one long series
     never meet in one task. The bucket table is staged: its real size decides whether it is broadcast, and then no row moves.
     """
-    cuts = cutoff_times(df, spec, positions, last)
+    return beside_series(df, spec, cutoff_times(df, spec, positions, last))
+
+
+def beside_series(df: DataFrame, spec: SeriesSpec, facts: DataFrame) -> DataFrame:
+    """Add the columns of ``facts``, which has one row per series, to every row, by way of the series' time buckets."""
     buckets = df.select(spec.key, time_bucket(spec).alias(BUCKET)).distinct()
-    spread = staged(buckets.join(cuts, spec.key, "left"))
+    spread = staged(buckets.join(facts, spec.key, "left"))
     return df.withColumn(BUCKET, time_bucket(spec)).join(spread, [spec.key, BUCKET], "left").drop(BUCKET)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.operators.ordering import over_history
+from pastward.operators.skew import joined_to_groups
 from pastward.operators.quantiles import exact_quantiles
 from pastward.session import staged
 from pastward.spec import DAILY, HOURLY, SeriesSpec
@@ -121,9 +122,10 @@ def tukey_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def flag_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """All rows with a flag; nothing is removed."""
-    fences = staged(tukey_fences(df, value, by).drop("q1", "q3"))  # when small, no row moves for the join
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    fences = staged(tukey_fences(df, value, by).drop("q1", "q3").join(sizes, list(by)))  # one row per group
     outside = ~F.col(value).between(F.col("lower_fence"), F.col("upper_fence"))
-    return df.join(fences, list(by), "left").select(*df.columns, outside.alias("outside_fences"))
+    return joined_to_groups(df, fences, by, "_rows").select(*df.columns, outside.alias("outside_fences"))
 
 
 def repeated_values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -132,8 +134,9 @@ def repeated_values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def rows_with_repeated_value(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """The rows that share their value with another row of the group, for inspection."""
-    return df.join(repeated_values(df, value, by), [*by, value], "left_semi")
+    """The rows that share their value with another row of the group, for inspection. A value may be that of most rows."""
+    repeated = staged(repeated_values(df, value, by).withColumnRenamed("occurrences", "_rows"))
+    return joined_to_groups(df, repeated, [*by, value], "_rows").where("_rows IS NOT NULL").select(*df.columns)
 
 
 def describe_value(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
