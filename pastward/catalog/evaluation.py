@@ -35,7 +35,8 @@ from pastward.operators.audits import (
     require_finite,
 )
 from pastward.operators.crossval import nested_persistence, persistence_folds
-from pastward.operators.features import lag_columns, persistence_table, rolling_columns
+from pastward.catalog.features import all_features_sql
+from pastward.operators.features import feature_table, lag_columns, persistence_table, rolling_columns
 from pastward.operators.forecast import fixed_origin_forecast
 from pastward.operators.ordering import over_history
 from pastward.operators.scoring import (
@@ -512,16 +513,21 @@ def b33(spark, folder):
 MANIFEST = {"continuous": S.CONTINUOUS, "cyclical": S.CYCLICAL, "binary": S.BINARY, "nominal": S.NOMINAL, "ordinal": S.ORDINAL}
 
 
-@query(
-    "e7_feature_manifest",
-    "SELECT feature, role, events FROM (VALUES "
-    + ", ".join(f"('{name}', '{role}')" for role, names in MANIFEST.items() for name in names)
-    + ") AS v(feature, role), (SELECT count(*) AS events FROM events)",
-)
+def _manifest_sql() -> str:
+    kinds = {"continuous": "double", "cyclical": "double", "binary": "int", "nominal": "string", "ordinal": "string"}
+    return "SELECT * FROM (WITH f AS (" + all_features_sql() + ") " + " UNION ALL ".join(
+        f"""SELECT '{name}' AS feature, '{role}' AS role, '{kinds[role]}' AS type, count(*) AS rows, count(*) FILTER ({name} IS NULL) AS missing,
+            {f"count(DISTINCT {name})" if role in ("binary", "nominal", "ordinal") else "NULL::BIGINT"} AS levels FROM f"""
+        for role, names in MANIFEST.items()
+        for name in names
+    ) + ")"
+
+
+@query("e7_feature_manifest", _manifest_sql())
 def e7(spark, folder):
     path = work_folder(spark)
-    write_json(feature_manifest(spark).withColumn("events", F.lit(table(spark, folder, "events").count())), path)
-    return read_json(spark, path, "feature string, role string, events long")
+    write_json(feature_manifest(feature_table(hourly_by_type(spark, folder))), path)
+    return read_json(spark, path, "feature string, role string, type string, rows long, missing long, levels long")
 
 
 @query(

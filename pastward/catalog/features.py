@@ -156,7 +156,7 @@ def p8(spark, folder):
     return lines.select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias(S.TARGET))
 
 
-def _all_features_sql() -> str:
+def all_features_sql() -> str:
     y = "Consumption"
     columns = [f"lag({y}, {k}) OVER {W_SQL} AS consumption_lag_{k}" for k in (1, 2, 3, 24, 48, 72, 168)]
     for n in (3, 24, 168):
@@ -189,7 +189,7 @@ def _all_features_sql() -> str:
     )
 
 
-@query("p9_feature_projection", _all_features_sql())
+@query("p9_feature_projection", all_features_sql())
 def p9(spark, folder):
     chosen = feature_table(hourly_by_type(spark, folder)).select(*KEYS, *S.FEATURES)
     waves = set(S.CYCLICAL)

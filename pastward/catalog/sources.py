@@ -9,8 +9,8 @@ from pastward.operators.audits import missing_names
 from pastward.operators.ordering import keep_last
 from pastward.schema import HOURLY_CSV
 from pastward.session import work_folder
-from pastward.sources.fingerprint import file_hashes, list_files, provenance, row_hash, table_fingerprint
-from pastward.sources.series import read_hourly_csv, tail_rows, with_timestamp
+from pastward.sources.fingerprint import file_hashes, file_trees, list_files, provenance, row_hash, table_fingerprint
+from pastward.sources.series import accepted_and_rejected, judged_lines, read_hourly_csv, tail_rows, with_timestamp
 from pastward.sources.sinks import guard_results, read_csv, read_json, write_csv, write_json
 from pastward.spec import HOURLY
 
@@ -209,3 +209,77 @@ def s1_last(spark, folder):
     write_csv(both.repartitionByRange(4, "Date", "Time", "_turn").sortWithinPartitions("Date", "Time", "_turn").drop("_turn"), path)
     parsed = with_timestamp(read_hourly_csv(spark, path)).withColumn("series_id", F.lit("all"))
     return keep_last(parsed, HOURLY, "file_order").select(*HOURLY_CSV.names, "timestamp")
+
+
+# the events as lines of a text file, in order
+EVENT_LINE = "concat_ws('|', event_id, user_id, event_type, props)"
+TREE_CHUNK, TREE_FAN_IN = 4096, 16
+
+
+def _event_file(spark, folder):
+    path = work_folder(spark)
+    lines = table(spark, folder, "events").orderBy("event_id").select(F.expr(EVENT_LINE).alias("value"))
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query("s4_streamed_file_hash", f"SELECT sha256(string_agg({EVENT_LINE} || chr(10), '' ORDER BY event_id)) AS sha256 FROM events")
+def s4_streamed(spark, folder):
+    return file_hashes(spark, _event_file(spark, folder)).select("sha256")
+
+
+@query(
+    "s4_file_tree",
+    f"""WITH RECURSIVE lines AS (SELECT event_id, {EVENT_LINE} || chr(10) AS line FROM events),
+        placed AS (SELECT *, sum(strlen(line)) OVER (ORDER BY event_id) AS upto FROM lines),
+        leaves AS (SELECT sha256(string_agg(line, '' ORDER BY event_id)) AS h, (upto - strlen(line)) // {TREE_CHUNK} AS chunk FROM placed GROUP BY chunk),
+        level AS (
+          SELECT row_number() OVER (ORDER BY chunk) - 1 AS part, h, count(*) OVER () AS n FROM leaves
+          UNION ALL
+          SELECT * FROM (SELECT part // {TREE_FAN_IN} AS part, sha256(string_agg(h, '' ORDER BY part)) AS h, count(*) OVER () AS n FROM level WHERE n > 1 GROUP BY part // {TREE_FAN_IN}))
+        SELECT sha256((SELECT max(upto) FROM placed)::BIGINT || ':' || CASE WHEN (SELECT count(*) FROM leaves) = 1 THEN sha256(h) ELSE h END) AS sha256 FROM level WHERE n = 1""",
+)
+def s4_tree(spark, folder):
+    return file_trees(spark, _event_file(spark, folder), TREE_CHUNK, TREE_FAN_IN).select("sha256")
+
+
+# each seventh hour of a series is written as a line with one of five defects
+DEFECTS = ("columns", "date", "time", "Consumption", "Sun")
+DEFECT = f"CASE WHEN (day(timestamp) * 24 + hour(timestamp)) % 7 = 0 THEN CAST((day(timestamp) + hour(timestamp)) % {len(DEFECTS)} AS INT) END"
+
+
+@query(
+    "p1_rejected_lines",
+    with_series("hourly_all")
+    + f"""SELECT strftime(timestamp, '%Y-%m-%d') AS day, hour(timestamp) AS hour, CASE {DEFECT} {" ".join(f"WHEN {k} THEN '{d}'" for k, d in enumerate(DEFECTS))} END AS reason,
+                 CASE WHEN {DEFECT} IS NULL THEN timestamp END AS timestamp, CASE WHEN {DEFECT} IS NULL THEN Consumption END AS Consumption FROM hourly_all""",
+)
+def p1_rejected(spark, folder):
+    defect = F.expr(DEFECT)
+    lines = hourly_all(spark, folder).select(
+        F.concat_ws(
+            ",",
+            F.when(defect == 1, F.concat(F.date_format("timestamp", "yyyy"), F.lit("-13-40"))).otherwise(F.date_format("timestamp", "yyyy-MM-dd")),
+            F.when(defect == 2, "noon").otherwise(F.concat(F.hour("timestamp").cast("string"), F.lit(":00"))),
+            F.when(defect == 3, "much").otherwise(F.col("Consumption").cast("string")),
+            F.lit("1.5"),
+            F.lit(""),
+            F.when(defect == 4, "x").otherwise("2"),
+            F.date_format("timestamp", "yyyy-MM-dd"),
+            F.hour("timestamp").cast("string"),
+        ).alias("value"),
+        defect.alias("defect"),
+    )
+    path = work_folder(spark)
+    short = F.when(F.col("defect") == 0, F.concat(F.col("value"), F.lit(",more"))).otherwise(F.col("value"))
+    header = "Date,Time,Consumption,Temperature,Rain,Sun,day,hour"
+    lines.select(short.alias("value")).repartition(3).write.option("lineSep", "\n").text(path + "/body")
+    # every file has the header line
+    spark.read.text(path + "/body", wholetext=True).select(F.concat(F.lit(header + "\n"), F.col("value")).alias("value")).write.option("lineSep", "\n").text(path + "/lines")
+    good, bad = accepted_and_rejected(judged_lines(spark, path + "/lines"))
+    cells = F.split("line", ",")
+    return good.select(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("day"), F.hour("timestamp").cast("long").alias("hour"), F.lit(None).cast("string").alias("reason"), "timestamp", "Consumption"
+    ).unionByName(
+        bad.select(cells[6].alias("day"), cells[7].cast("long").alias("hour"), "reason", F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("double").alias("Consumption"))
+    )

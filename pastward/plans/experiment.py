@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastward import schema as S
@@ -76,8 +76,12 @@ def run_files(spark: SparkSession, folder: str, canonical: str, raw: str, out: s
     return run(series, read_hourly_csv(spark, f"{folder}/{raw}").drop("file_order"), out, plan, HOURLY, overwrite)
 
 
-def feature_manifest(spark: SparkSession) -> DataFrame:
-    """``feature, role`` of the model inputs."""
+def feature_manifest(features: DataFrame) -> DataFrame:
+    """``feature, role, type, rows, missing, levels`` of the model inputs as a feature table has them.
+
+    The role follows from the declared columns, the rest from the table: NaN counts as missing, and ``levels`` are the distinct values of
+    inputs that are no continuous numbers. An input that the table lacks is an error.
+    """
     roles = {
         "continuous": S.CONTINUOUS,
         "cyclical": S.CYCLICAL,
@@ -85,8 +89,20 @@ def feature_manifest(spark: SparkSession) -> DataFrame:
         "nominal": S.NOMINAL,
         "ordinal": S.ORDINAL,
     }
-    rows = [(name, role) for role, names in roles.items() for name in names]
-    return spark.createDataFrame(rows, "feature string, role string")
+    kinds = dict(features.dtypes)
+    absent = [c for c in S.FEATURES if c not in kinds]
+    if absent:
+        raise ValueError(f"the feature table has no column {', '.join(absent)}")
+
+    def facts(name: str, role: str) -> Column:
+        value = F.col(name)
+        missing = value.isNull() | F.isnan(value) if kinds[name] in ("double", "float") else value.isNull()
+        levels = F.size(F.collect_set(value)).cast("long") if role in ("binary", "nominal", "ordinal") else F.lit(None).cast("long")
+        parts = {"feature": F.lit(name), "role": F.lit(role), "type": F.lit(kinds[name]), "rows": F.count("*"), "missing": F.count_if(missing), "levels": levels}
+        return F.struct(*(column.alias(field) for field, column in parts.items()))
+
+    each = [facts(name, role) for role, names in roles.items() for name in names]
+    return features.agg(F.array(*each).alias("inputs")).select(F.inline("inputs"))
 
 
 def fit_times(spark: SparkSession, fitted: list[M.FittedModel]) -> DataFrame:
@@ -124,7 +140,8 @@ def run_staged(series: DataFrame, raw: DataFrame, out: str, plan: Plan, spec: Se
     rows = staged(chronological_split(staged(feature_table(series, spec)), spec))
     splits = split_summary(rows, spec)
     write_json(splits, f"{out}/split", overwrite)
-    write_json(feature_manifest(spark), f"{out}/features", overwrite)
+    manifest = staged(feature_manifest(rows))
+    write_json(manifest, f"{out}/features", overwrite)
     train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
 
     def evaluate(predicted: DataFrame, names: list[str], path: str) -> DataFrame:
@@ -178,7 +195,7 @@ def run_staged(series: DataFrame, raw: DataFrame, out: str, plan: Plan, spec: Se
     summary = experiment_summary(
         {
             "audit": audited,
-            "features": feature_manifest(spark),
+            "features": manifest,
             "split": split_totals(splits),
             "baselines": baseline,
             "ensembles": timed,

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pastward.operators.audits import missing_names
-
+from pastward.session import staged
 
 DIGITS = 15
+MARK = b"\xef\xbb\xbf"  # the byte order mark of UTF-8
+CHUNK = 1 << 20
+FAN_IN = 1024
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,10 +37,90 @@ def require_files(spark: SparkSession, folder: str, required: Sequence[str]) ->
     return present
 
 
+def _pieces(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The files with their sizes, and their content as pieces that end where a line does, with the place of each in its file.
+
+    Files are read in splits. The pieces' lengths give each split's place, and tell what the line reader left out: a byte order mark
+    at the start, or the line end that the last line lacks.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    length = (F.octet_length("data") + 1).cast("long")
+    splits = lines.groupBy("file", "block").agg(F.sum(length).alias("held"))
+    whole = W.partitionBy("file")
+    before = F.coalesce(F.sum("held").over(whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", before.alias("before"), F.sum("held").over(whole).alias("all_held"))
+    facts = staged(splits.join(files, "file").withColumn("left_out", F.col("size") - F.col("all_held")))  # one row per split
+    mark = F.when(F.col("left_out") >= 2, F.lit(len(MARK))).otherwise(0)
+    upto = F.sum(length).over(W.partitionBy("file", "block").orderBy("line"))
+    placed = lines.join(facts, ["file", "block"]).withColumn("end", F.col("before") + upto)
+    last = F.col("end") == F.col("all_held")
+    open_end = last & F.col("left_out").isin(-1, 2)
+    data = F.concat(F.when((F.col("end") == length) & (mark > 0), F.lit(MARK)).otherwise(F.lit(b"")), F.col("data"), F.when(open_end, F.lit(b"")).otherwise(F.lit(b"\n")))
+    first = F.when(F.col("end") == length, 0).otherwise(F.col("end") - length + mark)
+    return files, placed.select("file", first.cast("long").alias("at"), data.alias("data"))
+
+
+def _digests(keys: int):
+    """SHA-256 of the pieces of each key, which come in order; one digest is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, done = None, hashlib.sha256(), []
+        schema = None
+        for rows in batches:
+            schema = schema or pa.schema([*(rows.schema.field(k) for k in range(keys)), ("sha256", pa.string())])
+            key, data = list(zip(*(rows.column(k).to_pylist() for k in range(keys)))), rows.column("data")
+            for k, of in enumerate(key):
+                if of != now:
+                    if now is not None:
+                        done.append((*now, sha.hexdigest()))
+                    now, sha = of, hashlib.sha256()
+                sha.update(data[k].as_buffer())
+        if now is not None:
+            done.append((*now, sha.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema.names)
+
+    return run
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "sha256")
+
+
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """SHA-256 of the content of each file that the paths name; every file is read whole."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of the content of each file that the paths name.
+
+    A file of any size streams through one task in order, as this digest asks for; a line must fit into memory. For large files
+    :func:`file_trees` works on all parts at once. Spark's scans leave out files of no bytes, so these have no row.
+    """
+    _, pieces = _pieces(spark, path)
+    ordered = pieces.repartition("file").sortWithinPartitions("file", "at").select("file", "data")
+    return _named(ordered.mapInArrow(_digests(1), "file string, sha256 string"))
+
+
+def file_trees(spark: SparkSession, path: str | list[str], chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+    """A hash tree over each file: a fingerprint of files of any size, made by all tasks at once.
+
+    A chunk is the lines that begin in the same ``chunk`` bytes; its leaf is the SHA-256 of these lines. Each level hashes ``fan_in`` neighbours'
+    hexadecimal digests put together; the fingerprint is the SHA-256 of the size, a colon and the last digest. Files of no bytes have no row.
+    """
+    files, pieces = _pieces(spark, path)
+    dealt = pieces.withColumn("part", F.expr(f"at div {int(chunk)}")).repartition("file", "part").sortWithinPartitions("file", "part", "at")
+    level = staged(dealt.select("file", "part", "data").mapInArrow(_digests(2), "file string, part long, sha256 string"))
+    level = level.withColumn("part", F.row_number().over(W.partitionBy("file").orderBy("part")) - 1)  # chunks inside a long line have no leaf
+    finished = F.lit(False)  # a file is left as it is from the level on at which one digest stands for it
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha256"))), lambda x: x["sha256"]), "")
+        digest = F.when(F.bool_and("finished"), F.min("sha256")).otherwise(F.sha2(joined.cast("binary"), 256))
+        grouped = level.withColumn("finished", finished).groupBy("file", F.expr(f"part div {int(fan_in)}").alias("part"))
+        level = staged(grouped.agg(digest.alias("sha256")))
+        if not level.agg(F.max("part")).first()[0]:
+            break
+        finished = F.max("part").over(W.partitionBy("file")) == 0
+    text = F.concat_ws(":", F.col("size").cast("string"), F.col("sha256"))
+    return _named(files.join(level, "file").select("file", F.sha2(text.cast("binary"), 256).alias("sha256")))
 
 
 def row_hash(*columns: Column) -> Column:
