@@ -48,7 +48,7 @@ from pastward.operators.scoring import (
 )
 from pastward.operators.selection import importances, permutation_importance, select_top, stability_ranking
 from pastward.operators.splits import chronological_split, development, expanding_folds
-from pastward.operators.tuning import SearchSpace, best_trial, search, trial_sizes
+from pastward.operators.tuning import SearchSpace, halving_search, best_trial, search, trial_sizes
 from pastward.plans.experiment import fit_times
 from pastward.session import staged
 
@@ -63,6 +63,7 @@ LONG = (
     "r8_tuned_boosting",
     "e1_cross_validated_models",
     "e2_random_search",
+    "e2_halving_search",
     "e4_locked_test_models",
     "b20_model_importance",
     "b21_permutation_importance",
@@ -204,6 +205,25 @@ def e2(spark, folder):
     return found.select("number", "state", inside.alias("inside_space"), F.round(F.lit(naive), 7).alias("naive_mae"), (F.col("value") < naive).alias("beats_naive"))
 
 
+GRID = [{"rounds": n, "depth": d, "rate": rate} for d in (3, 6) for rate in (0.03, 0.1) for n in (30, 90, 180)]
+
+
+@query(
+    "e2_halving_search",
+    _folds_sql(SEARCH_FOLDS)
+    + f"""SELECT state, folds, trials, {r(FOLD_NAIVE_SQL)} AS naive_mae, CASE state WHEN 'COMPLETE' THEN true END AS best_beats_naive
+          FROM (VALUES ('PRUNED', 1, 6), ('PRUNED', 2, 3), ('COMPLETE', 3, 3)) AS v(state, folds, trials)""",
+)
+def e2_halving(spark, folder):
+    """Of 12 trials half go on after the first fold and half of these after the second; four fits a fold serve all of them."""
+    dev = development(split_rows(spark, folder)).drop("split")
+    naive = _fold_naive(dev, SEARCH_FOLDS)
+    found = halving_search(dev, GRID, folds=SEARCH_FOLDS)
+    counted = found.groupBy("state", "folds").agg(F.count("*").cast("int").alias("trials"), F.min("value").alias("least"))
+    beats = F.when(F.col("state") == "COMPLETE", F.col("least") < naive)
+    return counted.select("state", "folds", "trials", F.round(F.lit(naive), 7).alias("naive_mae"), beats.alias("best_beats_naive"))
+
+
 @query("r8_tuned_boosting", _rows_sql())
 def r8(spark, folder):
     rows = split_rows(spark, folder)

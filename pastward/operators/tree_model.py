@@ -95,6 +95,17 @@ class TreeEnsemble:
 
         return predicted(vector_to_array(self.features))
 
+    def staged_column(self, counts: list[int]):
+        """Predictions of the first so many trees, for each of ``counts`` in turn, as an array."""
+        packed, base = self.packed(max(counts, default=0)), self.base
+
+        @F.arrow_udf("array<double>")
+        def predicted(x: pa.Array) -> pa.Array:
+            found = staged_predictions(packed, _matrix(x), base, counts)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(counts), pa.int32()), pa.array(found.ravel(), pa.float64()))
+
+        return predicted(vector_to_array(self.features))
+
     @property
     def featureImportances(self) -> np.ndarray:
         """Each input's share of the gains of all splits."""
@@ -110,12 +121,10 @@ def _matrix(x: pa.Array) -> np.ndarray:
     return values.reshape(len(x), -1) if len(x) else np.zeros((0, 1))
 
 
-def predict(packed: tuple, x: np.ndarray, base: float, mean: bool) -> np.ndarray:
+def _contributions(packed: tuple, x: np.ndarray):
+    """Values of all trees (trees x rows), for some rows at a time."""
     feature, cut, left, right, value = packed
     count = len(feature)
-    out = np.full(len(x), base)
-    if not count:
-        return out
     tree = np.arange(count)[:, None]
     step = max(1, CELLS // count)
     for low in range(0, len(x), step):
@@ -129,6 +138,24 @@ def predict(packed: tuple, x: np.ndarray, base: float, mean: bool) -> np.ndarray
                 break
             goes = part[rows, np.maximum(f, 0)] <= cut[tree, at]
             at = np.where(moving, np.where(goes, left[tree, at], right[tree, at]), at)
-        sums = value[tree, at].sum(0)
-        out[low : low + step] += sums / count if mean else sums
+        yield low, value[tree, at]
+
+
+def predict(packed: tuple, x: np.ndarray, base: float, mean: bool) -> np.ndarray:
+    count = len(packed[0])
+    out = np.full(len(x), base)
+    if count:
+        for low, values in _contributions(packed, x):
+            sums = values.sum(0)
+            out[low : low + len(sums)] += sums / count if mean else sums
+    return out
+
+
+def staged_predictions(packed: tuple, x: np.ndarray, base: float, counts: list[int]) -> np.ndarray:
+    """Rows x counts: the sums of the first trees."""
+    out = np.full((len(x), len(counts)), base)
+    if len(packed[0]):
+        for low, values in _contributions(packed, x):
+            upto = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+            out[low : low + values.shape[1]] += upto[np.minimum(counts, len(values))].T
     return out

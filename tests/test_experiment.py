@@ -13,7 +13,7 @@ from pastward import schema as S
 from pastward.operators import models as M
 from pastward.operators.features import feature_table
 from pastward.operators.splits import chronological_split, development
-from pastward.operators.tuning import SearchSpace, search
+from pastward.operators.tuning import SearchSpace, halving_search, search
 from pastward.plans import experiment as E
 from pastward.session import staged
 from pastward.sources.fingerprint import file_hashes, require_files, table_fingerprint
@@ -126,3 +126,19 @@ def test_search_is_seeded_and_blind_to_the_test_rows(spark, files):
         for frame in (split, changed)
     ]
     assert tables[0] == tables[1] and all(2 <= row["rounds"] <= 3 and row["state"] == "COMPLETE" for row in tables[0])
+
+
+def test_halving_is_the_full_grid_where_nothing_is_dropped(spark, files):
+    series = E.read_series(spark, f"{files}/raw.csv").drop("file_order").fillna({"Consumption": 500.0})
+    dev = development(staged(chronological_split(staged(feature_table(series))))).drop("split")
+    grid = [{"rounds": n, "depth": 2, "rate": rate, "l2": 2.0} for rate in (0.1, 0.4) for n in (1, 3, 5)]
+    whole = {r["number"]: r for r in halving_search(dev, grid, folds=2, keep=1.0).collect()}
+    # each trial as a search of its own
+    alone = [halving_search(dev, [trial], folds=2).first() for trial in grid]
+    assert [whole[k]["value"] for k in range(6)] == pytest.approx([r["value"] for r in alone])
+    assert {r["state"] for r in whole.values()} == {"COMPLETE"}
+    halved = {r["number"]: r for r in halving_search(dev, grid, folds=2).collect()}
+    assert sorted(r["folds"] for r in halved.values()) == [1, 1, 1, 2, 2, 2]
+    kept = [k for k, r in halved.items() if r["state"] == "COMPLETE"]
+    assert all(halved[k]["value"] == pytest.approx(whole[k]["value"]) for k in kept)
+    assert max(halved[k]["value"] for k in kept) < 1e9 and all(r["value"] > 0 for r in halved.values())
