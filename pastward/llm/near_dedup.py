@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> D
     asked = firsts.join(members.select("node").distinct(), "node")
     asked = asked.select("node", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
     match = texts["doc_id"].eqNullSafe(asked["of_id"]) & (texts["mark"] == asked["of_mark"])
-    asked_texts = work.put(texts.join(asked, match).select("node", "text"))
+    # rows may be repeated: each text of a node is compared once
+    asked_texts = work.put(texts.join(asked, match).select("node", "mark", "text").dropDuplicates(["node", "mark"]).select("node", "text"))
     info = firsts.select("node", "n_shingles", *MAP)
     roots = _links(work, asked_texts, info, members, width, percent)
     work.drop(firsts, members)

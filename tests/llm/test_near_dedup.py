@@ -90,3 +90,12 @@ def test_shingle_sets_of_short_texts():
     data = np.frombuffer(b"a b  A B" + b"x", np.uint8)
     values, first = op.shingle_sets(wh.split_words(data, np.array([0, 8, 8, 9]), lower=True), 5)
     assert first.tolist() == [0, 1, 1, 2] and len(set(values.tolist())) == 2
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    compared, real = [], op._confirmed
+    monkeypatch.setattr(op, "_confirmed", lambda texts, pairs, width, percent: compared.append(texts.join(pairs, texts["node"] == pairs["a"]).count()) or real(texts, pairs, width, percent))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 400 + [(2, " ".join([*words[:-1], "end"]))] * 400
+    got = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert {r.component_id for r in got} == {1} and sum(compared) == 1
