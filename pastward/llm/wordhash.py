@@ -2,11 +2,14 @@
 
 A batch of texts is one byte buffer with offsets, as Arrow holds it. A word is a run of bytes other than space and
 \\t \\n \\v \\f \\r. Word hashes are polynomials over random byte values modulo 2**64, finished by a mixing step; window
-hashes are polynomials over word hashes. Both come from running sums, so a window costs the same at any length.
+hashes are polynomials over word hashes. Both come from running sums, so a window costs the same at any length. Modulo a power of two
+some sequences of a thousand terms and more agree at every base, so words beyond ``LONG_WORD`` bytes get a keyed digest instead, and windows are
+never that long.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,6 +111,10 @@ def word_hashes(words: Words, seed: int) -> np.ndarray:
         s, e = words.start[at:stop] - low, words.end[at:stop] - low
         out[at:stop] = mix((sums[e] - sums[s]) * powers(high - low, seed, True)[s] + (e - s).astype(np.uint64))
         at = stop
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(words.end - words.start > LONG_WORD).tolist():
+        digest = hashlib.blake2b(words.data[words.start[i] : words.end[i]], digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 

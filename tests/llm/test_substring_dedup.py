@@ -72,3 +72,13 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(wh, "BLOCK_BYTES", 16)
     assert (wh.word_hashes(words, 1) == whole).all()
     assert len(set(whole.tolist())) == 4
+
+
+def test_long_words_that_agree_at_every_base(spark):
+    """Words made of a sequence and of its complement, whose polynomials agree modulo 2**64."""
+    signs = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = ("".join("ab"[s ^ flip] for s in signs) for flip in (0, 1))
+    words = wh.split_words(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, 2 * 4096 + 1]))
+    assert all(len(set(wh.word_hashes(words, seed).tolist())) == 2 for seed in (1, 3, 5))
+    rows = [(1, " ".join([a] + [f"w{i}" for i in range(34)])), (2, " ".join([b] + [f"w{i}" for i in range(34)]))]
+    assert {r.n_removed for r in op.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
