@@ -90,3 +90,29 @@ def test_digests_are_those_of_the_texts_that_come_out(spark, monkeypatch):
     for r in out:
         raw = b"" if texts[r.doc_id] is None else (texts[r.doc_id] + "!").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+
+
+def test_slots_do_not_depend_on_input_splits(spark):
+    _, df = rows(spark, 1500)
+    df = df.union(df.limit(100))
+    places = []
+    for splits in (1, 3, 7):
+        out = op.shuffled(df.repartition(splits), shards=3, seed=5, bucket_rows=60).collect()
+        places.append(sorted((r.doc_id, r.shard, r.slot, r.grown_shard) for r in out))
+    assert places[0] == places[1] == places[2]
+
+
+def test_equal_rows_are_spread_over_buckets(spark, monkeypatch):
+    made, put = [], op.Work.put
+    monkeypatch.setattr(op.Work, "put", lambda self, df: made.append(put(self, df)) or made[-1])
+    df = spark.createDataFrame([(1, "same")] * 5000 + [(i, "other") for i in range(50)], "doc_id long, text string")
+    out = op.shuffled(df, shards=1, bucket_rows=50).collect()
+    assert sorted(r.slot for r in out) == list(range(5050)) and Counter(r.doc_id for r in out)[1] == 5001
+    filled = next(t for t in made if "xs" in t.columns).select(F.size("xs")).collect()
+    assert max(r[0] for r in filled) < 100
+
+
+def test_maps_can_be_carried(spark):
+    df = spark.createDataFrame([(1, "a", {"k": 1}), (1, "a", {"k": 1}), (2, None, None)], "doc_id long, text string, m map<string,int>")
+    got = op.shuffled(df, shards=2).collect()
+    assert sorted((r.doc_id, (r.m or {}).get("k", 0)) for r in got) == [(1, 1), (1, 1), (2, 0)]
