@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pastward.llm.skew import joined_to_groups
 from pastward.llm.work import Work
+from pastward.operators.skew import joined_to_groups
 
 # Costs of the edits, and of leaving a truncated row in.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
@@ -202,7 +202,7 @@ def _symbols(rows: DataFrame, work: Work) -> DataFrame:
     keyed = once.withColumn("same", F.concat_ws(":", *parts))
     counted = keyed.groupBy("same").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.bool_or(F.col("turn").isNull()).alias("first_is_null"))
     groups = work.put(counted.where("n > 1"))
-    held = joined_to_groups(keyed, groups, "same", "n", groups.agg(F.sum("n")).first()[0] or 0)
+    held = joined_to_groups(keyed, groups, ["same"], "n")
     bare = F.rtrim(F.col("text"), F.lit(SPACE))
     again = F.coalesce(F.when(F.col("first_is_null"), F.col("turn").isNotNull()).otherwise(F.col("turn") > F.col("first_turn")), F.lit(False))
     fault = F.when(bare == "", 1).when(again, 2).when(~F.substring(bare, -1, 1).isin(".", "!", "?"), 3).otherwise(0)

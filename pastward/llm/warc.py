@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm.skew import joined_to_groups
 from pastward.llm.work import Work
+from pastward.operators.skew import joined_to_groups
 
 CHUNK_BYTES = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
@@ -64,8 +64,7 @@ def _decided(work: Work, pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= min_bytes, F.concat("digest", F.sha2("payload", 256))))
     counted = rows.groupBy("same").agg(F.count("*").alias("n"), F.max("page_id").alias("top"))
     groups = work.put(counted.where("n > 1 AND same IS NOT NULL"))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    return joined_to_groups(rows, groups, "same", "n", total)
+    return joined_to_groups(rows, groups, ["same"], "n")
 
 
 def _line(name: str, value: Column) -> Column:

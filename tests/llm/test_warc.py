@@ -4,12 +4,10 @@ import base64
 import glob
 import gzip
 import hashlib
-import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from pastward.llm import skew, warc
+from pastward.llm import warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -116,13 +114,3 @@ def test_empty_table_long_texts_and_other_columns(spark):
     rows = [(i, "u", "long é" * 60_000 + ("WARC/1.0\r\n" if i % 2 else "")) for i in range(4)]
     pages = spark.createDataFrame([(*r, "x", 1, b"y") for r in rows], SCHEMA + ", digest string, top int, payload binary")
     assert found(warc.archived_pages(pages)) == plain(rows)
-
-
-def test_groups_of_any_size_are_joined(spark):
-    rnd = random.Random(3)
-    keys = ["hot"] * 500 + [f"k{rnd.randrange(300)}" for _ in range(500)] + [None] * 50
-    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
-    groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
-    got = found(skew.joined_to_groups(rows, groups, "k", "n", 1000, share=5))
-    tops = {k: (keys.count(k), max(i for i, x in enumerate(keys) if x == k)) for k in set(keys) - {None}}
-    assert got == sorted(((k, i, *tops.get(k, (None, None))) for i, k in enumerate(keys)), key=repr)
