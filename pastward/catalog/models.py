@@ -31,7 +31,7 @@ from pastward.catalog.base import (
 from pastward.catalog.evaluation import split_features
 from pastward.operators import models as M
 from pastward.operators.boosting import BoostedTrees
-from pastward.operators.crossval import model_folds, persistence_folds
+from pastward.operators.crossval import model_folds, nested_models, persistence_folds
 from pastward.operators.features import feature_table
 from pastward.operators.preprocess import FeaturePreprocessor
 from pastward.operators.random_trees import COPIES, RandomTrees
@@ -64,6 +64,7 @@ LONG = (
     "e1_cross_validated_models",
     "e2_random_search",
     "e2_halving_search",
+    "b27_nested_models",
     "e4_locked_test_models",
     "b20_model_importance",
     "b21_permutation_importance",
@@ -350,6 +351,27 @@ def b21(spark, folder):
     return top.agg(F.count_distinct("feature").alias("kept"), F.bool_and(thirds).alias("shares_of_folds"))
 
 
+NESTED_MODELS = (M.HISTOGRAM, M.BAGGING)
+
+
+@query(
+    "b27_nested_models",
+    SPLIT_SQL.rstrip()
+    + ", dev AS (SELECT * EXCLUDE (split) FROM split_rows WHERE split <> 'test'),"
+    + fold_sql("dev", 5)
+    + f""" SELECT o.fold AS outer_fold, (SELECT count(*) FROM fold_rows b WHERE b.fold < o.fold) AS train_rows, count(*) AS test_rows,
+                  {r("avg(abs(Consumption - consumption_lag_24))")} AS naive_mae, true AS beats_naive, true AS plausible_inner
+           FROM fold_rows o WHERE o.fold > 0 GROUP BY o.fold""",
+)
+def b27_models(spark, folder):
+    dev = staged(development(split_rows(spark, folder)).drop("split"))
+    found = staged(nested_models(dev, [M.model_spec(name, M.SMOKE) for name in NESTED_MODELS], outer_folds=5, inner_folds=3))
+    naive = persistence_folds(dev, folds=5).where("model = 'naive_lag_24'").select(F.col("fold").alias("outer_fold"), F.col("mae").alias("naive"))
+    both = found.join(naive, "outer_fold")
+    inner = F.col("inner_mae").between(F.col("mae") / 3, F.col("mae") * 3)
+    return both.select("outer_fold", "train_rows", "test_rows", F.round("naive", 7).alias("naive_mae"), (F.col("mae") < F.col("naive")).alias("beats_naive"), inner.alias("plausible_inner"))
+
+
 # trees of one split, stated in SQL by trying every split
 
 STUMP_LAGS = ("consumption_lag_1", "consumption_lag_24", "consumption_lag_168")

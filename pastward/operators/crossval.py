@@ -90,3 +90,30 @@ def nested_persistence(rows: DataFrame, spec: SeriesSpec = HOURLY, outer_folds:
     return winners.join(scores.where("part = 0"), ["outer_fold", "model"]).select(
         "outer_fold", "model", "inner_mae", *METRICS
     )
+
+
+def nested_models(
+    rows: DataFrame, models: Sequence[ModelSpec], spec: SeriesSpec = HOURLY, outer_folds: int = 5, inner_folds: int = 3
+) -> DataFrame:
+    """Choice among models inside every outer training set: ``outer_fold, model, inner_mae, train_rows, test_rows`` and the metrics on the outer fold.
+
+    Each outer training set is cut into expanding inner folds; fitted models and the persistence models are scored there, the one with the lowest mean MAE
+    is fitted on the whole outer training set and scored on the outer fold, which no choice has seen. Equal errors go by name.
+    """
+    folded = staged(expanding_folds(rows, spec, outer_folds))
+    by_name = {model.name: model for model in models}
+
+    def chosen(outer: int) -> DataFrame:
+        before, after = folded.where(F.col("fold") < outer).drop("fold"), folded.where(F.col("fold") == outer).drop("fold")
+        inner = model_folds(before, models, spec, inner_folds).unionByName(persistence_folds(before, spec, inner_folds))
+        means = staged(inner.groupBy("model").agg(F.avg("mae").alias("inner_mae")))
+        best = means.orderBy("inner_mae", "model").first()
+        fitted = fit_many([by_name[best["model"]]], before) if best["model"] in by_name else []
+        predicted = predict_many(fitted, with_persistence(after)).withColumn("outer_fold", F.lit(outer))
+        scores = score(long_predictions(predicted, ["outer_fold"], [best["model"]]), "outer_fold")
+        facts = [F.lit(best["inner_mae"]).alias("inner_mae"), F.lit(before.count()).alias("train_rows"), F.lit(after.count()).alias("test_rows")]
+        return scores.select("outer_fold", "model", *facts, *METRICS)
+
+    with ThreadPool(outer_folds) as pool:
+        tables = pool.map(inheritable_thread_target(rows.sparkSession)(chosen), range(1, outer_folds + 1), chunksize=1)
+    return reduce(DataFrame.unionByName, tables)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pastward import schema as S
 from pastward.operators import models as M
+from pastward.operators.crossval import model_folds, nested_models, persistence_folds
 from pastward.operators.features import feature_table
-from pastward.operators.splits import chronological_split, development
+from pastward.operators.splits import chronological_split, development, expanding_folds
 from pastward.operators.tuning import SearchSpace, halving_search, search
 from pastward.plans import experiment as E
 from pastward.session import staged
@@ -142,3 +143,20 @@ def test_halving_is_the_full_grid_where_nothing_is_dropped(spark, files):
     kept = [k for k, r in halved.items() if r["state"] == "COMPLETE"]
     assert all(halved[k]["value"] == pytest.approx(whole[k]["value"]) for k in kept)
     assert max(halved[k]["value"] for k in kept) < 1e9 and all(r["value"] > 0 for r in halved.values())
+
+
+def test_choice_inside_outer_training_rows(spark, files):
+    series = E.read_series(spark, f"{files}/raw.csv").drop("file_order").fillna({"Consumption": 500.0})
+    dev = staged(development(staged(chronological_split(staged(feature_table(series))))).drop("split"))
+    specs = [M.model_spec(M.HISTOGRAM, TINY)]
+    got = nested_models(dev, specs, outer_folds=2, inner_folds=2).orderBy("outer_fold").collect()
+    folded = staged(expanding_folds(dev, folds=2))
+    for row in got:
+        before = folded.where(F.col("fold") < row["outer_fold"]).drop("fold")
+        inner = model_folds(before, specs, folds=2).unionByName(persistence_folds(before, folds=2))
+        means = {r["model"]: r["mae"] for r in inner.groupBy("model").agg(F.avg("mae").alias("mae")).collect()}
+        assert row["model"] == min(means, key=lambda m: (means[m], m)) and row["inner_mae"] == pytest.approx(means[row["model"]])
+        assert (row["train_rows"], row["test_rows"]) == (before.count(), folded.where(F.col("fold") == row["outer_fold"]).count())
+        if row["model"].startswith("naive"):
+            alone = {r["fold"]: r["mae"] for r in persistence_folds(dev, folds=2).where(F.col("model") == row["model"]).collect()}
+            assert row["mae"] == pytest.approx(alone[row["outer_fold"]])
