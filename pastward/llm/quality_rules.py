@@ -1,8 +1,10 @@
 """Quality rules whose limits follow the data: one set per language and source, read from mergeable quantile sketches.
 
 A sketch counts values in buckets of about 3 % width, in whole numbers: values below 64 have buckets of their own, larger
-ones keep their first six bits. Sketches of parts of a group add up to that of the group, in any order. A limit is an upper
-quantile moved out by a multiple of its distance to the median, so that the bulk of any group stays.
+ones keep their first six bits. Sketches of parts of a group add up to that of the group, in any order. A group's usual rate is its
+60 % quantile moved out by a multiple of the distance to the 20 % quantile: both lie among the good rows of a group as long as no more than
+a third of it is bad, however bad. A text may stand above the usual rate by what chance does to a text of its length: some standard
+deviations of the count, and a few events.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pastward.llm.work import WORD, Work
 WIDTH = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
-MIDDLE, HIGH = (1, 2), (9, 10)  # quantiles, as fractions
-SPREAD = 4
-# how far a limit stands above the upper quantile at least, in the units of each rate
-ROOM = {"symbol_rate": 800, "dup_line_rate": 3000, "repeat_rate": 2000, "word_length": 500}
+LOW, UPPER = (1, 5), (3, 5)  # quantiles, as fractions
+SPREAD = 2
+DEVIATIONS = 4
+# events that any text may have, whatever is usual: symbols, lines, words of twenty windows
+FREE = {"symbol_rate": 3, "dup_line_rate": 2, "repeat_rate": 20 * WIDTH}
 KEPT_BITS = 6
 
 
@@ -103,6 +106,10 @@ def _rates() -> dict[str, Column]:
     }
 
 
+# what each share counts, and in how many
+COUNTS = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words")}
+
+
 def sketch(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mergeable quantile sketches of whole numbers from 0: (keys, bucket, n). Sketches merge by adding ``n`` up."""
     shift = f"greatest(length(bin({value})) - {KEPT_BITS}, 0)"
@@ -120,8 +127,10 @@ def quantiles(sketches: DataFrame, keys: list[str], **asked: tuple[int, int]) ->
 def judged(docs: DataFrame) -> DataFrame:
     """``measures`` with base_failed and kept, one row for each row of ``docs``.
 
-    base_failed: fewer than 10 words, or more than 20 % of the words repeat in windows. Limits come from the other texts of
-    the same lang and source (null is a value of its own); a text is kept if none of its rates is above its group's limit.
+    base_failed: fewer than 10 words, or more than 20 % of the words repeat in windows. Usual rates come from the other texts of
+    the same lang and source (null is a value of its own); a text is kept if none of its counts is further above its group's usual rate than
+    ``DEVIATIONS`` standard deviations and ``FREE`` events. Its mean word length may exceed the usual one by the same number of deviations, each the
+    length over the root of its words.
     """
     work = Work(docs.sparkSession)
     rows = work.put(measures(docs))
@@ -129,16 +138,18 @@ def judged(docs: DataFrame) -> DataFrame:
     rates = _rates()
     rows = rows.withColumn("base_failed", failed).select("*", *[c.alias(n) for n, c in rates.items()])
     long = rows.where("not base_failed").unpivot(["lang", "source"], list(rates), "rate", "value")
-    marks = quantiles(sketch(long, ["lang", "source", "rate"]), ["lang", "source", "rate"], middle=MIDDLE, high=HIGH)
-    room = F.element_at(F.create_map(*[F.lit(x) for pair in ROOM.items() for x in pair]), F.col("rate"))
-    limit = F.col("high") + F.greatest(SPREAD * (F.col("high") - F.col("middle")), room)
+    marks = quantiles(sketch(long, ["lang", "source", "rate"]), ["lang", "source", "rate"], low=LOW, upper=UPPER)
+    usual = F.col("upper") + SPREAD * (F.col("upper") - F.col("low"))
     limits = marks.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(
-        *[F.max(F.when(F.col("rate") == n, limit)).alias(f"most_{n}") for n in rates]
+        *[F.max(F.when(F.col("rate") == n, usual)).alias(f"usual_{n}") for n in rates]
     )
     out = rows.join(limits, rows["lang"].eqNullSafe(limits["of_lang"]) & rows["source"].eqNullSafe(limits["of_source"]), "left")
     good = F.lit(True)
-    for n in rates:
-        good &= F.col(n) <= F.col(f"most_{n}")
+    for n, (count, of) in COUNTS.items():
+        expected = F.col(of) * F.col(f"usual_{n}") / F.lit(10_000.0)
+        good &= F.col(count) <= expected + FREE[n] + DEVIATIONS * F.sqrt(expected + 1)
+    length = F.col("usual_word_length")
+    good &= F.col("word_length") <= length + DEVIATIONS * length / F.sqrt("n_words")
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(good, F.lit(False))).alias("kept")
     )
@@ -177,14 +188,17 @@ sketches AS (
 upto AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, rate) AS total FROM sketches),
 marks AS (
-  SELECT lang, source, rate, min(bucket) FILTER (below * 2 >= total) AS middle, min(bucket) FILTER (below * 10 >= total * 9) AS high
+  SELECT lang, source, rate, min(bucket) FILTER (below * 5 >= total) AS low, min(bucket) FILTER (below * 5 >= total * 3) AS upper
   FROM upto GROUP BY lang, source, rate),
 limits AS (
-  SELECT lang, source, max(most) FILTER (rate = 'symbol_rate') AS a, max(most) FILTER (rate = 'dup_line_rate') AS b,
-    max(most) FILTER (rate = 'repeat_rate') AS c, max(most) FILTER (rate = 'word_length') AS d
-  FROM (SELECT *, high + greatest(4 * (high - middle),
-    CASE rate WHEN 'symbol_rate' THEN 800 WHEN 'dup_line_rate' THEN 3000 WHEN 'repeat_rate' THEN 2000 ELSE 500 END) AS most FROM marks) GROUP BY lang, source)
+  SELECT lang, source, max(usual) FILTER (rate = 'symbol_rate') AS a, max(usual) FILTER (rate = 'dup_line_rate') AS b,
+    max(usual) FILTER (rate = 'repeat_rate') AS c, max(usual) FILTER (rate = 'word_length') AS d
+  FROM (SELECT *, upper + 2 * (upper - low) AS usual FROM marks) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbol_rate <= a AND dup_line_rate <= b AND repeat_rate <= c AND word_length <= d, false) AS kept
+  NOT base_failed AND coalesce(
+    n_symbols <= word_chars * a / 10000.0::DOUBLE + 3 + 4 * sqrt(word_chars * a / 10000.0::DOUBLE + 1)
+    AND n_dup_lines <= n_lines * b / 10000.0::DOUBLE + 2 + 4 * sqrt(n_lines * b / 10000.0::DOUBLE + 1)
+    AND n_repeat_words <= n_words * c / 10000.0::DOUBLE + 100 + 4 * sqrt(n_words * c / 10000.0::DOUBLE + 1)
+    AND word_length <= d + 4 * d / sqrt(n_words::DOUBLE), false) AS kept
 FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang AND rated.source IS NOT DISTINCT FROM limits.source
 """

@@ -82,3 +82,12 @@ def test_sketches_merge_and_bound_the_error(spark):
     for name, share in (("middle", 0.5), ("high", 0.9)):
         true = sorted(values)[int(share * 5000) - 1]
         assert q[name] <= true <= q[name] * 1.04
+
+
+def test_a_third_of_a_source_that_is_junk_goes(spark):
+    rnd = random.Random(11)
+    good = [(i, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(50, 300))) + " #1", "en", "a") for i in range(200)]
+    for marks, junk_rows in (("###", 99), ("&", 60)):
+        junk = [(1000 + i, " ".join(f"w{rnd.randint(0, 10**6)}{marks}" for _ in range(100)), "en", "a") for i in range(junk_rows)]
+        kept = {r.doc_id for r in op.judged(spark.createDataFrame(good + junk, SCHEMA)).where("kept").collect()}
+        assert kept == {r[0] for r in good}
