@@ -71,7 +71,9 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(chat.SQL)
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.digests(chat.rows_to_turns(chat.with_sample(table(spark, folder, "conversations"))))
+    """Conversations of many layouts: see ``chat.turns_to_records``."""
+    turns = chat.rows_to_turns(chat.with_sample(table(spark, folder, "conversations")))
+    return chat.digests(chat.through_records(turns))
 
 
 @query(quality_rules.SQL)

@@ -29,7 +29,7 @@ class Mapping:
 
     ``paths``: the nested field paths that a record has, such as ``messages[].role``, without types. Either ``turns`` is an array
     whose elements have ``role`` and ``text`` fields, or ``parts`` lists (role, paths): the texts at the paths, those that are
-    not empty, joined by an empty line, make one turn.
+    not empty, joined by an empty line, make one turn. ``rename`` says whether role names are those of ``ROLES``.
     """
 
     name: str
@@ -38,6 +38,7 @@ class Mapping:
     role: str | None = None
     text: str | None = None
     parts: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
+    rename: bool = True
 
     @property
     def fingerprint(self) -> str:
@@ -57,6 +58,7 @@ MAPPINGS = (
     Mapping("instruction with input", frozenset({"instruction", "input", "output"}), parts=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("question", frozenset({"question", "answer"}), parts=(("user", ("question",)), ("assistant", ("answer",)))),
     Mapping("system prompt", frozenset({"system", "prompt", "response"}), parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("written turns", frozenset({"turns[].role", "turns[].text"}), "turns", "role", "text", rename=False),
     Mapping("rows of turns", frozenset({"conv_id", "turn", "role", "text"})),
 )
 
@@ -119,7 +121,8 @@ def _from_mapping(m: Mapping, record: Column) -> Column:
     if m.turns:
         each = F.coalesce(F.try_variant_get(record, F.lit(f"$.{m.turns}"), "array<variant>"), F.array().cast("array<variant>"))
         get = lambda v, name: F.try_variant_get(v, F.lit(f"$.{name}"), "string")
-        return F.transform(each, lambda v: F.struct(_role(get(v, m.role)).alias("role"), F.coalesce(get(v, m.text), F.lit("")).alias("text")))
+        role = _role if m.rename else (lambda r: F.coalesce(r, F.lit("")))
+        return F.transform(each, lambda v: F.struct(role(get(v, m.role)).alias("role"), F.coalesce(get(v, m.text), F.lit("")).alias("text")))
     turns = []
     for role, paths in m.parts:
         said = F.filter(F.array(*map(text, paths)), lambda x: x != "")
@@ -144,6 +147,54 @@ def records_to_turns(records: DataFrame, column: str = "record") -> DataFrame:
     return rows.select("rest.*", layout.alias("layout"), turns.alias("turns"))
 
 
+RECORD_BYTES = 8 << 20  # texts of a record, at most: parsed records are bounded
+RENAMED = tuple(ROLES)
+
+
+def turns_to_records(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns) as JSON records of many layouts: ``record``, and ``typed``, the turns of conversations too long for a record.
+
+    With k the id's hash modulo 4: a user and an assistant turn become prompt and response (k = 0), prompt and completion (1), question and
+    answer (2) or instruction and output (3); a system turn before these, with k below 2, a system prompt; other conversations messages (k below 2) or
+    shares of human and gpt. A conversation with a role that a mapping would rename is kept as written turns. Texts of more than ``RECORD_BYTES`` bytes
+    together stay typed and have no record.
+    """
+    turns = F.col("turns")
+    k = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    roles = F.transform(turns, lambda t: t["role"])
+    small = F.aggregate(turns, F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["text"]) + F.octet_length(t["role"])) <= RECORD_BYTES
+
+    def fields(*names: str) -> Column:
+        return F.to_json(F.struct(*[F.get(turns, F.lit(i))["text"].alias(n) for i, n in enumerate(names)]))
+
+    def listed(name: str, role: str, text: str, named) -> Column:
+        return F.to_json(F.struct(F.transform(turns, lambda t: F.struct(named(t["role"]).alias(role), t["text"].alias(text))).alias(name)))
+
+    def shared(role: Column) -> Column:
+        return F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    three = roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    record = (
+        F.when(F.exists(turns, lambda t: t["role"].isin(*RENAMED)), listed("turns", "role", "text", lambda r: r))
+        .when(pair & (k == 0), fields("prompt", "response"))
+        .when(pair & (k == 1), fields("prompt", "completion"))
+        .when(pair & (k == 2), fields("question", "answer"))
+        .when(pair, fields("instruction", "output"))
+        .when(three & (k < 2), fields("system", "prompt", "response"))
+        .when(k < 2, listed("messages", "role", "content", lambda r: r))
+        .otherwise(listed("conversations", "from", "value", shared))
+    )
+    return conversations.select("conv_id", F.when(small, record).alias("record"), F.when(~small, turns).alias("typed"))
+
+
+def through_records(conversations: DataFrame) -> DataFrame:
+    """(conv_id, layout, turns): conversations written as records and read again by the mapping that each record's fingerprint selects."""
+    found = records_to_turns(turns_to_records(conversations))
+    layout = F.when(F.col("typed").isNotNull(), F.lit("rows of turns")).otherwise(F.col("layout"))
+    return found.select("conv_id", layout.alias("layout"), F.coalesce("turns", "typed").alias("turns"))
+
+
 def rows_to_turns(rows: DataFrame) -> DataFrame:
     """(conv_id, turns) from a table with one row for each turn; its layout must be that of ``rows of turns``.
 

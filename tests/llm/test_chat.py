@@ -87,3 +87,28 @@ def test_paths_of_types_and_of_variants_agree(spark):
     assert sorted(p.replace("`", "") for p in got) == ["a.b[].c", "a.b[].d d", "a.e[][]", "f"]
     typed = spark.createDataFrame([], "a struct<b: array<struct<c: int, d: string>>, e: array<array<boolean>>>, f double").schema
     assert op.schema_paths(typed) == {"a.b[].c", "a.b[].d", "a.e[][]", "f"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_records_of_all_layouts_are_read_back(spark, seed, monkeypatch):
+    monkeypatch.setattr(op, "RECORD_BYTES", 60_000)
+    rows = conversations(seed)
+    rnd = random.Random(seed)
+    for c in range(100, 180):
+        roles = rnd.choice([["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["assistant", "user"]])
+        rows += [(c, t, r, "".join(rnd.choices([*ODD, "\x00", '"', "\u2028", "\ud7ff"], k=rnd.randint(0, 4)))) for t, r in enumerate(roles)]
+    rows += [(200, 0, "user", "x" * 70_000), (200, 1, "assistant", "y"), (None, 0, "user", "q"), (None, 1, "assistant", None)]
+    turns = op.rows_to_turns(spark.createDataFrame(rows, SCHEMA))
+    read = op.through_records(turns)
+    assert sorted(map(tuple, op.digests(read).collect()), key=repr) == plain(rows)
+    found = {r.layout for r in read.collect()}
+    assert found == {m.name for m in op.MAPPINGS} - {"instruction with input"}
+
+
+def test_a_record_is_read_by_its_fingerprint_alone(spark):
+    """Records of a layout that no mapping declares stay without turns, whatever else they hold."""
+    rows = [(c, t, r, "hi") for c in range(40) for t, r in enumerate(("user", "assistant"))]
+    records = op.turns_to_records(op.rows_to_turns(spark.createDataFrame(rows, SCHEMA)))
+    changed = records.selectExpr("conv_id", "concat(substr(record, 1, length(record) - 1), ',\"more\":1}') AS record")
+    assert {(r.layout, r.turns) for r in op.records_to_turns(changed).collect()} == {(None, None)}
+    assert None not in {r.layout for r in op.records_to_turns(records).collect()}
