@@ -26,7 +26,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     got = catalog.QUERIES[name](spark, FOLDER)
     expected = con.sql(catalog.ORACLES[name])
@@ -66,7 +66,7 @@ def corpus(seed=1):
 def plain_pipeline(rows, items):
     known = {r[0] for r in plain_language([r[:3] for r in rows]) if r[2] != "und"}
     docs = [(d, t) for d, t, *_ in rows if d in known]
-    kept = {r[0] for r in brute.near_dups(docs) if r[3]}
+    kept = {r[0] for r in brute.near_dups(docs, percent=80) if r[3]}
     docs = [x for x in docs if x[0] in kept]
     left = []
     seen = {}
@@ -121,3 +121,24 @@ def test_near_dedup_stage_links_texts_from_eighty_percent(spark, tmp_path):
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
     assert got == sorted(r[0] for r in brute.near_dups(rows, percent=80) if r[3])
     assert got == [0, 2, 4, 6, 8, 9, 10, 11] and len([r for r in brute.near_dups(rows) if r[3]]) == 11
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, ids with several texts, and columns named like the operators' own."""
+    rows, items = corpus(3)
+    own = "row string, rest string, mark int, node long, once string, h int"
+    more = ("r", None, 7, None, "o", 1)
+    long = " ".join(f"the{i}and of tion ther" for i in range(40_000))
+    odd = [(None, "the of and tion ther with that hand " * 3, None, None, None), (500, None, None, "s", None), (501, "", "en", None, 0), (502, long, "en", "s1", len(long))]
+    odd += [(503, "ther with that hand of tion " * 4, "en", "s1", 112)] * 3 + [(503, "die und der sch keit ung " * 4, "de", "s1", 96)]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {own}"
+    table = [(*r, *more) for r in rows[:50] + odd]
+    spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*items, (None, None), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    counts = [r.doc_id for r in out]
+    # without letters: gone; repeated rows: one; an id with two texts is one document for the near-dedup
+    assert 500 not in counts and 501 not in counts and counts.count(502) == 1 and 1 <= counts.count(503) <= 2 and None in counts
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
