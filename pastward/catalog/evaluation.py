@@ -27,6 +27,7 @@ from pastward.catalog.base import (
 )
 from pastward.functions.errors import adjusted_r2
 from pastward.operators.audits import (
+    causality_by_row,
     causality_violations,
     fold_defects,
     non_finite_metrics,
@@ -336,6 +337,34 @@ def b17(spark, folder):
     return causality_violations(series, lambda frame: over_history(frame, HOURLY, 24, _audited), list(AUDITED))
 
 
+# a feature that looks one row ahead in one hour of each series, and one that holds the row's own value in another
+PEEK = "timestamp = TIMESTAMP_NTZ '2024-01-05 07:00:00'"
+SELF = "timestamp = TIMESTAMP_NTZ '2024-01-09 11:00:00'"
+
+
+@query(
+    "b17_every_position",
+    with_series("hourly_by_type")
+    + """, near AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY series_id) AS n FROM hourly_by_type WINDOW w AS (PARTITION BY series_id ORDER BY timestamp))
+        SELECT 'peeking' AS feature, series_id, timestamp, 2::BIGINT AS turns FROM near WHERE timestamp = TIMESTAMP '2024-01-05 07:00:00' AND place < n
+        UNION ALL SELECT 'itself', series_id, timestamp, 1 FROM near WHERE timestamp = TIMESTAMP '2024-01-09 11:00:00'
+        UNION ALL SELECT 'leaking_mean', series_id, timestamp, 1 FROM near""",
+)
+def b17_rows(spark, folder):
+    """Two features that are past-only but for one row each, and one that leaks in all, among others that are past-only."""
+    series = hourly_by_type(spark, folder).select(*KEYS, S.TARGET)
+
+    def columns(w):
+        before = F.lag(S.TARGET, 1).over(w)
+        return {
+            **_audited(w),
+            "peeking": F.when(F.expr(PEEK), F.lead(S.TARGET, 1).over(w)).otherwise(before),
+            "itself": F.when(F.expr(SELF), F.col(S.TARGET)).otherwise(before),
+        }
+
+    return causality_by_row(series, lambda frame: over_history(frame, HOURLY, 24, columns), [*AUDITED, "peeking", "itself"], 24)
+
+
 def _holdout(name: str, share: float):
     @query(
         name,

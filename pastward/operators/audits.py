@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.errors import is_finite
-from pastward.operators.ordering import with_cutoffs
+from pastward.operators.ordering import ROW, ROWS, number_rows, with_cutoffs
 from pastward.operators.scoring import score
 from pastward.schema import METRICS, TARGET
 from pastward.session import staged
@@ -40,18 +40,58 @@ def causality_violations(
     upto = both.where(F.col(spec.time) <= F.col("_turn"))
     kinds = dict(both.dtypes)
 
-    def differs(feature: str) -> Column:
-        a, b = F.col(f"a_{feature}"), F.col(f"b_{feature}")
-        if kinds[f"a_{feature}"] != "double":
-            return ~F.equal_null(a, b)
-        # sums of the same numbers may differ in their last digits
-        close = F.abs(a - b) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
-        return ~(F.equal_null(a, b) | F.coalesce(close, F.lit(False)))
-
-    counts = upto.agg(F.count("*").alias("rows"), *(F.count_if(differs(f)).alias(f) for f in features))
+    counts = upto.agg(F.count("*").alias("rows"), *(F.count_if(_differs(kinds, f, tolerance)).alias(f) for f in features))
     return counts.unpivot(["rows"], list(features), "feature", "mismatches")
 
 
+def causality_by_row(
+    series: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    features: Sequence[str],
+    depth: int,
+    spec: SeriesSpec = HOURLY,
+    ahead: int = 1,
+    value: str = TARGET,
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """Every row whose features notice a change of the target at or behind it: ``feature, key, time, turns``.
+
+    Each row is a turn once: a short series of the ``depth`` rows before it, itself and ``ahead`` rows behind it is built twice, the second time with the
+    target changed from the turn on, and the rows up to the turn have to agree. All turns are series of one table, so two builds check every position.
+    ``depth`` is how far back the features look (so that they have a value at the turn), ``ahead`` how far ahead a mistake may reach; a row takes part
+    in ``depth + ahead + 1`` short series. Keys are told apart as text. ``turns`` counts the turns that a row notices.
+    """
+    if depth < 1 or ahead < 0:
+        raise ValueError("depth must be 1 or more, ahead 0 or more")
+    taken = {c.lower() for c in series.columns}
+    own, at, turn = (next(n for n in (name + "_" * k for k in range(99)) if n not in taken) for name in ("_own_key", "_at", "_turn"))
+    numbered = number_rows(series, spec)
+    turns = F.sequence(F.greatest(F.col(ROW) - ahead, F.lit(0)), F.least(F.col(ROW) + depth, F.col(ROWS) - 1))
+    copies = numbered.select("*", F.col(spec.key).alias(own), F.col(ROW).alias(at), F.explode(turns).alias(turn))
+    copies = staged(copies.withColumn(spec.key, F.concat_ws("|", F.col(turn), F.col(own).cast("string"))).drop(ROW, ROWS))
+    changed = F.when(F.col(at) >= F.col(turn), F.col(value) * 3 + 1000).otherwise(F.col(value))
+
+    def values(frame: DataFrame, prefix: str) -> DataFrame:
+        return build(frame.select(*series.columns)).select(spec.key, spec.time, *(F.col(f).alias(f"{prefix}{f}") for f in features))
+
+    keys = [spec.key, spec.time]
+    upto = copies.where(F.col(at) <= F.col(turn)).select(*keys, own)
+    both = values(copies, "a_").join(values(copies.withColumn(value, changed), "b_"), keys).join(upto, keys)
+    kinds = dict(both.dtypes)
+    noticed = F.array_compact(F.array(*(F.when(_differs(kinds, f, tolerance), F.lit(f)) for f in features)))
+    found = both.select(F.col(own).alias(spec.key), spec.time, F.explode(noticed).alias("feature"))
+    return found.groupBy("feature", spec.key, spec.time).agg(F.count("*").alias("turns"))
+
+
+def _differs(kinds: dict[str, str], feature: str, tolerance: float) -> Column:
+    """Whether ``a_`` and ``b_`` of a feature differ; sums of the same numbers may do so in their last digits."""
+    a, b = F.col(f"a_{feature}"), F.col(f"b_{feature}")
+    if kinds[f"a_{feature}"] != "double":
+        return ~F.equal_null(a, b)
+    close = F.abs(a - b) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+    return ~(F.equal_null(a, b) | F.coalesce(close, F.lit(False)))
+
+
 def missing_names(required: DataFrame, present: DataFrame, name: str) -> DataFrame:
     """Required names that are not present."""
     return required.select(name).distinct().join(present.select(name), name, "left_anti")
