@@ -1,9 +1,11 @@
 """Text quality by co-training of two classifiers.
 
 One classifier sees hashed words, word shapes and repeated neighbours of the text, the other metadata of the page: language, source, length, lines
-and the make-up of its characters. Both start from the same labelled rows. In every round each hands its surest verdicts on
-an unlabelled pool to the other as labels. Their margins are then calibrated on labelled rows kept aside, and added up as
-log-odds, which score all documents.
+and the make-up of its characters. Both start from the same labelled rows. In every round each rates all unlabelled rows and hands its
+sure verdicts to the other as labels; of these a fit reads a bounded number, dealt out evenly to all languages and sources. Their margins are
+then calibrated on labelled rows kept aside, and added up as log-odds, which score all documents.
+
+The counts of terms and the metadata of all rows are written once; every rating reads them again.
 """
 
 from __future__ import annotations
@@ -17,29 +19,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.llm.language import held_out
-from pastward.llm.work import WORD, Work
+from pastward.llm.work import Work
+from pastward.operators.skew import joined_to_groups
 
 LABELLED = 8192  # labelled rows that are learnt from, at most; drawn by a hash of the id
-POOL = 8192  # unlabelled rows that verdicts are exchanged on, at most; drawn alike
+GIVEN = 2048  # verdicts of a round that a fit reads, as expected; drawn by a hash of the id from all sure ones
 ROUNDS = 3
 SURE = 0.95
 TEXT_BITS, META_BITS = 14, 10
+WORDS = r"\S+"  # the words of WORD: this class is that of Java
 VIEWS = ("text", "meta")
 META = ("lang", "source", "log_chars", "log_lines", "line_length", "word_length", "letter_share", "upper_share", "distinct_share")
 
 
 def _views(docs: DataFrame, *carried: str) -> DataFrame:
-    """``carried`` columns, and the vectors ``text_view`` and ``meta_view`` of each row."""
+    """``carried`` columns, and the vectors ``counts`` (of terms) and ``meta_view`` of each row."""
     text = F.coalesce("text", F.lit(""))
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a"), r"\p{N}+", "0")
-    shapes = F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit("\n"), w))
+    shapes = F.transform(F.regexp_extract_all(plain, F.lit(WORDS), F.lit(0)), lambda w: F.concat(F.lit("\n"), w))
     again = F.filter(F.transform("words", lambda w, i: F.when(w == F.get("words", i - 1), F.lit("\v"))), lambda x: x.isNotNull())
     chars, lines = F.char_length(text), F.size(F.split(text, "\n"))
     share = lambda n: n / F.greatest(chars, F.lit(1))
-    rows = docs.select(*carried, "text", "lang", "source", words.alias("words"))
+    more = [c for c in carried if c not in ("lang", "source")]
+    rows = docs.select(*more, "text", "lang", "source", words.alias("words"))
     rows = rows.select(
-        *carried,
+        *more,
         F.concat("words", shapes, again).alias("terms"),
         "lang",
         "source",
@@ -51,9 +56,14 @@ def _views(docs: DataFrame, *carried: str) -> DataFrame:
         share(F.char_length(F.regexp_replace(text, r"\P{L}+", ""))).alias("letter_share"),
         share(F.char_length(F.regexp_replace(text, r"\P{Lu}+", ""))).alias("upper_share"),
     )
-    rows = Normalizer(inputCol="counts", outputCol="text_view").transform(HashingTF(numFeatures=1 << TEXT_BITS, inputCol="terms", outputCol="counts").transform(rows))
+    rows = HashingTF(numFeatures=1 << TEXT_BITS, inputCol="terms", outputCol="counts").transform(rows)
     rows = FeatureHasher(inputCols=list(META), outputCol="meta_view", numFeatures=1 << META_BITS).transform(rows)
-    return rows.select(*carried, "text_view", "meta_view")
+    return rows.select(*carried, "counts", "meta_view")
+
+
+def _ready(rows: DataFrame) -> DataFrame:
+    """With ``text_view``, the counts at length one."""
+    return Normalizer(inputCol="counts", outputCol="text_view").transform(rows).drop("counts")
 
 
 def _margin(model: LogisticRegressionModel, df: DataFrame, view: str) -> DataFrame:
@@ -68,44 +78,74 @@ def _drawn(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 
-def _sample(work: Work, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows to learn from: doc_id, label (null in the pool), aside, text_view, meta_view."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("label"))
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
-    labelled = _drawn(ids.join(known, "doc_id"), LABELLED, 1)
-    pool = _drawn(ids.join(known, "doc_id", "left_anti"), POOL, 2).withColumn("label", F.lit(None).cast("double"))
-    drawn = F.broadcast(work.put(labelled.unionByName(pool)))  # LABELLED + POOL rows at most
-    rows = docs.select("doc_id", "text", "lang", "source").join(drawn, "doc_id").dropDuplicates(["doc_id"])
-    aside = F.col("label").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0)
-    return work.put(_views(rows.withColumn("aside", aside), "doc_id", "label", "aside"))
+def _learnable(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("doc_id").isNotNull() & ~held_out())
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, label): of several labels of one id the largest."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("label"))
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The views of one row of each id, with the columns of ``ids``; ``ids`` is small."""
+    rows = docs.select("doc_id", "text", "lang", "source").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    return _ready(_views(rows, *ids.columns))
+
+
+def _sample(work: Work, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The labelled rows to learn from: doc_id, label, aside, text_view, meta_view."""
+    drawn = work.put(_drawn(_learnable(docs.select("doc_id")).distinct().join(known, "doc_id"), LABELLED, 1))
+    aside = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0
+    return work.put(_picked(docs, drawn.withColumn("aside", aside)))
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
     return LogisticRegression(featuresCol=f"{view}_view", labelCol="label", maxIter=30, regParam=1e-4).fit(rows.select(f"{view}_view", "label"))
 
 
-def _co_trained(work: Work, sample: DataFrame) -> dict[str, LogisticRegressionModel]:
-    start = sample.where("label is not null and not aside")
-    pool = sample.where("label is null").drop("label")
-    given = {view: None for view in VIEWS}  # (doc_id, label) that the other classifier gave
+def _verdicts(work: Work, rated: DataFrame, margin: str, step: int) -> DataFrame:
+    """(doc_id, label): sure verdicts of all rated rows, drawn evenly from the languages, sources and labels that have any.
+
+    A group of n sure rows gives each of them with the chance GIVEN / (groups * n), so the rarest group takes part as a whole and a fit reads about
+    ``GIVEN`` rows.
+    """
+    bar = math.log(SURE / (1 - SURE))
+    group = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source")], "label")
+    sure = rated.where(F.abs(margin) >= bar).withColumn("label", (F.col(margin) > 0).cast("double")).withColumn("group", group).select("doc_id", "label", "group")
+    sizes = work.put(sure.groupBy("group").agg(F.count("*").alias("n")))
+    groups = sizes.count()
+    drawn = F.pmod(F.xxhash64(F.lit(step), F.lit(4), "doc_id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    known = joined_to_groups(sure, sizes, ["group"], "n")
+    return known.where(drawn * F.col("n") * float(max(groups, 1)) < float(GIVEN)).select("doc_id", "label")
+
+
+def _co_trained(work: Work, docs: DataFrame, rows: DataFrame, known: DataFrame, sample: DataFrame) -> dict[str, LogisticRegressionModel]:
+    """Both models after ``ROUNDS`` exchanges on all unlabelled rows of ``rows`` (doc_id, lang, source and the views)."""
+    start = sample.where("not aside")
+    columns = ["doc_id", "label", "text_view", "meta_view"]
+    given: DataFrame | None = None  # (doc_id, taker, label and views) of the verdicts handed over so far
     models = {}
     for step in range(ROUNDS + 1):
         for view in VIEWS:
-            more = given[view]
-            rows = start if more is None else start.unionByName(pool.join(F.broadcast(more), "doc_id").select(*start.columns))
-            models[view] = _fit(rows, view)
+            more = start.select(*columns)
+            models[view] = _fit(more if given is None else more.unionByName(given.where(F.col("taker") == view).select(*columns)), view)
         if step == ROUNDS:
             return models
-        new = {}
+        rated = _learnable(rows)
+        for view in VIEWS:
+            rated = _margin(models[view], rated, view)
+        rated = rated.select("doc_id", "lang", "source", *[f"margin_{view}" for view in VIEWS]).dropDuplicates(["doc_id"])
+        rated = work.put(rated.join(known, "doc_id", "left_anti"))
+        new = None
         for giver, taker in (VIEWS, VIEWS[::-1]):
-            left = pool if given[taker] is None else pool.join(given[taker], "doc_id", "left_anti")
-            rated = _margin(models[giver], left, giver).select("doc_id", F.col(f"margin_{giver}").alias("m"))
-            bar, most = math.log(SURE / (1 - SURE)), POOL // (4 * ROUNDS)
-            best = rated.where(F.col("m") >= bar).orderBy(F.desc("m"), "doc_id").limit(most).select("doc_id", F.lit(1.0).alias("label"))
-            worst = rated.where(F.col("m") <= -bar).orderBy("m", "doc_id").limit(most).select("doc_id", F.lit(0.0).alias("label"))
-            both = best.union(worst)
-            new[taker] = work.put(both if given[taker] is None else both.union(given[taker]))
-        given = new
+            left = rated if given is None else rated.join(given.where(F.col("taker") == taker).select("doc_id"), "doc_id", "left_anti")
+            part = _verdicts(work, left, f"margin_{giver}", step).withColumn("taker", F.lit(taker))
+            new = part if new is None else new.unionByName(part)
+        new = work.put(new)
+        ids = work.put(new.select("doc_id").distinct())
+        fresh = work.put(_picked(docs, ids).join(new, "doc_id"))
+        given = fresh if given is None else given.unionByName(fresh)
 
 
 def _calibrated(models: dict[str, LogisticRegressionModel], sample: DataFrame) -> Column:
@@ -131,18 +171,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The probability that a text is of good quality: doc_id, held_out, score, kept (score of one half at least).
 
     Learns from rows with an id that are not held out (see ``language.held_out``): at most ``LABELLED`` labelled ones, of which a
-    fifth calibrates, and ``POOL`` others. Of several labels of one id the largest counts; rows that share an id are learnt from
-    once. A null text counts as empty, a null lang or source as none. Without labels of both kinds all scores are the share
+    fifth calibrates. All others of them are rated in each round; a fit reads about ``GIVEN`` sure ones more. Of several labels of one id the
+    largest counts; rows that share an id are learnt from once. A null text counts as empty, a null lang or source as none. Without labels of both kinds all scores are the share
     of good labels (one half without any). One row for each row of ``docs``, repeated rows included.
     """
     work = Work(docs.sparkSession)
-    sample = _sample(work, docs, labels)
-    kinds = [r["label"] for r in sample.where("label is not null and not aside").select("label").distinct().limit(2).collect()]
+    known = work.put(_known(labels))
+    sample = _sample(work, docs, known)
+    kinds = [r["label"] for r in sample.where("not aside").select("label").distinct().limit(2).collect()]
     if len(kinds) < 2:
         return docs.select("doc_id", held_out().alias("held_out"), F.lit(kinds[0] if kinds else 0.5).alias("score")).withColumn("kept", F.col("score") >= 0.5)
-    models = _co_trained(work, sample)
+    views = work.put(_views(docs, "doc_id", "lang", "source"))
+    models = _co_trained(work, docs, _ready(views), known, sample)
     value = _calibrated(models, sample)
-    rows = _views(docs, "doc_id")
+    rows = _ready(views)
     for view in VIEWS:
         rows = _margin(models[view], rows, view)
     return rows.select("doc_id", held_out().alias("held_out"), value.alias("score")).withColumn("kept", F.col("score") >= 0.5)

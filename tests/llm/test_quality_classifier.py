@@ -68,3 +68,17 @@ def test_edge_rows(spark):
     both = df.select("doc_id", "text", "lang", "source").union(spark.createDataFrame([(d + 100, *x) for d, *x in more], DOCS))
     got = op.score(both, spark.createDataFrame([(d + 100, q) for d, q in labels], "doc_id long, quality int")).collect()
     assert len(got) == 206 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_every_source_takes_part(spark, monkeypatch, tmp_path):
+    """Verdicts come from all unlabelled rows: of a source of ten rows among thousands every sure one is handed over; checked against a plain draw."""
+    monkeypatch.setattr(op, "GIVEN", 60)
+    rated = [(i, "en", "big", (-1) ** i * 9.0) for i in range(4000)] + [(5000 + i, None, "rare", 8.0) for i in range(10)] + [(6000, "en", "big", 0.5), (6001, "en", None, None)]
+    df = spark.createDataFrame(rated, "doc_id long, lang string, source string, m double")
+    got = op._verdicts(op.Work(spark), df, "m", 0).collect()
+    assert {r.doc_id for r in got if r.doc_id >= 5000} == {5000 + i for i in range(10)}
+    assert all(r.label == (r.doc_id % 2 == 0 or r.doc_id >= 5000) for r in got)
+    hashes = {r[0]: r[1] for r in df.selectExpr("doc_id", "pmod(xxhash64(0, 4, doc_id), 1099511627776) / 1099511627776D").collect()}
+    sizes = {("big", 1): 2000, ("big", 0): 2000, ("rare", 1): 10}
+    plain = {i for i, _, s, m in rated if m is not None and abs(m) > 3 and hashes[i] * sizes[s, int(m > 0)] * 3 < 60}
+    assert {r.doc_id for r in got} == plain and 20 < len(got) < 90
