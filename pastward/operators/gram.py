@@ -196,7 +196,8 @@ def nested_ridge(
     """Ridge tuned inside every outer training set: ``outer_fold, alpha, inner_rmse, train_rows, rmse, r2``, one row per outer fold.
 
     The penalty with the lowest mean error over the inner folds is fitted on the whole outer training set and scored on the outer fold. All sets are unions
-    of the stretches between cuts, so one scan serves ``outer_folds * inner_folds * len(alphas)`` fits. A row takes part once.
+    of the stretches between cuts, so one scan serves ``outer_folds * inner_folds * len(alphas)`` fits. A row takes part once. Inner folds without rows to train
+    on or to score do not count; an outer fold without them, or without any inner fold that counts, has no row.
     """
     positions = nested_positions(outer_folds, inner_folds)
     marks = [f"_outer_{i}" for i in range(1, outer_folds + 1)] + [f"_inner_{i}_{j}" for i in range(1, outer_folds + 1) for j in range(1, inner_folds + 1)]
@@ -218,10 +219,11 @@ def nested_ridge(
     for i in range(1, outer_folds + 1):
         ends = [f"_inner_{i}_{j}" for j in range(1, inner_folds + 1)] + [f"_outer_{i}"]
         inner = [(between(None, ends[j]), between(ends[j], ends[j + 1])) for j in range(inner_folds)]
-        errors = {a: mean(test.scores(train.ridge(a))[0] for train, test in inner) for a in alphas}
+        errors = {a: mean(test.scores(train.ridge(a))[0] for train, test in inner if train.n) for a in alphas}
         best = min(alphas, key=lambda a: (errors[a], a))
         train, test = between(None, ends[-1]), between(ends[-1], f"_outer_{i + 1}" if i < outer_folds else None)
-        out.append((i, float(best), errors[best], int(train.n), *test.scores(train.ridge(best))))
+        if train.n and test.n and errors[best] < float("inf"):
+            out.append((i, float(best), errors[best], int(train.n), *test.scores(train.ridge(best))))
     return rows.sparkSession.createDataFrame(out, "outer_fold int, alpha double, inner_rmse double, train_rows long, rmse double, r2 double")
 
 
