@@ -116,3 +116,24 @@ def test_maps_can_be_carried(spark):
     df = spark.createDataFrame([(1, "a", {"k": 1}), (1, "a", {"k": 1}), (2, None, None)], "doc_id long, text string, m map<string,int>")
     got = op.shuffled(df, shards=2).collect()
     assert sorted((r.doc_id, (r.m or {}).get("k", 0)) for r in got) == [(1, 1), (1, 1), (2, 0)]
+
+
+def plain_shard(doc_id, shards, seed=0):
+    """The shard with the largest draw, from the hash library."""
+    import xxhash
+
+    def draw(shard):
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), 42)
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), h)
+        h = h if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return max((draw(s), s) for s in range(shards))[1]
+
+
+def test_shards_equal_plain_version(spark):
+    ids = [*range(-50, 400), None, 2**62, -(2**63)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    for seed in (0, 9):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in op.placed(df, seed=seed).collect()}
+        assert got == {i: (plain_shard(i, 16, seed), plain_shard(i, 17, seed)) for i in ids}
