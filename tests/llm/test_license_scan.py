@@ -181,12 +181,11 @@ WHOLE = {
     "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
     "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n",
     "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n",
-    "ISC": "ISC License\n\nCopyright (c) 2020 Some One\n\n" + op.ISC_TEXT,
-    "MIT": "Copyright (c) 2020 Some One\n\n" + op.MIT_TEXT,
+    "ISC": "ISC License\n\nCopyright (c) 2020 Some One\n\n" + op.TEMPLATES["ISC"][1] + ".\n\nTHE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE\n",
 }
 
 
-def test_whole_licences_are_told_apart(spark):
+def test_related_licences_are_told_apart(spark):
     """Licence files, and the same texts wrapped as comments above code, among files without a licence."""
     import textwrap
 
