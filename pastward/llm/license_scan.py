@@ -35,11 +35,6 @@ TEMPLATES = {
         "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
     ),
-    "ISC": (
-        "Licensed under the ISC License",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-        "SPDX-License-Identifier: ISC",
-    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
@@ -51,24 +46,6 @@ TEMPLATES = {
         "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
-    "LGPL-3.0": (
-        "This work is licensed under the GNU Lesser General Public License, version 3",
-        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
-        "SPDX-License-Identifier: LGPL-3.0-or-later",
-    ),
-    "LGPL-2.1": (
-        "This work is licensed under the GNU Lesser General Public License, version 2.1",
-        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-    ),
-    "AGPL-3.0": (
-        "This work is licensed under the GNU Affero General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
-        "SPDX-License-Identifier: AGPL-3.0-or-later",
-    ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",

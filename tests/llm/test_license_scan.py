@@ -175,23 +175,3 @@ def test_passages_are_all_runs_with_a_key(spark):
                 want.append(("x", at, n, said))
     want += [("LICENSE", -1, 0, ["r", "key", "s"]), ("LICENSE", 0, 1, ["r", "key"]), ("LICENSE", 0, 2, ["r", "key", "s"])]
     assert sorted(got) == sorted(want)
-
-
-WHOLE = {
-    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
-    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n",
-    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n",
-    "ISC": "ISC License\n\nCopyright (c) 2020 Some One\n\n" + op.TEMPLATES["ISC"][1] + ".\n\nTHE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE\n",
-}
-
-
-def test_related_licences_are_told_apart(spark):
-    """Licence files, and the same texts wrapped as comments above code, among files without a licence."""
-    import textwrap
-
-    files = [(f"{name}/LICENSE", text) for name, text in WHOLE.items()]
-    files += [(f"{name}-code/x.py", "\n".join("# " + line for line in textwrap.wrap(" ".join(text.split()), 70)) + "\nimport this\nprint(1)") for name, text in WHOLE.items()]
-    files += [(f"none/{i}.py", f"import os\nvalue = {i}\nprint(value, 'the use of this software')") for i in range(60)]
-    got = {r.path: r.licence for r in op.scan(spark.createDataFrame(files, "path string, text string")).collect()}
-    assert {f"{n}/LICENSE": n for n in WHOLE} | {f"{n}-code/x.py": n for n in WHOLE} == {p: x for p, x in got.items() if not p.startswith("none/")}
-    assert {x for p, x in got.items() if p.startswith("none/")} == {None}
