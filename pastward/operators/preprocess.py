@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from pastward import schema as S
 from pastward.functions.bands import ordinal_rank
-from pastward.functions.yeo_johnson import yeo_johnson
+from pastward.functions.yeo_johnson import centred_yeo_johnson, yeo_johnson
 from pastward.operators.quantiles import exact_quantiles, present_values
 
 EXACT = 1e-9  # relative width of the interval at which the search for a power ends
+# logarithms of transformed values: beyond the first a difference to 1 loses its digits, beyond the second values or their squares their range
+LEAST_LOG, MOST_LOG = -20.0, 300.0
 
 
 def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -90,6 +92,32 @@ def fit_powers(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: searches[c].best if c in searches else 1.0 for c in columns}
 
 
+def power_centres(train: DataFrame, powers: dict[str, float]) -> dict[str, float]:
+    """Centres for :func:`centred_yeo_johnson`, of the columns on one side of 0 whose transform doubles cannot hold in its plain form.
+
+    These are columns that vary little for their size, as sums of many amounts do, whose powers are large.
+    """
+    x = F.col("value")
+    facts = present_values(train, list(powers)).groupBy("column").agg(
+        F.min(x).alias("least"), F.max(x).alias("most"), F.avg(F.log1p(F.abs(x))).alias("centre"), F.max(F.log1p(F.abs(x))).alias("top")
+    )
+    found = {}
+    for row in facts.collect():  # one row per column
+        above = row["least"] >= 0
+        k = powers[row["column"]] if above else 2.0 - powers[row["column"]]
+        if row["least"] < row["most"] and (above or row["most"] < 0) and (k * row["centre"] < LEAST_LOG or k * row["top"] > MOST_LOG):
+            found[row["column"]] = row["centre"] if above else -row["centre"]
+    return found
+
+
+def powered(x: Column, name: str, state: dict) -> Column:
+    """A column's power transform as it was learned; other columns stay as they are."""
+    if name not in state.get("powers", {}):
+        return x
+    power, centre = state["powers"][name], state.get("centres", {}).get(name)
+    return yeo_johnson(x, power) if centre is None else centred_yeo_johnson(x, power, centre)
+
+
 class _Search:
     """The zero of a falling slope: doubling steps first, then the Illinois variant of the secant rule."""
 
@@ -233,13 +261,8 @@ class FeaturePreprocessor(Estimator, _PreprocessorParams, DefaultParamsReadable,
             continuous = [c for c in S.CONTINUOUS if c in state["medians"]]
             frozen = self.getOrDefault("powers")
             state["powers"] = json.loads(frozen) if frozen else fit_powers(filled, continuous)
-            bent = filled.select(
-                *(
-                    yeo_johnson(F.col(c), state["powers"][c]).alias(c) if c in state["powers"] else F.col(c)
-                    for c in filled.columns
-                )
-            )
-            state["robust"] = robust_statistics(bent, bent.columns)
+            state["centres"] = power_centres(filled, {c: p for c, p in state["powers"].items() if c in filled.columns})
+            state["robust"] = robust_statistics(filled.select(*(powered(F.col(c), c, state).alias(c) for c in filled.columns)), filled.columns)
         return FeaturePreprocessorModel(state=json.dumps(state), outputCol=self.getOutputCol())
 
 
@@ -264,9 +287,7 @@ class FeaturePreprocessorModel(Model, HasOutputCol, DefaultParamsReadable, Defau
         for name in (*S.CONTINUOUS, *S.CYCLICAL):
             if name not in state["medians"]:
                 continue
-            value = impute(name, state["medians"][name])
-            if name in state.get("powers", {}):
-                value = yeo_johnson(value, state["powers"][name])
+            value = powered(impute(name, state["medians"][name]), name, state)
             if "robust" in state:
                 value = robust_scale(value, *state["robust"][name])
             columns[name] = value

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pastward import schema as S
-from pastward.functions.yeo_johnson import yeo_johnson
+from pastward.functions.yeo_johnson import centred_yeo_johnson, yeo_johnson
 from pastward.operators import models as M
 from pastward.operators import preprocess as P
 from pastward.operators.features import feature_table
@@ -103,6 +103,38 @@ def test_powers_of_nearly_constant_and_one_sided_columns(spark, sign):
     assert all(likelihood(power) >= likelihood(power + step) for step in (-1e-3, 1e-3, -1.0, 1.0))
 
 
+@pytest.mark.parametrize("power", [-3.0, -0.5, 1.5, 3.0, 4.5])
+@pytest.mark.parametrize("centre", [0.7, -0.7])
+def test_centred_transform_is_a_line_of_the_plain_one(spark, power, centre):
+    x = np.array([-5.0, -1.0, -0.2, 0.0, 0.3, 1.0, 9.0])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").coalesce(1)
+    got = np.array([row[0] for row in df.select(centred_yeo_johnson(F.col("x"), power, centre)).collect()])
+    k = power if centre > 0 else 2 - power
+    scale, shift = np.exp(k * 0.7), np.sign(centre) * np.expm1(k * 0.7) / k
+    np.testing.assert_allclose(got, (reference_yj(x, power) - shift) / scale, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+@pytest.mark.parametrize("tail", [1, -1])
+def test_large_powers_keep_inputs_finite_and_apart(split, sign, tail):
+    """Values that vary by a thousandth have powers of hundreds; their plain transforms overflow or are all alike."""
+    train, validation, _ = parts(split)
+    change = lambda df: df.withColumn("consumption_lag_1", sign * (F.lit(1e6) + tail * 30 * F.log1p(F.abs("consumption_lag_1") % 97)))
+    model = P.FeaturePreprocessor(scale=True).fit(change(train))
+    power = model.learned()["powers"]["consumption_lag_1"]
+    assert abs(power) > 100
+    place = list(model.encoded()).index("consumption_lag_1")
+    rows = [(r[0], r[1][place]) for r in model.transform(change(train).unionByName(change(validation))).select("consumption_lag_1", "features").collect()]
+    x, got = np.array(sorted(rows)).T
+    assert np.isfinite(got).all()
+    k = power if sign > 0 else 2 - power
+    fitted = np.array([r[0] for r in change(train).select("consumption_lag_1").collect()])
+    centre = np.log1p(abs(fitted)).mean()
+    line = lambda v: sign * np.expm1(k * (np.log1p(abs(v)) - centre)) / k
+    low, middle, high = np.quantile(line(fitted), [0.25, 0.5, 0.75])
+    np.testing.assert_allclose(got, (line(x) - middle) / (high - low), rtol=1e-6, atol=1e-6)
+
+
 def test_fitted_values_ignore_later_rows(split):
     train, *_ = parts(split)
     later = F.col("split") != "train"
