@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from pastward.catalog import QUERIES
 from pastward.operators.ordering import first_rows, keep_last, last_rows
 from pastward.operators.scoring import worst_rows
 from pastward.operators.splits import chronological_split, expanding_folds
@@ -59,3 +60,9 @@ def test_ties_are_decided(spark):
     assert [r.v for r in keep_last(df, HOURLY, "o").collect()] == [0.7]
     rows = spark.createDataFrame([(k, 1, "m", 1.0, 2.0) for k in "cab"], "series_id string, t int, model string, actual double, prediction double")
     assert [r.series_id for r in worst_rows(rows, "t", 2).collect()] == ["a", "b"]
+
+
+def test_orders_of_any_priority_make_an_input_present(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "5-LOW"), (2, "1-URGENT"), (9, "1-URGENT"), (None, "5-LOW")], "o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r["name"] for r in QUERIES["s3_required_inputs"](spark, str(tmp_path)).collect()] == [3]
