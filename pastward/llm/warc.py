@@ -206,14 +206,16 @@ def records(chunks: DataFrame) -> DataFrame:
     records are shuffled; each streams through one task in order, chunk by chunk, and a missing segment is an error.
     """
     revisit = F.col("type") == "revisit"
-    whole = chunks.where("NOT segmented").select(
+    # a column of its own: named in a branch, the hash would be made anew for each of its letters
+    held = chunks.where("NOT segmented").withColumn("sha1", F.when(~revisit, F.sha1("data")))
+    whole = held.select(
         "record_id",
         "type",
         "uri",
         "refers_to",
         F.col("digest").alias("declared"),
         F.when(revisit, F.col("payload_bytes")).otherwise(F.octet_length("data")).cast("long").alias("payload_bytes"),
-        F.when(revisit, F.col("digest")).otherwise(base32_of_hex(F.sha1("data"))).alias("payload_digest"),
+        F.when(revisit, F.col("digest")).otherwise(base32_of_hex(F.col("sha1"))).alias("payload_digest"),
     )
     cut = chunks.where("segmented").select("record_id", "type", "uri", "refers_to", "digest", "chunk", "data")
     cut = cut.repartition(F.col("record_id")).sortWithinPartitions("record_id", "chunk")

@@ -114,3 +114,9 @@ def test_empty_table_long_texts_and_other_columns(spark):
     rows = [(i, "u", "long é" * 60_000 + ("WARC/1.0\r\n" if i % 2 else "")) for i in range(4)]
     pages = spark.createDataFrame([(*r, "x", 1, b"y") for r in rows], SCHEMA + ", digest string, top int, payload binary")
     assert found(warc.archived_pages(pages)) == plain(rows)
+
+
+def test_payloads_are_hashed_once(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame(ROWS, SCHEMA), str(tmp_path / "w"))
+    read = warc.records(warc.read_chunks(spark, str(tmp_path / "w")))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
