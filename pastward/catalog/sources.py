@@ -8,10 +8,10 @@ from pastward.catalog.base import hourly_all, hourly_by_type, query, table, with
 from pastward.operators.audits import missing_names
 from pastward.operators.ordering import keep_last
 from pastward.schema import HOURLY_CSV
-from pastward.session import work_folder
+from pastward.session import staged, work_folder
 from pastward.sources.fingerprint import file_hashes, file_trees, list_files, provenance, row_hash, table_fingerprint
 from pastward.sources.series import accepted_and_rejected, judged_lines, read_hourly_csv, tail_rows, with_timestamp
-from pastward.sources.sinks import guard_results, read_csv, read_json, write_csv, write_json
+from pastward.sources.sinks import guard_results, packed_lines, read_csv, read_json, write_csv, write_json
 from pastward.spec import HOURLY
 
 CSV_COLUMNS = ("Date", "Time", "Consumption", "Temperature", "Rain", "Sun")
@@ -218,8 +218,9 @@ TREE_CHUNK, TREE_FAN_IN = 4096, 16
 
 def _event_file(spark, folder):
     path = work_folder(spark)
-    lines = table(spark, folder, "events").orderBy("event_id").select(F.expr(EVENT_LINE).alias("value"))
-    lines.coalesce(1).write.text(path)
+    lines = table(spark, folder, "events").orderBy("event_id").select(F.monotonically_increasing_id().alias("at"), F.expr(EVENT_LINE).alias("value"))
+    packs = staged(lines.mapInArrow(packed_lines, "at long, value string"))  # sorted in many tasks; the one that writes gets packs, not lines
+    packs.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
     return path
 
 

@@ -17,6 +17,7 @@ DIGITS = 15
 MARK = b"\xef\xbb\xbf"  # the byte order mark of UTF-8
 CHUNK = 1 << 20
 FAN_IN = 1024
+PACK = 1 << 14  # bytes of a packed row: enough that a row's own cost is small, and few enough for a batch of thousands of rows
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +64,32 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Data
     return files, placed.select("file", first.cast("long").alias("at"), data.alias("data"))
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``file, at, data`` with those put together that follow each other in their file, to about ``PACK`` bytes.
+
+    Rows that come in another order are right too, only less is put together.
+    """
+    file, first, end, held = None, 0, 0, []
+    schema, done = None, []
+    for rows in batches:
+        schema = schema or rows.schema
+        data = rows.column("data")
+        for k, (of, at) in enumerate(zip(rows.column("file").to_pylist(), rows.column("at").to_pylist())):
+            piece = data[k].as_py()
+            if held and (of != file or at != end or end - first >= PACK):
+                done.append((file, first, b"".join(held)))
+                held = []
+            if not held:
+                file, first, end = of, at, at
+            held.append(piece)
+            end += len(piece)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+            done = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((file, first, b"".join(held)), schema)], schema=schema)
+
+
 def _digests(keys: int):
     """SHA-256 of the pieces of each key, which come in order; one digest is kept."""
 
@@ -92,10 +119,12 @@ def _named(found: DataFrame) -> DataFrame:
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SHA-256 of the content of each file that the paths name.
 
-    A file of any size streams through one task in order, as this digest asks for; a line must fit into memory. For large files
-    :func:`file_trees` works on all parts at once. Spark's scans leave out files of no bytes, so these have no row.
+    A file of any size streams through one task in order, as this digest asks for; a line must fit into memory. Lines are packed before
+    that task sorts them, whose rows would else take several times the file. For large files :func:`file_trees` works on all parts at
+    once. Spark's scans leave out files of no bytes, so these have no row.
     """
     _, pieces = _pieces(spark, path)
+    pieces = pieces.mapInArrow(packed, "file string, at long, data binary")
     ordered = pieces.repartition("file").sortWithinPartitions("file", "at").select("file", "data")
     return _named(ordered.mapInArrow(_digests(1), "file string, sha256 string"))
 

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+PACK_LINES = 256  # lines of a text file that are written as one row
+
+
+def packed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``at, value`` in order to fewer rows whose values are lines with line ends between them, under the first line's place."""
+    for rows in batches:
+        at, lines = rows.column("at").to_pylist(), rows.column("value").to_pylist()
+        starts = range(0, len(lines), PACK_LINES)
+        values = ["\n".join(lines[k : k + PACK_LINES]) for k in starts]
+        yield pa.RecordBatch.from_arrays([pa.array([at[k] for k in starts], pa.int64()), pa.array(values, pa.string())], ["at", "value"])
+
+
 def results_exist(spark: SparkSession, path: str) -> bool:
     """Whether a path holds files."""
     try:

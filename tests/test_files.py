@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
+from pastward.catalog import sources
+from pastward.sources import fingerprint
 from pastward.sources.fingerprint import file_hashes, file_trees
 from pastward.sources.series import accepted_and_rejected, judged_lines
+from pastward.sources.sinks import packed_lines
 
 HEADER = "Date,Time,Consumption,Temperature,Rain,Sun"
 
@@ -62,6 +66,37 @@ def test_digests_are_those_of_the_files(spark, folder, splits):
     assert got == {name: sha(data) for name, data in FILES.items() if data}
 
 
+def test_lines_are_packed_before_one_task_sorts_them(spark, tmp_path):
+    """One row for each line would cost that task several times the file."""
+    lines = b"".join(b"line %d\n" % i for i in range(20_000))
+    (tmp_path / "a.txt").write_bytes(lines)
+    seen = fingerprint._pieces(spark, str(tmp_path / "a.txt"))[1].mapInArrow(fingerprint.packed, "file string, at long, data binary").orderBy("at").collect()
+    assert b"".join(bytes(r["data"]) for r in seen) == lines
+    assert len(seen) <= 2 * len(lines) / fingerprint.PACK + 2
+    plan = file_hashes(spark, str(tmp_path / "a.txt"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_rows_out_of_order_are_not_joined():
+    rows = [("f", 0, b"ab"), ("f", 2, b"c"), ("f", 9, b"x"), ("g", 10, b"y"), ("g", 4, b"z"), ("g", 5, b"w")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["file", "at", "data"])
+    got = [tuple(r.values()) for out in fingerprint.packed(iter([batch.slice(0, 2), batch.slice(2)])) for r in out.to_pylist()]
+    assert got == [("f", 0, b"abc"), ("f", 9, b"x"), ("g", 10, b"y"), ("g", 4, b"zw")]
+
+
+def test_the_event_file_is_written_from_packs(spark, tmp_path):
+    """The writing task sorts a row for each few hundred lines, not for each line."""
+    rows = [(i, i % 7, "view", None if i % 3 else "é") for i in range(1000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    path = sources._event_file(spark, str(tmp_path))
+    wanted = "".join("|".join(str(v) for v in r if v is not None) + "\n" for r in rows)
+    parts = spark.read.text(path, wholetext=True).collect()
+    assert [r["value"] for r in parts] == [wanted]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([str(i) for i in range(1000)])], ["at", "value"])
+    out = [r for b in packed_lines(iter([batch])) for r in b.to_pylist()]
+    assert len(out) == 4 and "\n".join(r["value"] for r in out) == "\n".join(str(i) for i in range(1000)) and [r["at"] for r in out] == [0, 256, 512, 768]
+
+
 @pytest.mark.parametrize("chunk, fan_in", [(1000, 2), (1 << 20, 1024)])
 def test_trees_equal_plain_version(spark, folder, splits, chunk, fan_in):
     got = {r["name"]: r["sha256"] for r in file_trees(spark, f"{folder}/*", chunk, fan_in).collect()}
