@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pastward.session import work_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,8 +34,8 @@ def text_mark(text: Column) -> Column:
 class Work:
     """Written tables of one operator call, below the shared folder named in ``spark.checkpoint.dir``.
 
-    A written table cuts the lineage and outlives lost executors. ``drop`` deletes a table that nothing reads any more;
-    what the returned result still reads stays until ``close``.
+    A written table cuts the lineage and outlives lost executors, so the shuffle files that made it go as soon as it is there.
+    ``drop`` deletes a table that nothing reads any more; what the returned result still reads stays until ``close``.
     """
 
     def __init__(self, spark: SparkSession):
@@ -45,7 +46,12 @@ class Work:
     def put(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/t{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_at = path
         return out
