@@ -193,6 +193,13 @@ def _predict_rows(known: list[tuple[str, list[int]]], carried: str):
     return run
 
 
+def _with_text(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Rows and, beside them, their field ``at``, the text: it comes to the task once, inside its row."""
+    for batch in batches:
+        row = batch.column("row")
+        yield pa.RecordBatch.from_arrays([row.field(at), row], ["text", "row"])
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of the id as text, modulo 3, is 1 (false without an id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % PARTS == HELD_OUT, F.lit(False))
@@ -214,7 +221,8 @@ def predict(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more; all columns are carried."""
     known = profiles(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    out = rows.mapInArrow(_predict_rows(known, "row"), kind)
+    at, predicted = [c.lower() for c in docs.columns].index("text"), _predict_rows(known, "row")
+    out = rows.mapInArrow(lambda batches: predicted(_with_text(batches, at)), kind)
     return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

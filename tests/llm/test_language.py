@@ -94,3 +94,18 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = op.gram_counts(texts)
     monkeypatch.setattr(op, "PIECE", 100)
     assert all((a == b).all() for a, b in zip(whole, op.gram_counts(texts)))
+
+
+def test_the_text_goes_to_the_tasks_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the cat and the dog", "en", 7), (2, None, "en", 8), (4, "le chat et le chien", "fr", 9)], "doc_id long, TEXT string, lang string, `row` long")
+    sent = []
+    map_in_arrow = type(df).mapInArrow
+
+    def spy(self, *rest, **more):
+        sent.append(self.schema.simpleString().lower().count("text:string"))
+        return map_in_arrow(self, *rest, **more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", spy)
+    kept = op.recognised(df)
+    assert sent and set(sent) == {1}
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "the cat and the dog", "en", 7), (4, "le chat et le chien", "fr", 9)]
