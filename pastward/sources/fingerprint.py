@@ -6,17 +6,20 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pastward.operators.audits import missing_names
-from pastward.session import staged
+from pastward.session import delete, staged, work_folder
+from pastward.sources.sha256 import Sha256, resumable
 
 DIGITS = 15
 MARK = b"\xef\xbb\xbf"  # the byte order mark of UTF-8
 CHUNK = 1 << 20
 FAN_IN = 1024
+SEGMENT = 1 << 27  # bytes of a file that one task hashes
 PACK = 1 << 14  # bytes of a packed row: enough that a row's own cost is small, and few enough for a batch of thousands of rows
 
 
@@ -38,56 +41,78 @@ def require_files(spark: SparkSession, folder: str, required: Sequence[str]) ->
     return present
 
 
-def _pieces(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def _pieces(spark: SparkSession, path: str | list[str], packs: bool = True, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The files with their sizes, and their content as pieces that end where a line does, with the place of each in its file.
 
-    Files are read in splits. The pieces' lengths give each split's place, and tell what the line reader left out: a byte order mark
-    at the start, or the line end that the last line lacks.
+    Files are read in splits, and lines are counted and packed in the task that reads them; ``packs=False`` leaves one row for each line.
+    The splits' lengths give each split's place, and tell what the line reader left out: a byte order mark at the start, or the line end
+    that the last line lacks. ``where`` chooses files.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    where = F.lit(True) if where is None else where
+    files = spark.read.format("binaryFile").load(path).where(where).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    lines = spark.read.option("lineSep", "\n").text(path).where(where).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("data")
     )
-    length = (F.octet_length("data") + 1).cast("long")
+    length = F.octet_length("data").cast("long")
     splits = lines.groupBy("file", "block").agg(F.sum(length).alias("held"))
     whole = W.partitionBy("file")
     before = F.coalesce(F.sum("held").over(whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("file", "block", before.alias("before"), F.sum("held").over(whole).alias("all_held"))
     facts = staged(splits.join(files, "file").withColumn("left_out", F.col("size") - F.col("all_held")))  # one row per split
     mark = F.when(F.col("left_out") >= 2, F.lit(len(MARK))).otherwise(0)
-    upto = F.sum(length).over(W.partitionBy("file", "block").orderBy("line"))
-    placed = lines.join(facts, ["file", "block"]).withColumn("end", F.col("before") + upto)
-    last = F.col("end") == F.col("all_held")
+    found = lines.mapInArrow(_packs_of_splits if packs else _lines_of_splits, "file string, block long, at long, data binary")
+    placed = found.join(facts, ["file", "block"]).withColumn("at", F.col("before") + F.col("at"))
+    first, last = F.col("at") == 0, F.col("at") + length == F.col("all_held")
     open_end = last & F.col("left_out").isin(-1, 2)
-    data = F.concat(F.when((F.col("end") == length) & (mark > 0), F.lit(MARK)).otherwise(F.lit(b"")), F.col("data"), F.when(open_end, F.lit(b"")).otherwise(F.lit(b"\n")))
-    first = F.when(F.col("end") == length, 0).otherwise(F.col("end") - length + mark)
-    return files, placed.select("file", first.cast("long").alias("at"), data.alias("data"))
+    closed = F.when(open_end, F.expr("substring(data, 1, octet_length(data) - 1)")).otherwise(F.col("data"))
+    data = F.concat(F.when(first & (mark > 0), F.lit(MARK)).otherwise(F.lit(b"")), closed)
+    at = F.when(first, 0).otherwise(F.col("at") + mark)
+    return files, placed.select("file", at.cast("long").alias("at"), data.alias("data"))
+
+
+def _lines_of_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``file, block, data`` in the order in which a scan reads them, with the place ``at`` of each in its split."""
+    now, end = None, 0
+    for rows in batches:
+        file, block, data = (rows.column(name) for name in ("file", "block", "data"))
+        at = []
+        for of, length in zip(zip(file.to_pylist(), block.to_pylist()), pc.binary_length(data).to_pylist()):
+            if of != now:
+                now, end = of, 0
+            at.append(end)
+            end += length
+        yield pa.RecordBatch.from_arrays([file, block, pa.array(at, pa.int64()), data], ["file", "block", "at", "data"])
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``file, at, data`` with those put together that follow each other in their file, to about ``PACK`` bytes.
+    """Rows of keys, ``at, data`` with those put together that follow each other under their keys, to about ``PACK`` bytes.
 
     Rows that come in another order are right too, only less is put together.
     """
-    file, first, end, held = None, 0, 0, []
+    key, first, end, held = None, 0, 0, []
     schema, done = None, []
     for rows in batches:
         schema = schema or rows.schema
         data = rows.column("data")
-        for k, (of, at) in enumerate(zip(rows.column("file").to_pylist(), rows.column("at").to_pylist())):
+        keys = zip(*(rows.column(k).to_pylist() for k in range(rows.num_columns - 2)))
+        for k, (of, at) in enumerate(zip(keys, rows.column("at").to_pylist())):
             piece = data[k].as_py()
-            if held and (of != file or at != end or end - first >= PACK):
-                done.append((file, first, b"".join(held)))
+            if held and (of != key or at != end or end - first >= PACK):
+                done.append((*key, first, b"".join(held)))
                 held = []
             if not held:
-                file, first, end = of, at, at
+                key, first, end = of, at, at
             held.append(piece)
             end += len(piece)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
             done = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((file, first, b"".join(held)), schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, first, b"".join(held)), schema)], schema=schema)
+
+
+def _packs_of_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return packed(_lines_of_splits(batches))
 
 
 def _digests(keys: int):
@@ -116,17 +141,64 @@ def _named(found: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "sha256")
 
 
+def _resumed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state of SHA-256 after the pieces of each file, which come in order. A row with ``at`` below 0 has the state to go on from."""
+    now, sha, done, schema = None, None, [], None
+    for rows in batches:
+        schema, data = rows.schema, rows.column("data")
+        for k, (of, at) in enumerate(zip(rows.column("file").to_pylist(), rows.column("at").to_pylist())):
+            if of != now:
+                if now is not None:
+                    done.append((now, -1, sha.state()))
+                now, sha = of, Sha256(data[k].as_py() if at < 0 else None)
+            if at >= 0:
+                sha.update(data[k].as_buffer())
+    if now is not None:
+        done.append((now, -1, sha.state()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        digests = pa.array([Sha256(state).hexdigest() for state in rows.column("data").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([rows.column("file"), digests], ["file", "sha256"])
+
+
+def _chained(spark: SparkSession, pieces: DataFrame, most: int) -> DataFrame:
+    """SHA-256 of files of up to ``most`` bytes, a job for each ``SEGMENT`` bytes: its tasks go on from the states that the job before wrote."""
+    folder = work_folder(spark)
+    try:
+        cut = pieces.withColumn("segment", F.expr(f"at div {int(SEGMENT)}"))
+        cut.write.partitionBy("segment").parquet(folder)
+        cut = spark.read.schema(cut.schema).parquet(folder)
+        states = None
+        for k in range(-(-most // SEGMENT)):
+            rows = cut.where(F.col("segment") == k).select("file", "at", "data")
+            rows = rows if states is None else rows.unionByName(states)
+            ordered = rows.repartition("file").sortWithinPartitions("file", "at")
+            states = staged(ordered.mapInArrow(_resumed, "file string, at long, data binary"))  # one row per file
+    finally:
+        delete(spark, folder)
+    return states.mapInArrow(_finished, "file string, sha256 string")
+
+
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SHA-256 of the content of each file that the paths name.
 
-    A file of any size streams through one task in order, as this digest asks for; a line must fit into memory. Lines are packed before
-    that task sorts them, whose rows would else take several times the file. For large files :func:`file_trees` works on all parts at
-    once. Spark's scans leave out files of no bytes, so these have no row.
+    A file of up to ``SEGMENT`` bytes streams through one task. The digest of a larger one is handed on from task to task, each of which reads
+    one segment, so a task's share does not grow with the file; they run one after the other, as this digest asks for. For large files
+    :func:`file_trees` works on all parts at once. A line must fit into memory. Without OpenSSL's functions (``resumable``) a file of any
+    size streams through one task. Spark's scans leave out files of no bytes, so these have no row.
     """
-    _, pieces = _pieces(spark, path)
-    pieces = pieces.mapInArrow(packed, "file string, at long, data binary")
+    size = F.col("_metadata.file_size")
+    most = spark.read.format("binaryFile").load(path).agg(F.max(size)).first()[0] or 0
+    chained = most > SEGMENT and resumable()
+    _, pieces = _pieces(spark, path, where=size <= SEGMENT if chained else None)
     ordered = pieces.repartition("file").sortWithinPartitions("file", "at").select("file", "data")
-    return _named(ordered.mapInArrow(_digests(1), "file string, sha256 string"))
+    found = ordered.mapInArrow(_digests(1), "file string, sha256 string")
+    if chained:
+        found = found.unionByName(_chained(spark, _pieces(spark, path, where=size > SEGMENT)[1], most))
+    return _named(found)
 
 
 def file_trees(spark: SparkSession, path: str | list[str], chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
@@ -135,7 +207,7 @@ def file_trees(spark: SparkSession, path: str | list[str], chunk: int = CHUNK, f
     A chunk is the lines that begin in the same ``chunk`` bytes; its leaf is the SHA-256 of these lines. Each level hashes ``fan_in`` neighbours'
     hexadecimal digests put together; the fingerprint is the SHA-256 of the size, a colon and the last digest. Files of no bytes have no row.
     """
-    files, pieces = _pieces(spark, path)
+    files, pieces = _pieces(spark, path, packs=False)
     dealt = pieces.withColumn("part", F.expr(f"at div {int(chunk)}")).repartition("file", "part").sortWithinPartitions("file", "part", "at")
     level = staged(dealt.select("file", "part", "data").mapInArrow(_digests(2), "file string, part long, sha256 string"))
     level = level.withColumn("part", F.row_number().over(W.partitionBy("file").orderBy("part")) - 1)  # chunks inside a long line have no leaf

@@ -6,11 +6,14 @@ import hashlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pastward.catalog import sources
+from pastward.session import delete
 from pastward.sources import fingerprint
 from pastward.sources.fingerprint import file_hashes, file_trees
 from pastward.sources.series import accepted_and_rejected, judged_lines
+from pastward.sources.sha256 import Sha256
 from pastward.sources.sinks import packed_lines
 
 HEADER = "Date,Time,Consumption,Temperature,Rain,Sun"
@@ -131,3 +134,45 @@ def test_lines_that_cannot_be_parsed(spark, tmp_path):
         (tmp_path / "c").mkdir()
         (tmp_path / "c" / "d.csv").write_text("Date,Time,Consumption,Temperature,Rain\n")
         judged_lines(spark, str(tmp_path / "c"))
+
+
+@pytest.mark.parametrize("cuts", [[0], [1, 2, 64, 65], [63, 128, 4000], list(range(0, 5000, 7))])
+def test_a_digest_goes_on_from_its_state(cuts):
+    data = bytes(i * i % 251 for i in range(5000))
+    done = Sha256()
+    for a, b in zip([0, *cuts], [*cuts, len(data)]):
+        done = Sha256(done.state())
+        done.update(data[a:b])
+    assert done.hexdigest() == done.hexdigest() == sha(data)
+    with pytest.raises(ValueError, match="bytes"):
+        Sha256(b"short")
+
+
+def test_large_files_are_hashed_in_segments(spark, folder, splits, monkeypatch):
+    """Each job reads one segment of a file, not the file."""
+    seen = []
+
+    def spy(spark, path):
+        rows = spark.read.parquet(path).groupBy("file", "segment").agg(F.sum(F.octet_length("data")).alias("held"), F.min("at").alias("first"))
+        seen.extend(rows.collect())
+        delete(spark, path)
+
+    monkeypatch.setattr(fingerprint, "delete", spy)
+    monkeypatch.setattr(fingerprint, "SEGMENT", 20_000)
+    got = {r["name"]: r["sha256"] for r in file_hashes(spark, f"{folder}/*").collect()}
+    assert got == {name: sha(data) for name, data in FILES.items() if data}
+    large = {name: data for name, data in FILES.items() if len(data) > 20_000}
+    assert set(large) == {"plain.txt", "binary.bin", "one_line.txt"} == {r["file"].rsplit("/", 1)[1] for r in seen}
+    for name, data in large.items():
+        rows = [r for r in seen if r["file"].endswith(name)]
+        longest = max(map(len, data.split(b"\n"))) + 1
+        assert sum(r["held"] for r in rows) == len(data)
+        assert all(r["first"] // 20_000 == r["segment"] and r["held"] <= 20_000 + fingerprint.PACK + longest for r in rows)
+    assert len([r for r in seen if r["file"].endswith("binary.bin")]) > 3
+
+
+def test_without_openssl_a_file_streams_through_one_task(spark, folder, monkeypatch):
+    monkeypatch.setattr(fingerprint, "SEGMENT", 5000)
+    monkeypatch.setattr(fingerprint, "resumable", lambda: False)
+    got = {r["name"]: r["sha256"] for r in file_hashes(spark, f"{folder}/*").collect()}
+    assert got == {name: sha(data) for name, data in FILES.items() if data}
