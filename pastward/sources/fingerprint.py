@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,17 +72,33 @@ def _pieces(spark: SparkSession, path: str | list[str], packs: bool = True, wher
     return files, placed.select("file", at.cast("long").alias("at"), data.alias("data"))
 
 
+def _runs(breaks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last-but-one row of the runs that ``breaks`` between neighbours leave."""
+    return pairwise([0, *(np.flatnonzero(breaks) + 1).tolist(), len(breaks) + 1])
+
+
+def _unlike(columns: list[pa.Array]) -> np.ndarray:
+    """Whether a row and the next differ in a column."""
+    last = len(columns[0]) - 1
+    return np.logical_or.reduce([pc.not_equal(c.slice(1), c.slice(0, last)).to_numpy(zero_copy_only=False) for c in columns])
+
+
 def _lines_of_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``file, block, data`` in the order in which a scan reads them, with the place ``at`` of each in its split."""
     now, end = None, 0
     for rows in batches:
+        if not rows.num_rows:
+            continue
         file, block, data = (rows.column(name) for name in ("file", "block", "data"))
-        at = []
-        for of, length in zip(zip(file.to_pylist(), block.to_pylist()), pc.binary_length(data).to_pylist()):
+        upto = np.cumsum(pc.binary_length(data).to_numpy(), dtype=np.int64)
+        at = np.concatenate([[0], upto[:-1]])
+        for a, b in _runs(_unlike([file, block])):
+            of = file[a].as_py(), block[a].as_py()
             if of != now:
                 now, end = of, 0
-            at.append(end)
-            end += length
+            shift = end - at[a]
+            at[a:b] += shift
+            end = int(upto[b - 1] + shift)
         yield pa.RecordBatch.from_arrays([file, block, pa.array(at, pa.int64()), data], ["file", "block", "at", "data"])
 
 
@@ -92,18 +110,22 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, first, end, held = None, 0, 0, []
     schema, done = None, []
     for rows in batches:
+        if not rows.num_rows:
+            continue
         schema = schema or rows.schema
-        data = rows.column("data")
-        keys = zip(*(rows.column(k).to_pylist() for k in range(rows.num_columns - 2)))
-        for k, (of, at) in enumerate(zip(keys, rows.column("at").to_pylist())):
-            piece = data[k].as_py()
-            if held and (of != key or at != end or end - first >= PACK):
-                done.append((*key, first, b"".join(held)))
-                held = []
-            if not held:
-                key, first, end = of, at, at
-            held.append(piece)
-            end += len(piece)
+        keys, data, at = rows.columns[:-2], rows.column("data"), rows.column("at").to_numpy()
+        upto = at + pc.binary_length(data).to_numpy()
+        for a, b in _runs(_unlike(keys) | (at[1:] != upto[:-1])):
+            of = tuple(c[a].as_py() for c in keys)
+            while a < b:
+                if held and (of != key or at[a] != end or end - first >= PACK):
+                    done.append((*key, first, b"".join(held)))
+                    held = []
+                if not held:
+                    key, first = of, int(at[a])
+                upper = a + int(np.searchsorted(at[a:b], first + PACK))
+                held.extend(data.slice(a, upper - a).to_pylist())
+                a, end = upper, int(upto[upper - 1])
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
             done = []

@@ -87,6 +87,21 @@ def test_rows_out_of_order_are_not_joined():
     assert got == [("f", 0, b"abc"), ("f", 9, b"x"), ("g", 10, b"y"), ("g", 4, b"zw")]
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_lines_of_splits_are_packed_across_batches(size, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PACK", 12)
+    rows = [("f", 0, b"abc\n")] * 7 + [("f", 99, b"\n")] * 20 + [("g", 99, b"x" * 40 + b"\n")] + [("g", 0, b"yz\n")] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["file", "block", "data"])
+    batches = [batch.slice(k, size) for k in range(0, len(rows) + size, size)]
+    got = [tuple(r.values()) for out in fingerprint._packs_of_splits(iter(batches)) for r in out.to_pylist()]
+    assert got == [
+        ("f", 0, 0, b"abc\n" * 3), ("f", 0, 12, b"abc\n" * 3), ("f", 0, 24, b"abc\n"), ("f", 99, 0, b"\n" * 12), ("f", 99, 12, b"\n" * 8),
+        ("g", 99, 0, b"x" * 40 + b"\n"), ("g", 0, 0, b"yz\n" * 4), ("g", 0, 12, b"yz\n" * 4), ("g", 0, 24, b"yz\n"),
+    ]
+    lines = [r["at"] for out in fingerprint._lines_of_splits(iter(batches)) for r in out.to_pylist()]
+    assert lines == [*range(0, 28, 4), *range(20), 0, *range(0, 27, 3)]
+
+
 def test_the_event_file_is_written_from_packs(spark, tmp_path):
     """The writing task sorts a row for each few hundred lines, not for each line."""
     rows = [(i, i % 7, "view", None if i % 3 else "é") for i in range(1000)]
